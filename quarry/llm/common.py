@@ -52,3 +52,15 @@ def fewer_collections() -> None:
     """In a Python worker that keeps large caches: let the cycle collector look at them rarely."""
     gc.freeze()
     gc.set_threshold(500_000, 50, 1000)
+
+
+def kept_columns(docs: DataFrame, keep: list[str] | None, made: list[str]) -> list[str]:
+    """Columns to carry through an operator: ``keep`` or all, without those that it makes (names compare without case)."""
+    taken = {m.lower() for m in made}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+
+
+def schema_of(docs: DataFrame, columns: list[str], more: str) -> str:
+    """DDL of some of a table's columns and ``more``."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), more])

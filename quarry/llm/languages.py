@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, remainder
+from .common import fewer_collections, kept_columns, remainder, schema_of
 
 BUCKETS = 1 << 14
 #: First and last code points of scripts; fixed values of the Unicode standard.
@@ -222,8 +222,9 @@ def language_spans(text: str, model: LanguageModel, penalty: float = 12.0) -> li
     return [(model.langs[path[a]], a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0) -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
+def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (or all), lang_pred and score for every row."""
+    kept = kept_columns(docs, keep, ["lang_pred", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
@@ -249,20 +250,21 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12
 
         for batch in batches:
             texts, found, held = [], [], 0
-            for text in batch.column(1):
+            for text in batch.column(len(kept)):
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
                 if held > 6 << 20:
                     found += label(texts)
                     texts, held = [], 0
             found += label(texts) if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema_of(docs, kept, "lang_pred string, score double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = predict_languages(docs, fit_languages(docs, remainder("doc_id", 5) != 0))
+    found = predict_languages(docs, fit_languages(docs, remainder("doc_id", 5) != 0), keep=["doc_id"])
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

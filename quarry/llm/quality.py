@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, remainder, utf8
+from .common import fewer_collections, kept_columns, remainder, schema_of, utf8
 
 BUCKETS, RANK, STATS = 1 << 13, 6, 24
 MARKS = b"!$%&*#|.,;:?@/\\<>={}[]_"
@@ -156,15 +156,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: int
     return FactorMachine().fit(rows, np.array([r["quality"] for r in got], float))
 
 
-def score_quality(docs: DataFrame, model: FactorMachine) -> DataFrame:
-    """doc_id, score for every row; ``score`` is the model's probability of label 1."""
+def score_quality(docs: DataFrame, model: FactorMachine, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (or all) and score for every row; ``score`` is the model's probability of label 1."""
+    kept = kept_columns(docs, keep, ["score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         fewer_collections()
         for batch in batches:
             raws, scores, held = [], [], 0
-            for raw in batch.column(1):
+            for raw in batch.column(len(kept)):
                 raws.append(raw.as_py())
                 held += len(raws[-1])
                 if held > GROUP_BYTES:
@@ -172,14 +173,15 @@ def score_quality(docs: DataFrame, model: FactorMachine) -> DataFrame:
                     raws, held = [], 0
             if raws:
                 scores.append(model.scores(raws, buckets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
+            found = pa.array(np.concatenate(scores) if scores else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], [*kept, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(*kept, utf8().alias("_raw")).mapInArrow(run, schema_of(docs, kept, "score double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the quality score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = score_quality(docs, fit_quality(docs, labels, remainder("doc_id", 5) != 0))
+    scored = score_quality(docs, fit_quality(docs, labels, remainder("doc_id", 5) != 0), ["doc_id"])
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
