@@ -32,6 +32,8 @@ FREQUENT = 400_000
 PARTNERS, BLOCK = 256, 512
 #: Entries of one shingle that get a leader together.
 PART = 8192
+#: Odd numbers; each orders the sets of a shingle anew, and the first is a leader.
+ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Up to so many pairs of numbers (16 bytes each) are broadcast.
 BROADCAST_IDS = 2_000_000
 NO_ID = -(1 << 63)
@@ -252,10 +254,12 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 75, leaders: in
 
     entries = rows.select("raw").mapInArrow(spread, "token long, id long, n int, place int")
     shared = shared_table(meet(entries), "entries")
-    near = shared.filter("id != leader AND 100 * least(n, leader_n) >= 75 * greatest(n, leader_n)").groupBy("id", "n", "leader").count().filter("20 * count >= n")
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).filter(F.col("k") <= leaders)
-    first = shared_table(best.select(F.col("leader").alias("a"), F.col("id").alias("b")), "pairs")
+    first = shared_table(led_pairs(shared, [0], leaders), "pairs")
     links = shared_table(similar_pairs(first, texts_of(first, firsts, rows), ranks, width, percent), "links")
+    # What no leader of the first order links with is held against those of the other orders.
+    single = shared.join(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "id", "left_anti")
+    again = shared_table(led_pairs(single, [1, 2], 3 * leaders).join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(shared_table(similar_pairs(again, texts_of(again, firsts, rows), ranks, width, percent), "links"))
     labels = components(links)
     second = shared_table(open_pairs(shared, labels, percent), "pairs")
     more = shared_table(similar_pairs(second, texts_of(second, firsts, rows), ranks, width, percent), "links")
@@ -268,6 +272,17 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 75, leaders: in
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def led_pairs(entries: DataFrame, orders: list[int], most: int) -> DataFrame:
+    """a (a leader), b: for each set its ``most`` leaders with most common shingles, if those are a twentieth of its own."""
+    sides = [entries.select("id", "n", F.col(f"leader{k}").alias("leader"), F.col(f"leader_n{k}").alias("m")) for k in orders]
+    near = sides[0].filter("id != leader AND 100 * least(n, m) >= 75 * greatest(n, m)").groupBy("id", "n", "leader").count()
+    for side in sides[1:]:
+        near = near.unionByName(side.filter("id != leader AND 100 * least(n, m) >= 75 * greatest(n, m)").groupBy("id", "n", "leader").count())
+    near = near.filter("20 * count >= n").groupBy("id", "leader").agg(F.max("count").alias("count"))
+    best = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).filter(F.col("k") <= most)
+    return best.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+
+
 def meet(entries: DataFrame) -> DataFrame:
     """Entries whose shingle more than one set holds, with the least-hashed of the sets as leader.
 
@@ -298,18 +313,18 @@ def meet(entries: DataFrame) -> DataFrame:
         table, token, ids, n = table.take(pa.array(order)), token[order], ids[order], n[order]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(start, len(token)))
-        order = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-        low = np.minimum.reduceat(order, start)
-        mine = np.flatnonzero(order == np.repeat(low, sizes))
-        leader, leader_n = np.empty(len(start), np.int64), np.empty(len(start), np.int32)
         group = np.repeat(np.arange(len(start)), sizes)
-        leader[group[mine]], leader_n[group[mine]] = ids[mine], n[mine]
-        table = table.append_column("leader", pa.array(leader[group])).append_column("leader_n", pa.array(leader_n[group]))
+        for k, mix in enumerate(ORDERS):
+            order = (ids.astype(np.uint64) * np.uint64(mix)) >> np.uint64(1)
+            mine = np.flatnonzero(order == np.minimum.reduceat(order, start)[group])
+            leader, leader_n = np.empty(len(start), np.int64), np.empty(len(start), np.int32)
+            leader[group[mine]], leader_n[group[mine]] = ids[mine], n[mine]
+            table = table.append_column(f"leader{k}", pa.array(leader[group])).append_column(f"leader_n{k}", pa.array(leader_n[group]))
         out = table.filter(pa.array((sizes > 1)[group] | whole_parts))
         yield from out.combine_chunks().to_batches()
 
     dealt = entries.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "token long, id long, n int, place int, leader long, leader_n int")
+    return dealt.mapInArrow(run, "token long, id long, n int, place int, " + ", ".join(f"leader{k} long, leader_n{k} int" for k in range(len(ORDERS))))
 
 
 def open_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -318,7 +333,7 @@ def open_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     Entries of a shingle whose sets are all in one component are done. The others of a shingle are cut into blocks; each
     pair of blocks is one task's, so no task gets an unbounded group.
     """
-    known = entries.join(labels.withColumnRenamed("component", "found"), "id", "left").withColumn("component", F.coalesce("found", "id")).drop("found", "leader", "leader_n")
+    known = entries.join(labels.withColumnRenamed("component", "found"), "id", "left").withColumn("component", F.coalesce("found", "id")).drop("found").select("token", "id", "n", "place", "component")
     mixed = known.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a != b").select("token", "size")
     left = known.join(mixed, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
