@@ -1,0 +1 @@
+"""Operators of the retrieval and conversation engine."""

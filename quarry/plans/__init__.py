@@ -1,0 +1 @@
+"""Plans of the retrieval and conversation engine."""

@@ -1,0 +1 @@
+"""Sources of the retrieval and conversation engine."""

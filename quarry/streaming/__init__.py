@@ -1,0 +1 @@
+"""Streaming of the retrieval and conversation engine."""
