@@ -33,7 +33,7 @@ END = b"\n"  # no word holds it
 HEAD, HEAD_BYTES = 200_000, 48
 SINGLE, SHARED = 96, 64
 CLASSES = SINGLE + SHARED
-WIDTH, CONTEXT = 24, 4
+WIDTH, CONTEXT = 24, 3
 BATCH, NOISE, RATIO, RATE = 1024, 64, 20.0, 0.12
 
 
@@ -75,7 +75,7 @@ class Vocabulary:
         return np.fromiter((self.head.get(w, -1) for w in words), np.int64, len(words))
 
     def class_of(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-        found = self.classes[ids]
+        found = self.classes[ids]  # int16
         for k in np.flatnonzero(ids < 0).tolist():
             found[k] = SINGLE + zlib.crc32(words[k][-2:]) % SHARED
         return found
@@ -85,13 +85,21 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     """The vocabulary of a table of counts (word, n)."""
     ending = F.expr("substring(word, -2, 2)")
     grouped = words.groupBy((F.crc32(ending) % F.lit(SHARED)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # SHARED rows
-    top = words.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    short = words.filter(F.length("word") <= HEAD_BYTES)
+    size = {r["k"]: r["v"] for r in short.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("v")).collect()}  # eight rows a power of two
+    least, held = max(size, default=0) + 1, 0
+    for k in sorted(size, reverse=True):
+        held += size[k]
+        if held > HEAD:
+            break
+        least = k
+    top = sorted(short.filter(F.floor(F.log2("n") * 8) >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # HEAD rows at most
     own = [(END, next((r["n"] for r in top if bytes(r["word"]) == END), 0)), *((bytes(r["word"]), r["n"]) for r in top if bytes(r["word"]) != END)]
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in grouped:
         n[SINGLE + r["k"]], v[SINGLE + r["k"]] = r["n"], r["v"]
     total, distinct = int(n.sum()), int(v.sum())
-    classes = np.array([k if k < SINGLE else SINGLE + zlib.crc32(w[-2:]) % SHARED for k, (w, _) in enumerate(own)] + [0], np.int64)
+    classes = np.array([k if k < SINGLE else SINGLE + zlib.crc32(w[-2:]) % SHARED for k, (w, _) in enumerate(own)] + [0], np.int16)
     logs = np.array([np.log10(c + 1) for _, c in own] + [0.0])
     for k, (w, c) in enumerate(own[:SINGLE]):  # what has a class of its own isn't in the shared one
         shared = SINGLE + zlib.crc32(w[-2:]) % SHARED
@@ -126,25 +134,33 @@ class LogBilinear:
             at += size
         return self
 
-    def predict(self, before: np.ndarray) -> np.ndarray:
-        """Predicted class vectors; before: rows of the classes at distance 1, 2, ..."""
-        out = self.Q[before[:, 0]] * self.scale[0]
+    def scaled(self) -> np.ndarray:
+        """Context vectors of every class at every distance."""
+        return self.Q[None] * self.scale[:, None]
+
+    def predict(self, before: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+        """Predicted class vectors; before: for each distance the classes of all rows."""
+        out = scaled[0][before[0]]
         for i in range(1, CONTEXT):
-            out += self.Q[before[:, i]] * self.scale[i]
+            out += scaled[i][before[i]]
         return out
 
     def log10_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each target class."""
-        out = np.empty(len(target))
-        for at in range(0, len(target), 8192):
-            t = target[at : at + 8192]
-            scores = self.predict(before[at : at + 8192]) @ self.R.T
+        out, scaled, products = np.empty(len(target)), self.scaled(), np.ascontiguousarray(self.R.T)
+        for at in range(0, len(target), 1024):
+            t = target[at : at + 1024]
+            scores = self.predict(before[:, at : at + 1024], scaled) @ products
             scores += self.bias
             own = scores[np.arange(len(t)), t]
-            top = scores.max(1)
-            scores -= top[:, None]
+            top = scores.max()
+            if top > 60:
+                top = scores.max(1)
+                scores -= top[:, None]
+            else:
+                top = 0
             np.exp(scores, out=scores)
-            out[at : at + 8192] = (own - top) - np.log(scores.sum(1))
+            out[at : at + 1024] = (own - top) - np.log(scores.sum(1))
         return out / np.log(10)
 
     def train(self, before: np.ndarray, target: np.ndarray, grown: dict[str, np.ndarray], rng: np.random.Generator) -> None:
@@ -152,37 +168,44 @@ class LogBilinear:
         cut = np.cumsum(self.noise)
         lift = np.log(RATIO * self.noise).astype(np.float32)
         for at in range(0, len(target), BATCH):
-            b, t = before[at : at + BATCH], target[at : at + BATCH]
+            b, t = before[:, at : at + BATCH], target[at : at + BATCH]
             n = len(t)
             noise = np.minimum(np.searchsorted(cut, rng.random(NOISE)), CLASSES - 1)
-            p = self.predict(b)
-            good = 1 / (1 + np.exp(-((p * self.R[t]).sum(1) + self.bias[t] - lift[t]))) - 1  # gradient of the true class
-            bad = 1 / (1 + np.exp(-(p @ self.R[noise].T + self.bias[noise] - lift[noise]))) * np.float32(RATIO / NOISE)
+            p, own, other = self.predict(b, self.scaled()), self.R[t], self.R[noise]
+            good = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", p, own) + self.bias[t] - lift[t]))) - 1  # gradient of the true class
+            bad = 1 / (1 + np.exp(-(p @ other.T + (self.bias[noise] - lift[noise])))) * np.float32(RATIO / NOISE)
             good, bad = (good / n).astype(np.float32), (bad / n).astype(np.float32)
-            dp = good[:, None] * self.R[t] + bad @ self.R[noise]
-            to_t = np.zeros((CLASSES, n), np.float32)
-            to_t[t, np.arange(n)] = good
-            d = {"R": to_t @ p, "bias": np.bincount(t, good, CLASSES) + np.bincount(noise, bad.sum(0), CLASSES)}
+            dp = good[:, None] * own
+            dp += bad @ other
+            d = {"R": summed(t, p * good[:, None]), "bias": np.bincount(t, good, CLASSES) + np.bincount(noise, bad.sum(0), CLASSES)}
             np.add.at(d["R"], noise, bad.T @ p)
-            d["Q"], d["scale"] = np.zeros_like(self.Q), np.zeros_like(self.scale)
-            one = np.ones(n, np.float32)
-            for i in range(CONTEXT):
-                to_c = np.zeros((CLASSES, n), np.float32)
-                to_c[b[:, i], np.arange(n)] = one
-                d["Q"] += to_c @ (dp * self.scale[i])
-                d["scale"][i] = (dp * self.Q[b[:, i]]).sum(0)
+            by_class = np.stack([summed(b[i], dp) for i in range(CONTEXT)])
+            d["Q"] = (by_class * self.scale[:, None]).sum(0)
+            d["scale"] = (by_class * self.Q[None]).sum(1)
             for k, g in d.items():
                 grown[k] += g**2
                 setattr(self, k, (getattr(self, k) - RATE * g / np.sqrt(grown[k])).astype(np.float32))
 
 
+def summed(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
+    order = np.argsort(classes, kind="stable")
+    ordered = classes[order]
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    out[ordered[start]] = np.add.reduceat(rows[order], start, axis=0)
+    return out
+
+
 def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Classes at distance 1 to CONTEXT before each token of texts laid end to end; before a text's start, the end token."""
-    step = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = np.zeros((len(classes), CONTEXT), np.int64)
+    """For each distance the classes before all tokens of texts laid end to end; before a text's start, the end token."""
+    out = np.zeros((CONTEXT, len(classes)), np.int16)
+    starts = np.cumsum(sizes) - sizes
     for i in range(CONTEXT):
-        has = np.flatnonzero(step > i)
-        out[has, i] = classes[has - i - 1]
+        out[i, i + 1 :] = classes[: max(0, len(classes) - i - 1)]
+        for k in range(i + 1):  # every text has an end token; shorter ones than the distance are covered by their followers
+            first = starts[sizes > k] + k
+            out[i, first] = 0
     return out
 
 
