@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fewer_collections
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 NEVER = 1 << 60
 #: Python counts these as white space, the word pattern does not.
 INFORMATION = "\x1c\x1d\x1e\x1f"
