@@ -29,7 +29,7 @@ from .components import components
 
 #: At most so many of the most frequent shingles are ordered by their counts; any bound gives the same links.
 FREQUENT = 400_000
-PARTNERS, BLOCK = 256, 512
+PARTNERS, PROBES, BLOCK = 256, 64, 512
 #: Entries of one shingle that get a leader together.
 PART = 8192
 #: Odd numbers; each orders the sets of a shingle anew, and the first is a leader.
@@ -125,20 +125,32 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 class PrefixTree:
-    """Ordered sets in a tree with one edge for each run that no two sets part in."""
+    """Ordered sets in a tree with one edge for each run that no two sets part in, and an index of its upper edges."""
 
-    def __init__(self, sets: list[np.ndarray], names: list[int]):
+    def __init__(self, sets: list[np.ndarray], names: list[int], percent: int):
         order = sorted(range(len(sets)), key=lambda k: sets[k].tobytes())
         self.sets = [sets[k] for k in order]
         self.names = [names[k] for k in order]
-
-    def search(self, probe: np.ndarray, percent: int) -> list[int]:
+        self.percent = percent
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(sets))
+        self.tops = np.array([prefix_size(n, percent) for n in self.sizes.tolist()], np.int64)
+        upper = np.concatenate([s[:k] for s, k in zip(self.sets, self.tops.tolist(), strict=True)]) if sets else np.empty(0, np.uint64)
+        by = np.argsort(upper, kind="stable")
+        self.upper, self.holder = upper[by], np.repeat(np.arange(len(sets)), self.tops)[by]
+
+    def search(self, probe: np.ndarray) -> list[int]:
         """Names of the sets similar to ``probe`` (sorted by hash)."""
         found: list[int] = []
-        n = len(probe)
-        own = self.sets
+        n, percent = len(probe), self.percent
+        lo, hi = np.searchsorted(self.upper, probe), np.searchsorted(self.upper, probe, "right")
+        met = np.flatnonzero(hi > lo)
+        at = np.repeat(lo[met] - np.concatenate([[0], np.cumsum(hi[met] - lo[met])[:-1]]), hi[met] - lo[met]) + np.arange(int((hi[met] - lo[met]).sum())) if len(met) else np.empty(0, np.int64)
+        shared = np.bincount(self.holder[at], minlength=len(self.sets))
+        # Below its upper edges a set can gain no more than the shingles that it has left.
+        alive = np.flatnonzero(shared + self.sizes - self.tops >= -(-percent * (self.sizes + n) // (100 + percent)))
+        own, names = [self.sets[k] for k in alive.tolist()], [self.names[k] for k in alive.tolist()]
         hits = []
-        for s in own:  # which of a set's shingles the probe holds, once a set: sums along the tree's edges come from it
+        for s in own:  # which of a set's shingles the probe holds: sums along the tree's edges come from it
             at = np.minimum(np.searchsorted(probe, s), n - 1)
             hits.append(np.concatenate([[0], np.cumsum(probe[at] == s)]))
 
@@ -151,7 +163,7 @@ class PrefixTree:
                 return
             if hi - lo == 1:
                 if hits[lo][-1] >= needed(len(own[lo]), n, percent):
-                    found.append(self.names[lo])
+                    found.append(names[lo])
                 return
             first, last = own[lo], own[hi - 1]
             m = min(len(first), len(last))
@@ -160,7 +172,7 @@ class PrefixTree:
             at = lo
             while at < hi and len(own[at]) == depth:
                 if hits[at][-1] >= needed(depth, n, percent):
-                    found.append(self.names[at])
+                    found.append(names[at])
                 at += 1
             while at < hi:
                 edge = own[at][depth].tobytes()
@@ -173,44 +185,55 @@ class PrefixTree:
         return found
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, ranks, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose texts' sets are similar; texts: id, raw. A set and its partners meet in bounded blocks."""
-    many = pairs.groupBy("a").count().withColumn("blocks", F.ceil(F.col("count") / PARTNERS).cast("int")).drop("count")
-    dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    probes = many.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("id"))
-    rows = probes.union(dealt.select("a", "block", F.col("b").alias("id"))).join(texts, "id")
+def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent: int) -> DataFrame:
+    """a, b of all similar sets on different sides of a group. sides: g, id, probe (which side); texts: id, raw.
+
+    Both sides of a group are cut into blocks, ``PARTNERS`` stored sets and ``PROBES`` probes at most on average, and each
+    pair of blocks is one task's: a set's text goes once to each block of the other side, not once to each partner.
+    """
+    sizes = sides.groupBy("g").agg(F.sum(F.col("probe").cast("int")).alias("n"), F.count("*").alias("all"))
+    blocks = sizes.select("g", F.ceil(F.col("n") / PROBES).cast("int").alias("probes"), F.ceil((F.col("all") - F.col("n")) / PARTNERS).cast("int").alias("stores")).filter("probes > 0 AND stores > 0")
+    other = F.when(F.col("probe"), F.col("stores")).otherwise(F.col("probes"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("stores"))).cast("int")
+    spread = sides.join(blocks, "g").withColumn("own", own).withColumn("far", F.explode(F.sequence(F.lit(0), other - 1)))
+    placed = spread.select("g", F.when(F.col("probe"), F.col("far")).otherwise(F.col("own")).alias("i"), F.when(F.col("probe"), F.col("own")).otherwise(F.col("far")).alias("j"), "probe", "id")
+    rows = placed.join(texts, "id").select("g", "i", "j", "probe", "id", "raw").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
-        now, held = None, {}
+        now, probes, stored = None, {}, {}
 
         def close() -> list[tuple[int, int]]:
-            if now is None or now[0] not in held or len(held) < 2:
+            if not probes or not stored:
                 return []
-            names = [x for x in held if x != now[0]]
-            tree = PrefixTree([ordered(held[x], ranks.value) for x in names], names)
-            return [(now[0], b) for b in tree.search(held[now[0]], percent)]
+            tree = PrefixTree([ordered(x, ranks.value) for x in stored.values()], list(stored), percent)
+            return [(a, b) for a, x in probes.items() for b in tree.search(x)]
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for a, k, name, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if now != (a, k):
+            for g, i, j, probe, name, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if now != (g, i, j):
                     out += close()
-                    now, held = (a, k), {}
+                    now, probes, stored = (g, i, j), {}, {}
                 found = shingles(raw, width)
                 if set_id(found) == name:  # a doc_id may have come with other texts too
-                    held[name] = found
+                    (probes if probe else stored)[name] = found
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
         out = close()
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
-    dealt_out = rows.select("a", "block", "id", "raw").repartition("a", "block").sortWithinPartitions("a", "block")
-    return dealt_out.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
+
 
+def sides_of(pairs: DataFrame) -> DataFrame:
+    """Pairs (leader a, set b) as groups of a leader's sets, with the leader as probe."""
+    led = pairs.select(F.col("a").alias("g"), F.col("b").alias("id"), F.lit(False).alias("probe"))
+    return led.union(pairs.select(F.col("a").alias("g"), F.col("a").alias("id"), F.lit(True).alias("probe")).distinct())
 
-def texts_of(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
-    """id, raw of all sets in pairs. Up to ``BROADCAST_IDS`` of them only their numbers are sent around, beyond that all meet by doc_id."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(firsts, "id").select("id", "doc_id")
+
+def texts_of(sides: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, raw of all sets in sides. Up to ``BROADCAST_IDS`` of them only their numbers are sent around, beyond that all meet by doc_id."""
+    wanted = sides.select("id").distinct().join(firsts, "id").select("id", "doc_id")
     wanted = shared_table(wanted, "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -255,14 +278,14 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 75, leaders: in
     entries = rows.select("raw").mapInArrow(spread, "token long, id long, n int, place int")
     shared = shared_table(meet(entries), "entries")
     first = shared_table(led_pairs(shared, [0], leaders), "pairs")
-    links = shared_table(similar_pairs(first, texts_of(first, firsts, rows), ranks, width, percent), "links")
+    check = lambda sides: shared_table(similar_pairs(sides, texts_of(sides, firsts, rows), ranks, width, percent), "links")
+    links = check(sides_of(first))
     # What no leader of the first order links with is held against those of the other orders.
     single = shared.join(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "id", "left_anti")
     again = shared_table(led_pairs(single, [1, 2], 3 * leaders).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(shared_table(similar_pairs(again, texts_of(again, firsts, rows), ranks, width, percent), "links"))
+    links = links.unionByName(check(sides_of(again)))
     labels = components(links)
-    second = shared_table(open_pairs(shared, labels, percent), "pairs")
-    more = shared_table(similar_pairs(second, texts_of(second, firsts, rows), ranks, width, percent), "links")
+    more = check(shared_table(open_sides(shared, labels, percent), "sides"))
     final = labels if more.isEmpty() else components(links.unionByName(more))
     classes = firsts.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -327,21 +350,25 @@ def meet(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, id long, n int, place int, " + ", ".join(f"leader{k} long, leader_n{k} int" for k in range(len(ORDERS))))
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components that share enough of their prefixes to be similar.
+def open_sides(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """g, id, probe: sets that may be similar though in different components, by the larger component of two.
 
-    Entries of a shingle whose sets are all in one component are done. The others of a shingle are cut into blocks; each
-    pair of blocks is one task's, so no task gets an unbounded group.
+    A group holds the component's sets that some outer set shares a prefix shingle with (stored), and those outer sets
+    (probes). Pairs too different in size, or too late in their orders for the similarity, don't count. Entries of a
+    shingle whose sets are all in one component are done. The others of a shingle are cut into blocks; each pair of
+    blocks is one task's, so no task gets an unbounded group.
     """
-    known = entries.join(labels.withColumnRenamed("component", "found"), "id", "left").withColumn("component", F.coalesce("found", "id")).drop("found").select("token", "id", "n", "place", "component")
+    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component")
+    known = entries.join(sized.withColumnRenamed("component", "found"), "id", "left")
+    known = known.select("token", "id", "n", "place", F.coalesce("found", "id").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
     mixed = known.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a != b").select("token", "size")
     left = known.join(mixed, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    cells = left.withColumn("own", own).withColumn("cell", F.explode(every)).select("token", "cell.i", "cell.j", "own", "id", "n", "place", "component")
+    cells = left.withColumn("own", own).withColumn("cell", F.explode(every)).select("token", "cell.i", "cell.j", "own", "id", "n", "place", "component", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None
+        carried, sent = None, set()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([carried, table]) if carried is not None else table
@@ -350,45 +377,41 @@ def open_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")])
             new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             last = int(new[-1]) if len(new) else 0
-            yield from paired(table.slice(0, last), np.concatenate([[0], new[:-1], [last]]) if len(new) else np.array([0]))
+            yield from paired(table.slice(0, last), np.concatenate([[0], new[:-1], [last]]) if len(new) else np.array([0]), sent)
             carried = table.slice(last)
         if carried is not None and len(carried):
-            yield from paired(carried, np.array([0, len(carried)]))
+            yield from paired(carried, np.array([0, len(carried)]), sent)
 
-    def paired(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, own, ids, n, place, component = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "own", "id", "n", "place", "component"))
-        a, b = [], []
+    def paired(table: pa.Table, edges: np.ndarray, sent: set) -> Iterator[pa.RecordBatch]:
+        i, j, own, ids, n, place, component, weight = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "own", "id", "n", "place", "component", "weight"))
+        found = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
             s = slice(lo, hi)
-            x = np.flatnonzero(own[s] == i[lo]) + lo
-            y = np.flatnonzero(own[s] == j[lo]) + lo
-            p, q = (m.ravel() for m in np.meshgrid(x, y, indexing="ij"))
-            small = (n[p] < n[q]) | (n[p] == n[q]) & (ids[p] < ids[q])
+            p, q = (m.ravel() for m in np.meshgrid(np.flatnonzero(own[s] == i[lo]) + lo, np.flatnonzero(own[s] == j[lo]) + lo, indexing="ij"))
+            small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+            keep = (component[p] != component[q]) & (100 * small >= percent * large)
             if i[lo] == j[lo]:
-                keep = small
-            else:
-                p, q, keep = np.where(small, p, q), np.where(small, q, p), np.ones(len(p), bool)
-            keep &= (component[p] != component[q]) & (100 * n[p] >= percent * n[q])
+                keep &= ids[p] < ids[q]
             p, q = p[keep], q[keep]
-            most = np.minimum(place[p], place[q]) + 1 + np.minimum(n[p] - place[p], n[q] - place[q]) - 1
+            most = np.minimum(place[p], place[q]) + np.minimum(n[p] - place[p], n[q] - place[q])
             keep = most >= -(-percent * (n[p] + n[q]) // (100 + percent))
-            a.append(ids[p[keep]])
-            b.append(ids[q[keep]])
-        if a:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0][0]), pa.array(both[0][1]), pa.array(both[1])], ["a", "b", "k"])
+            p, q = p[keep], q[keep]
+            swap = (weight[p] > weight[q]) | (weight[p] == weight[q]) & (component[p] < component[q])
+            p, q = np.where(swap, q, p), np.where(swap, p, q)  # q is in the component that names the group
+            for who, probe in ((p, 1), (q, 0)):
+                found.append(np.stack([component[q], ids[who], np.full(len(who), probe)]))
+        if found:
+            rows = [r for r in map(tuple, np.unique(np.concatenate(found, 1), axis=1).T.tolist()) if r not in sent]
+            if len(sent) > 1_000_000:
+                sent.clear()
+            sent.update(rows)
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([bool(x) for x in columns[2]], pa.bool_())], ["g", "id", "probe"])
 
     dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = dealt.select("token", "i", "j", "own", "id", "n", "place", "component").mapInArrow(run, "a long, b long, k long")
-    counted = found.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    sizes = entries.select("id", "n").distinct()
-    both = counted.join(sizes.withColumnRenamed("id", "a").withColumnRenamed("n", "na"), "a").join(sizes.withColumnRenamed("id", "b").withColumnRenamed("n", "nb"), "b")
-    # Of the prefixes, one ends first: all that its set shares up to there is counted, and the rest of it is too short.
-    rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    least = F.floor((F.col("na") + F.col("nb")) * percent / (100 + percent)) - rest
-    return both.filter(F.col("k") >= least).select("a", "b")
+    return dealt.select("token", "i", "j", "own", "id", "n", "place", "component", "weight").mapInArrow(run, "g long, id long, probe boolean").distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
