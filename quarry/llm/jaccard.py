@@ -384,24 +384,37 @@ def open_sides(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
     def paired(table: pa.Table, edges: np.ndarray, sent: set) -> Iterator[pa.RecordBatch]:
         i, j, own, ids, n, place, component, weight = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "own", "id", "n", "place", "component", "weight"))
+        sizes = np.diff(edges)
+        two = edges[:-1][sizes == 2]
+        pairs = [(two, two + 1)] if len(two) else []
         found = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            s = slice(lo, hi)
-            p, q = (m.ravel() for m in np.meshgrid(np.flatnonzero(own[s] == i[lo]) + lo, np.flatnonzero(own[s] == j[lo]) + lo, indexing="ij"))
-            small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-            keep = (component[p] != component[q]) & (100 * small >= percent * large)
-            if i[lo] == j[lo]:
-                keep &= ids[p] < ids[q]
-            p, q = p[keep], q[keep]
-            most = np.minimum(place[p], place[q]) + np.minimum(n[p] - place[p], n[q] - place[q])
-            keep = most >= -(-percent * (n[p] + n[q]) // (100 + percent))
+
+        def settle() -> None:
+            p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            pairs.clear()
+            alpha = -(-percent * (n[p] + n[q]) // (100 + percent))
+            # Two similar sets share a shingle of both prefixes that their own sizes allow.
+            keep = (component[p] != component[q]) & (place[p] <= n[p] - alpha) & (place[q] <= n[q] - alpha)
             p, q = p[keep], q[keep]
             swap = (weight[p] > weight[q]) | (weight[p] == weight[q]) & (component[p] < component[q])
             p, q = np.where(swap, q, p), np.where(swap, p, q)  # q is in the component that names the group
             for who, probe in ((p, 1), (q, 0)):
                 found.append(np.stack([component[q], ids[who], np.full(len(who), probe)]))
+
+        held = 0
+        for lo, hi in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
+            s = slice(lo, hi)
+            if i[lo] == j[lo]:
+                p, q = np.triu_indices(hi - lo, 1)
+            else:
+                p, q = (m.ravel() for m in np.meshgrid(np.flatnonzero(own[s] == i[lo]), np.flatnonzero(own[s] == j[lo]), indexing="ij"))
+            pairs.append((p + lo, q + lo))
+            held += len(p)
+            if held > 1_000_000:
+                settle()
+                held = 0
+        if pairs:
+            settle()
         if found:
             rows = [r for r in map(tuple, np.unique(np.concatenate(found, 1), axis=1).T.tolist()) if r not in sent]
             if len(sent) > 1_000_000:
