@@ -185,9 +185,11 @@ class PrefixTree:
         return found
 
 
-def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent: int) -> DataFrame:
+def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent: int, joined: bool = False) -> DataFrame:
     """a, b of all similar sets on different sides of a group. sides: g, id, probe (which side); texts: id, raw.
 
+    joined: a group's stored sets are one component already, so one link of a probe to a block of them says all.
+
     Both sides of a group are cut into blocks, ``PARTNERS`` stored sets and ``PROBES`` probes at most on average, and each
     pair of blocks is one task's: a set's text goes once to each block of the other side, not once to each partner.
     """
@@ -207,7 +209,7 @@ def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent
             if not probes or not stored:
                 return []
             tree = PrefixTree([ordered(x, ranks.value) for x in stored.values()], list(stored), percent)
-            return [(a, b) for a, x in probes.items() for b in tree.search(x)]
+            return [(a, b) for a, x in probes.items() for b in tree.search(x)[: 1 if joined else None]]
 
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -278,14 +280,14 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 75, leaders: in
     entries = rows.select("raw").mapInArrow(spread, "token long, id long, n int, place int")
     shared = shared_table(meet(entries), "entries")
     first = shared_table(led_pairs(shared, [0], leaders), "pairs")
-    check = lambda sides: shared_table(similar_pairs(sides, texts_of(sides, firsts, rows), ranks, width, percent), "links")
+    check = lambda sides, joined=False: shared_table(similar_pairs(sides, texts_of(sides, firsts, rows), ranks, width, percent, joined), "links")
     links = check(sides_of(first))
     # What no leader of the first order links with is held against those of the other orders.
     single = shared.join(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "id", "left_anti")
     again = shared_table(led_pairs(single, [1, 2], 3 * leaders).join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(check(sides_of(again)))
     labels = components(links)
-    more = check(shared_table(open_sides(shared, labels, percent), "sides"))
+    more = check(shared_table(open_sides(shared, labels, percent), "sides"), True)
     final = labels if more.isEmpty() else components(links.unionByName(more))
     classes = firsts.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("least"))
