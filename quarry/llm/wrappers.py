@@ -1,13 +1,14 @@
 """Main text of web pages by wrapper inference.
 
 Pages become streams of tags and text slots. Tandem repeats in a page turn into repeated groups; then the streams of a
-host are aligned one after the other, and where two differ the differing parts become optional or repeated groups. What
-results is a union-free regular expression, the host's wrapper. Its slots, with counts of how their texts vary over the
-host's pages, tell the article from the template.
-
-Only different streams meet in alignment, first in salted groups of a host and then their wrappers, so a host with a
-large share of the pages is no burden. Null html counts as empty and gives an empty text; a null url is a host of its
-own. Pages of any length are read whole; equal rows get equal texts. Extra columns are ignored.
+host are aligned, and where two differ the differing parts become optional or repeated groups. What results is a
+union-free regular expression that all pages of the host match, the host's wrapper. Every page is matched against it, so
+each of its texts fills one slot. A slot that the same text fills on pages that otherwise differ is template; the rest
+of a page's layout, inside its article or main element if it has one, is the main text.
+
+Only different streams meet in alignment, in rounds of small merges, so a host with a large share of the pages is no
+burden. Null html counts as empty and gives an empty text; a null url is a host of its own. Pages of any length are read
+whole; equal rows get equal texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -44,6 +44,10 @@ NOT_TEXT_WORDS = frozenset(
 )
 SPACE = re.compile(r"\s+")
 MAX_UNIT = 12
+#: Pages with the same text in a slot that make it template.
+LEAST_PAGES = 3
+#: Wrappers of more bytes in all aren't broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def attributes(rest: str) -> tuple[str, bool]:
@@ -58,20 +62,21 @@ def attributes(rest: str) -> tuple[str, bool]:
     return label, out
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, tag or path, text, out) of a page in order: "tag" for a block's begin or end, "text" for a block's words.
+def blocks(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+    """(kind, tag or path, text, out, root) of a page in order: "tag" for a block's begin or end, "text" for a block's words.
 
-    path: the labelled block elements around a text; out: some element around it is no article text.
+    path: the labelled block elements around a text; out: some element around it is no article text; root: it is inside
+    an article or main element.
     """
     stack: list[tuple[str, str, bool]] = []
     parts: list[str] = []
     at = 0
 
-    def flush() -> Iterator[tuple[str, str, str, bool]]:
+    def flush() -> Iterator[tuple[str, str, str, bool, bool]]:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            yield "text", "/".join(s[1] for s in stack), text, any(s[2] for s in stack)
+            yield "text", "/".join(s[1] for s in stack), text, any(s[2] for s in stack), any(s[0] in ("article", "main") for s in stack)
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
@@ -89,16 +94,16 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
                 del stack[depth:]
-                yield "tag", f"/{name}", "", False
+                yield "tag", f"/{name}", "", False, False
             continue
         while stack and (stack[-1][0] == "p" and name in CLOSES_P or stack[-1][0] == name and name in ("p", "li", "tr", "td", "th", "dd", "dt", "option")):
-            yield "tag", f"/{stack.pop()[0]}", "", False
+            yield "tag", f"/{stack.pop()[0]}", "", False, False
         label, out = attributes(m["rest"])
         inside = any(s[0] in ("article", "main") for s in stack)
         stack.append((name, name + label, out or name in NOT_TEXT or name == "header" and not inside))
         if len(stack) > 200:
             stack.pop(0)
-        yield "tag", name + label, "", False
+        yield "tag", name + label, "", any(s[2] for s in stack), any(s[0] in ("article", "main") for s in stack)
     if at < len(page):
         parts.append(page[at:])
     yield from flush()
@@ -122,15 +127,39 @@ def fold(nodes: list) -> list:
     return nodes
 
 
+def nodes_of(found: list[tuple[str, str, str, bool, bool]]) -> tuple[list[tuple[str, str]], list[int]]:
+    """The nodes of a page's blocks, and the node of each text; texts at one path without a tag between share a node."""
+    nodes: list[tuple[str, str]] = []
+    of: list[int] = []
+    for kind, what, *_ in found:
+        node = ("<", what) if kind == "tag" else ("#", what)
+        if kind == "tag" or not nodes or nodes[-1] != node:
+            nodes.append(node)
+        if kind == "text":
+            of.append(len(nodes) - 1)
+    return nodes, of
+
+
 def stream(page: str) -> list:
     """A page's tags and text slots, with its own repeats folded."""
-    nodes = [["<", b] if kind == "tag" else ["#", b] for kind, b, _, _ in blocks(page)]
-    return fold([n for k, n in enumerate(nodes) if n[0] != "#" or k == 0 or nodes[k - 1] != n])
+    return fold([list(n) for n in nodes_of(list(blocks(page)))[0]])
+
+
+def bare(node: list) -> list:
+    """The nodes that a node repeats or makes optional, or the node itself."""
+    while node[0] in "+?":
+        if len(node[1]) > 1:
+            return node[1]
+        node = node[1][0]
+    return [node]
 
 
 def align(a: list, b: list) -> list:
-    """The wrapper of two streams or wrappers: what they share, and the rest as repeated or optional groups ("?", nodes)."""
-    x, y = ([json.dumps(n[1] if n[0] == "?" and len(n[1]) == 1 else n) for n in s] for s in (a, b))
+    """The wrapper of two streams or wrappers: what they share, and the rest as repeated or optional groups ("?", nodes).
+
+    All that matches one of the two matches the wrapper.
+    """
+    x, y = ([json.dumps(n[1][0] if n[0] == "?" and len(n[1]) == 1 else n) for n in s] for s in (a, b))
     out: list = []
     for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
@@ -139,134 +168,188 @@ def align(a: list, b: list) -> list:
         for part in (a[i:j], b[k:m]):
             if not part:
                 continue
-            plain = part[0][1] if len(part) == 1 and part[0][0] in "+?" else part
-            if out and out[-1] == ["+", plain] or out[-1:] == [["?", part]] or out[-1:] == part:
-                continue
-            out += part if all(p[0] == "?" for p in part) else [["?", part]]
+            plain = bare(part[0]) if len(part) == 1 else part
+            if out and bare(out[-1]) == plain:
+                more = ["+", plain]
+                out[-1] = ["?", [more]] if out[-1][0] == "?" else more
+            else:
+                out += part if all(p[0] == "?" for p in part) else [["?", part]]
     return fold(out)
 
 
-def slots_of(wrapper: list) -> set[str]:
-    found: set[str] = set()
-    for kind, what in wrapper:
-        if kind == "#":
-            found.add(what)
-        elif kind in "+?":
-            found |= slots_of(what)
-    return found
-
-
-def main_paths(slots: dict[str, tuple[int, int, bool, bool]]) -> list[str]:
-    """Slots that hold the article. slots: path to (characters, pages, constant over the pages, out).
-
-    With an article or main element, its slots; of several such paths, those whose nearest has most text. Else all slots
-    whose text varies, or all, if too few pages tell. Parts that are no article text by their element stay out.
-    """
-    usable = {p: s for p, s in slots.items() if not s[3]}
-
-    def root(path: str) -> str | None:
-        names = path.split("/")
-        at = next((k for k, n in enumerate(names) if re.split(r"[.@]", n)[0] in ("article", "main")), None)
-        return None if at is None else "/".join(names[: at + 1])
-
-    mass: dict[str, int] = {}
-    for p, s in usable.items():
-        if (r := root(p)) is not None:
-            mass[r] = mass.get(r, 0) + s[0]
-    if mass:
-        return sorted(p for p in usable if root(p) is not None)
-    varying = [p for p, s in usable.items() if not (s[2] and s[1] >= 3)]
-    return sorted(varying or usable)
-
-
-def infer_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """host, wrapper (the expression as JSON), main (JSON list of the slots that hold the article)."""
+class Matcher:
+    """Matching against a wrapper. States are its leaves; each leaf with a text is a slot."""
+
+    def __init__(self, wrapper: list):
+        self.key: list = [None]  # of each state: its node, "split", or None for the end
+        self.next: list[tuple[int, ...]] = [()]
+        self.after: dict[int, dict] = {}
+        self.start = self.build(wrapper, 0)
+
+    def add(self, key, following: tuple[int, ...]) -> int:
+        self.key.append(key)
+        self.next.append(following)
+        return len(self.key) - 1
+
+    def build(self, nodes: list, to: int) -> int:
+        for kind, what in reversed(nodes):
+            if kind == "?":
+                to = self.add("split", (self.build(what, to), to))
+            elif kind == "+":
+                again = self.add("split", ())
+                first = self.build(what, again)
+                self.next[again] = (first, to)
+                to = first
+            else:
+                to = self.add((kind, what), (to,))
+        return to
+
+    def reach(self, state: int) -> dict:
+        """Leaves that can come next, by node; before anything at state -1."""
+        if state not in self.after:
+            found: dict = {}
+            seen: set[int] = set()
+            todo = [self.start] if state < 0 else list(reversed(self.next[state]))
+            while todo:
+                s = todo.pop()
+                if s in seen:
+                    continue
+                seen.add(s)
+                if self.key[s] == "split":
+                    todo += reversed(self.next[s])
+                else:
+                    found.setdefault(self.key[s], []).append(s)
+            self.after[state] = found
+        return self.after[state]
+
+    def match(self, nodes: list[tuple[str, str]]) -> list[int] | None:
+        """The leaf of each node, or None if the nodes don't match."""
+        steps: list[dict[int, int]] = []
+        now: dict[int, int] = {-1: -1}
+        for node in nodes:
+            new: dict[int, int] = {}
+            for s in now:
+                for t in self.reach(s).get(node, ()):
+                    new.setdefault(t, s)
+            if not new:
+                return None
+            steps.append(new)
+            now = new
+        at = next((s for s in now if None in self.reach(s)), None)
+        if at is None:
+            return None
+        path = []
+        for step in reversed(steps):
+            path.append(at)
+            at = step[at]
+        return path[::-1]
+
+
+def infer_wrappers(pages: DataFrame, most: int = 8) -> DataFrame:
+    """host, wrapper (the expression as JSON). A merge takes about ``most`` streams, or wrappers of the round before."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded: dict[tuple, str] = {}
         for batch in batches:
-            rows: list[tuple] = []
-            for host, page in zip(batch.column(0), batch.column(1), strict=True):
-                host, page = host.as_py(), page.as_py()
-                seen: dict[str, list] = {}
-                for kind, path, text, out in blocks(page):
-                    if kind == "text":
-                        h = zlib.crc32(text.encode("utf-8", "replace"))
-                        s = seen.setdefault(path, [0, h, h, out])
-                        s[0] += len(text)
-                        s[1], s[2] = min(s[1], h), max(s[2], h)
-                rows.append((host, json.dumps(stream(page)), None, 0, 0, 0, False))
-                rows += [(host, None, path, *s) for path, s in seen.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    names = ["host", "stream", "path", "chars", "low", "high", "out"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    rows = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    made = rows.mapInArrow(read, "host string, stream string, path string, chars long, low long, high long, out boolean")
-    found = made.groupBy("host", "stream", "path").agg(
-        F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("out").alias("out"))
-    found = shared_table(found, "streams")
+            found = []
+            for page in batch.column(1):
+                key = tuple(nodes_of(list(blocks(page.as_py())))[0])
+                if key not in folded:
+                    if len(folded) > 10_000:
+                        folded.clear()
+                    folded[key] = json.dumps(fold([list(n) for n in key]))
+                found.append(folded[key])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "stream"])
 
     def aligned(group: pd.DataFrame) -> pd.DataFrame:
         wrapper: list | None = None
         for s in group.sort_values(["pages", "stream"], ascending=[False, True])["stream"]:
             now = json.loads(s)
             wrapper = now if wrapper is None else align(wrapper, now)
-        return pd.DataFrame({"host": group["host"].iloc[:1], "pages": [int(group["pages"].sum())], "stream": [json.dumps(wrapper)]})
-
-    streams = found.filter(F.col("stream").isNotNull()).select("host", "pages", "stream")
-    some = streams.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(salts)).alias("salt")).applyInPandas(lambda g: aligned(g), "host string, pages long, stream string")
-    wrappers = some.groupBy("host").applyInPandas(lambda g: aligned(g), "host string, pages long, stream string")
-    slots = found.filter(F.col("path").isNotNull()).groupBy("host").agg(F.collect_list(F.struct("path", "chars", "pages", (F.col("low") == F.col("high")).alias("same"), "out")).alias("slots"))
-
-    @F.pandas_udf("string")
-    def choose(wrapper: pd.Series, slots: pd.Series) -> pd.Series:
-        def one(w: str, rows) -> str:
-            own = slots_of(json.loads(w))
-            return json.dumps(main_paths({r["path"]: (r["chars"], r["pages"], r["same"], r["out"]) for r in (rows if rows is not None else []) if r["path"] in own}))
-
-        return pd.Series([one(w, r) for w, r in zip(wrapper, slots, strict=True)], dtype=object)
+        return pd.DataFrame({"host": group["host"].iloc[:1], "salt": group["salt"].iloc[:1], "pages": [int(group["pages"].sum())], "stream": [json.dumps(wrapper)]})
 
-    joined = wrappers.withColumnRenamed("stream", "wrapper").join(slots, "host", "left")
-    return joined.select("host", "wrapper", choose("wrapper", "slots").alias("main"))
+    rows = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    streams = shared_table(rows.mapInArrow(read, "host string, stream string").groupBy("host", "stream").agg(F.count("*").alias("pages")), "streams")
+    groups = -(-(streams.groupBy("host").count().agg(F.max("count")).first()[0] or 1) // most)
+    made = streams.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(groups)))
+    while True:
+        made = made.groupBy("host", "salt").applyInPandas(lambda g: aligned(g), "host string, salt long, pages long, stream string")
+        if groups == 1:
+            return made.select("host", F.col("stream").alias("wrapper"))
+        groups = -(-groups // most)
+        made = shared_table(made, "merged").withColumn("salt", F.floor(F.col("salt") / most))
 
 
 def host_of() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def main_text(page: str, paths: frozenset[str]) -> str:
-    """The texts of the slots at ``paths``, block by block."""
-    return "\n".join(text for kind, path, text, out in blocks(page) if kind == "text" and path in paths)
-
-
-def extract_text(pages: DataFrame, wrappers: DataFrame, broadcast_hosts: int = 50_000, salts: int = 16) -> DataFrame:
-    """page_id, url, text of every page by its host's wrapper.
-
-    Up to ``broadcast_hosts`` hosts the wrappers' slots are broadcast; beyond, pages and wrappers meet by host and salt.
-    """
-    known = shared_table(wrappers.select("host", "main"), "wrappers")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    if known.count() <= broadcast_hosts:
+def fill_slots(pages: DataFrame, wrappers: DataFrame, broadcast_hosts: int, salts: int) -> DataFrame:
+    """page_id, url, host, rooted (a usable article or main element is there), blocks (slot, first of its slot, out, root, text) of every page."""
+    known = shared_table(wrappers.select("host", "wrapper"), "wrappers")
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0)).alias("size")).first()
+    if size["n"] <= broadcast_hosts and size["size"] <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(known), "host", "left")
     else:
         spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths: dict[str, frozenset[str]] = {}
+        matchers: dict[str, Matcher] = {}
+        matched: dict[tuple, list[int] | None] = {}
         for batch in batches:
-            texts = []
-            for page, main in zip(batch.column(2), batch.column(3), strict=True):
-                key = main.as_py() or "[]"
-                if key not in paths:
-                    if len(paths) > 10_000:
-                        paths.clear()
-                    paths[key] = frozenset(json.loads(key))
-                texts.append(main_text(page.as_py(), paths[key]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return rows.select(F.col("page_id").cast("long"), "url", "html", "main").mapInArrow(run, "page_id long, url string, text string")
+            rooted, filled = [], []
+            for page, host, wrapper in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                found = list(blocks(page.as_py()))
+                nodes, of = nodes_of(found)
+                host = host.as_py()
+                key = (host, *nodes)
+                if key not in matched:
+                    if len(matched) > 10_000 or len(matchers) > 500:
+                        matched.clear()
+                        matchers.clear()
+                    if host not in matchers:
+                        matchers[host] = Matcher(json.loads(wrapper.as_py() or "[]"))
+                    matched[key] = matchers[host].match(nodes)
+                leaves, seen, own = matched[key], set(), []
+                for k, (_, _, text, out, root) in zip(of, (b for b in found if b[0] == "text"), strict=True):
+                    slot = -1 if leaves is None else leaves[k]
+                    own.append({"slot": slot, "first": slot not in seen, "out": out, "root": root, "text": text})
+                    seen.add(slot)
+                filled.append(own)
+                rooted.append(any(root and not out for kind, _, _, out, root in found if kind == "tag"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(rooted, pa.bool_()), pa.array(filled, pa.list_(kind))], names)
+
+    kind = pa.struct([("slot", pa.int32()), ("first", pa.bool_()), ("out", pa.bool_()), ("root", pa.bool_()), ("text", pa.string())])
+    names = ["page_id", "url", "host", "rooted", "blocks"]
+    schema = "page_id long, url string, host string, rooted boolean, blocks array<struct<slot: int, first: boolean, out: boolean, root: boolean, text: string>>"
+    return rows.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, schema)
+
+
+def extract_text(pages: DataFrame, wrappers: DataFrame, broadcast_hosts: int = 50_000, salts: int = 16) -> DataFrame:
+    """page_id, url, text of every page: the texts of the slots it fills, block by block.
+
+    What is out stays out. A page with an article or main element gives what is inside; template slots go, unless nothing
+    else is left. Up to ``broadcast_hosts`` hosts the wrappers and template slots are broadcast; beyond, pages and
+    wrappers meet by host and salt.
+    """
+    filled = shared_table(fill_slots(pages, wrappers, broadcast_hosts, salts), "filled")
+    usable = F.filter("blocks", lambda b: ~b["out"] & (~F.col("rooted") | b["root"]))
+    filled = filled.select("page_id", "url", "host", usable.alias("blocks"))
+    whole = F.xxhash64(F.transform("blocks", lambda b: b["text"]))
+    texts = filled.select("host", whole.alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.slot", "b.first", F.xxhash64("b.text").alias("h"))
+    slots = texts.filter("slot >= 0").groupBy("host", "slot").agg(
+        F.sum(F.col("first").cast("int")).alias("pages"), (F.min("h") == F.max("h")).alias("same"), (F.min("page") != F.max("page")).alias("differ"))
+    fixed = shared_table(slots.filter(F.col("same") & F.col("differ") & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("slot").alias("fixed")), "fixed")
+    if fixed.count() <= broadcast_hosts:
+        rows = filled.join(F.broadcast(fixed), "host", "left")
+    else:
+        spread = fixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = filled.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+    main = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("fixed", F.array().cast("array<int>")), b["slot"]))
+    chosen = F.when(F.size(main) > 0, main).otherwise(F.col("blocks"))
+    return rows.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

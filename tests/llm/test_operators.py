@@ -326,3 +326,26 @@ def test_neighbours(spark, nothing):
         assert all(p == pytest.approx(x[v] @ x[q]) for v, p in got)
     assert hits / (10 * len(by)) > 0.95
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def extracted(spark, htmls, **more):
+    pages = spark.createDataFrame([(k, "http://c.example/x", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(wrappers.extract_text(pages, wrappers.infer_wrappers(pages, **more)).collect())]
+
+
+def test_wrapper_slots(spark):
+    """The wrapper tells a template slot from an article slot at the same path; all pages match it."""
+    htmls = [f"<article><h1>Head {k}</h1><p>Read this first</p><ul><li>x</li></ul>" + "".join(f"<p>Text {k} {i}</p>" for i in range(1 + k % 3)) + "</article>" for k in range(9)]
+    want = [f"Head {k}\n" + "\n".join(f"Text {k} {i}" for i in range(1 + k % 3)) for k in range(9)]
+    for most in (2, 8):
+        assert extracted(spark, htmls, most=most) == want
+    same = ["<article><h1>One</h1><p>copied</p></article>"] * 5
+    assert extracted(spark, same) == ["One\ncopied"] * 5
+    rng = random.Random(6)
+    for _ in range(100):
+        pages = ["".join(rng.choice(["<p>a</p>", "<div>b</div>", "<ul><li>c</ul>", "<p class=k>d</p>", "e<br>f"]) for _ in range(rng.randrange(9))) for _ in range(6)]
+        wrapper = wrappers.stream(pages[0])
+        for p in pages[1:]:
+            wrapper = wrappers.align(wrapper, wrappers.stream(p))
+        matcher = wrappers.Matcher(wrapper)
+        assert all(matcher.match(wrappers.nodes_of(list(wrappers.blocks(p)))[0]) is not None for p in pages)
