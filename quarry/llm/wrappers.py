@@ -128,11 +128,14 @@ def fold(nodes: list) -> list:
 
 
 def nodes_of(found: list[tuple[str, str, str, bool, bool]]) -> tuple[list[tuple[str, str]], list[int]]:
-    """The nodes of a page's blocks, and the node of each text; texts at one path without a tag between share a node."""
+    """The nodes of a page's blocks, and the node of each text; texts at one path without a tag between share a node.
+
+    A slot's name has the path and whether its text is out, so a slot is wholly in or out.
+    """
     nodes: list[tuple[str, str]] = []
     of: list[int] = []
-    for kind, what, *_ in found:
-        node = ("<", what) if kind == "tag" else ("#", what)
+    for kind, what, _, out, _ in found:
+        node = ("<", what) if kind == "tag" else ("#", f"{what}!" if out else what)
         if kind == "tag" or not nodes or nodes[-1] != node:
             nodes.append(node)
         if kind == "text":

@@ -349,3 +349,10 @@ def test_wrapper_slots(spark):
             wrapper = wrappers.align(wrapper, wrappers.stream(p))
         matcher = wrappers.Matcher(wrapper)
         assert all(matcher.match(wrappers.nodes_of(list(wrappers.blocks(p)))[0]) is not None for p in pages)
+
+
+def test_wrapper_layouts(spark):
+    """A hidden block costs only its own text; pages of another layout keep theirs."""
+    htmls = [f"<article><p hidden>secret {k}</p><p>shown {k}</p></article>" if k == 0 else f"<article><p>first {k}</p><p style='display:none'>secret</p><p>shown {k}</p></article>" for k in range(4)]
+    htmls += [f"<div class='text'><p>plain {k}</p></div>" for k in range(4, 8)]
+    assert extracted(spark, htmls) == ["shown 0", *(f"first {k}\nshown {k}" for k in range(1, 4)), *(f"plain {k}" for k in range(4, 8))]
