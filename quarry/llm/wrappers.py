@@ -7,8 +7,8 @@ each of its texts fills one slot. A slot that the same text fills on pages that
 of a page's layout, inside its article or main element if it has one, is the main text.
 
 Only different streams meet in alignment, in rounds of small merges, so a host with a large share of the pages is no
-burden. Null html counts as empty and gives an empty text; a null url is a host of its own. Pages of any length are read
-whole; equal rows get equal texts. Extra columns are ignored.
+burden. Null html counts as empty and gives an empty text; a null url is a host of its own. Pages of any length and depth
+are read whole; equal rows get equal texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import shared_table
 
-SKIPPED = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|button|head|title"
+RAW = "script|style|iframe|textarea|title"
+SKIPPED = frozenset("noscript template svg canvas object select button head".split())
+IN_HEAD = frozenset("head html base link meta noscript script style template title".split())
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{SKIPPED})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
+SAME_NAME = {name: re.compile(rf"<(/?){name}\b", re.I) for name in SKIPPED}
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -44,6 +49,8 @@ NOT_TEXT_WORDS = frozenset(
 )
 SPACE = re.compile(r"\s+")
 MAX_UNIT = 12
+#: Labels of a path; elements deeper than that share the path of the last.
+MAX_PATH = 200
 #: Pages with the same text in a slot that make it template.
 LEAST_PAGES = 3
 #: Wrappers of more bytes in all aren't broadcast.
@@ -62,13 +69,26 @@ def attributes(rest: str) -> tuple[str, bool]:
     return label, out
 
 
+@dataclass(slots=True)
+class Element:
+    """An open element; out, root and skipped hold for all inside it. unclosed: it ends at the next block's tag."""
+
+    name: str
+    path: str
+    out: bool = False
+    root: bool = False
+    skipped: bool = False
+    unclosed: bool = False
+
+
 def blocks(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, tag or path, text, out, root) of a page in order: "tag" for a block's begin or end, "text" for a block's words.
 
     path: the labelled block elements around a text; out: some element around it is no article text; root: it is inside
     an article or main element.
     """
-    stack: list[tuple[str, str, bool]] = []
+    stack = [Element("", "")]
+    opened: Counter = Counter()
     parts: list[str] = []
     at = 0
 
@@ -76,36 +96,63 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            yield "text", "/".join(s[1] for s in stack), text, any(s[2] for s in stack), any(s[0] in ("article", "main") for s in stack)
+            yield "text", stack[-1].path, text, stack[-1].out, stack[-1].root
+
+    def pop() -> Iterator[tuple[str, str, str, bool, bool]]:
+        gone = stack.pop()
+        opened[gone.name] -= 1
+        if not gone.skipped:
+            yield "tag", f"/{gone.name}", "", gone.out, gone.root
+
+    def text(words: str) -> None:
+        if stack[-1].name == "head" and not words.isspace():  # the end tag was left out
+            opened["head"] -= 1
+            stack.pop()
+        if not stack[-1].skipped:
+            parts.append(words)
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
-        if not name:
+        if not name or name in INLINE and not (stack[-1].name == "head" and not m["end"]):
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            opened["head"] -= 1
+            stack.pop()
         if name in INLINE:
             continue
-        yield from flush()
+        while stack[-1].unclosed:
+            opened[stack.pop().name] -= 1
+        if not stack[-1].skipped and name not in SKIPPED:
+            yield from flush()
         if name in VOID or m["rest"].rstrip().endswith("/") and name not in CLOSES_P:
             continue
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
-                yield "tag", f"/{name}", "", False, False
+            if opened[name] > 0:
+                last = stack[-1]
+                while last.name != name:
+                    opened[stack.pop().name] -= 1
+                    last = stack[-1]
+                yield from pop()
             continue
-        while stack and (stack[-1][0] == "p" and name in CLOSES_P or stack[-1][0] == name and name in ("p", "li", "tr", "td", "th", "dd", "dt", "option")):
-            yield "tag", f"/{stack.pop()[0]}", "", False, False
+        while stack[-1].name == "p" and name in CLOSES_P or stack[-1].name == name and name in ("p", "li", "tr", "td", "th", "dd", "dt", "option"):
+            yield from pop()
         label, out = attributes(m["rest"])
-        inside = any(s[0] in ("article", "main") for s in stack)
-        stack.append((name, name + label, out or name in NOT_TEXT or name == "header" and not inside))
-        if len(stack) > 200:
-            stack.pop(0)
-        yield "tag", name + label, "", any(s[2] for s in stack), any(s[0] in ("article", "main") for s in stack)
+        above = stack[-1]
+        opened[name] += 1
+        if name in SKIPPED or above.skipped:
+            later = SAME_NAME[name].search(page, at) if name in SKIPPED and name != "head" and not above.skipped else None
+            lone = name in SKIPPED and name != "head" and not above.skipped and (later is None or not later[1] and name in ("button", "select", "noscript"))
+            stack.append(Element(name, above.path, True, above.root, True, lone))
+            continue
+        path = above.path if len(stack) > MAX_PATH else f"{above.path}/{name}{label}" if above.path else name + label
+        out = above.out or out or name in NOT_TEXT or name == "header" and not above.root
+        stack.append(Element(name, path, out, above.root or name in ("article", "main")))
+        yield "tag", name + label, "", out, stack[-1].root
     if at < len(page):
-        parts.append(page[at:])
+        text(page[at:])
     yield from flush()
 
 

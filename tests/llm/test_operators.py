@@ -356,3 +356,20 @@ def test_wrapper_layouts(spark):
     htmls = [f"<article><p hidden>secret {k}</p><p>shown {k}</p></article>" if k == 0 else f"<article><p>first {k}</p><p style='display:none'>secret</p><p>shown {k}</p></article>" for k in range(4)]
     htmls += [f"<div class='text'><p>plain {k}</p></div>" for k in range(4, 8)]
     assert extracted(spark, htmls) == ["shown 0", *(f"first {k}\nshown {k}" for k in range(1, 4)), *(f"plain {k}" for k in range(4, 8))]
+
+
+def test_markup_without_ends(spark):
+    def text(page):
+        return [b[2] for b in wrappers.blocks(page) if b[0] == "text" and not b[3]]
+
+    assert text("<html><head><title>t</title><meta charset=x><body><p>kept</p>") == ["kept"]
+    assert text("<head><title>t</title><article><p>kept</p></article>") == ["kept"]
+    assert text("<head><title>t</title><b>bold</b> words") == ["bold words"]
+    assert text("<article><svg viewBox='0'/><p>kept</p></article>") == ["kept"]
+    assert text("<p>a<svg><title>x</title><path d=''/></svg>b</p>") == ["ab"]
+    for name in ("button", "select", "noscript", "object"):
+        assert text(f"<article><p>a</p><{name}>Go<p>kept</p></article><p>b</p>") == ["a", "kept", "b"]
+        assert text(f"<article><{name}><div>Go</div></{name}><p>kept</p></article>") == ["kept"]
+    deep = "<div>" * 300
+    found = [(b[2], b[3], b[4]) for b in wrappers.blocks(f"<nav>{deep}menu{'</div>' * 300}</nav><article>{deep}<p>in</p>{'</div>' * 300}<p>after</p></article><p>end</p>") if b[0] == "text"]
+    assert found == [("menu", True, False), ("in", False, True), ("after", False, True), ("end", False, False)]
