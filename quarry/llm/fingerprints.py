@@ -148,19 +148,27 @@ def with_next(docs: DataFrame, cells: int) -> DataFrame:
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     share = [k / cells for k in range(1, cells)]
-    low = docs.agg(F.min("doc_id")).first()[0]
-    if low is None:
+    if docs.isEmpty():
         return docs.withColumns({"cell": F.lit(0), "tail": F.lit(False)})
     cuts = docs.approxQuantile("doc_id", share, 0.2 / cells) if share else []
-    wanted = sorted({int(x) for x in cuts} - {low})
-    edges = np.array(wanted, np.int64)
+    top = np.iinfo(np.int64).max  # the cuts are doubles: any split of the ids will do, but no document need have one
+    edges = np.array(sorted({min(int(x), int(top)) for x in cuts}), np.int64)
 
     @F.pandas_udf("int")
     def cell_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype(np.int32))
 
     here = docs.withColumn("cell", cell_of("doc_id"))
-    back = F.when(F.col("doc_id") == low, len(wanted)).when(F.col("doc_id").isin(wanted), F.col("cell") - 1)
+    found = sorted((r["cell"], r["first"]) for r in here.groupBy("cell").agg(F.min("doc_id").alias("first")).collect())  # ``cells`` rows at most
+    held, firsts = np.array([c for c, _ in found], np.int32), np.array([f for _, f in found], np.int64)
+
+    @F.pandas_udf("int")
+    def back_of(ids: pd.Series) -> pd.Series:
+        own = ids.to_numpy(np.int64)
+        at = np.searchsorted(firsts, own, "right") - 1
+        return pd.Series(held[at - 1]).where(pd.Series(firsts[at] == own), None).astype("Int32")
+
+    back = back_of("doc_id")
     own = F.struct(F.col("cell"), F.lit(False).alias("tail"))
     also = F.struct(F.col("back").cast("int").alias("cell"), F.lit(True).alias("tail"))
     places = F.when(F.col("back").isNull(), F.array(own)).otherwise(F.array(own, also))

@@ -163,6 +163,17 @@ def test_fingerprints(spark, awkward, nothing):
     assert fingerprints.fingerprint_edits(nothing).count() == 0
 
 
+def test_fingerprints_of_large_ids(spark):
+    rows = [((1 << 62) + 1_000_003 * k * k, f"text {k}") for k in range(300)] + [((1 << 63) - 1, "last"), (-5, "first")]
+    following = dict(zip(sorted(r[0] for r in rows), [*sorted(r[0] for r in rows)[1:], -5], strict=True))
+    texts = dict(rows)
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 40).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        own, after = texts[r["doc_id"]], texts[following[r["doc_id"]]]
+        assert r["edited"] == own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+
+
 def brute_components(texts, width=5, percent=75):
     sets = {}
     for k, t in texts.items():
