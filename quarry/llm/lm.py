@@ -1,6 +1,7 @@
 """Scoring texts with a log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Words fall into classes: the most frequent words have classes of their own, the others share classes by their endings.
+Words fall into classes: the most frequent words have classes of their own, the others share classes by their endings;
+both kinds grow in number with the vocabulary.
 The model predicts the class of a token from the classes before it: context vectors, each scaled for its distance, add up
 to a prediction whose products with the class vectors, normalised over all classes by one matrix product a batch, are
 log-probabilities. Within its class a word has its add-one relative frequency. Both factors are normalised, and so is
@@ -32,8 +33,8 @@ from .common import fewer_collections, remainder, shared_table, utf8
 END = b"\n"  # no word holds it
 HEAD, HEAD_BYTES = 200_000, 48
 SINGLE, SHARED = 96, 64
-CLASSES = SINGLE + SHARED
-WIDTH, CONTEXT = 24, 3
+CLASSES = SINGLE + SHARED  # at least; see classes_for
+WIDTH, CONTEXT = 24, 4
 BATCH, NOISE, RATIO, RATE = 1024, 64, 20.0, 0.12
 
 
@@ -42,6 +43,16 @@ def tokens(raw: bytes) -> list[bytes]:
     return [*raw.lower().split(), END]
 
 
+def classes_for(distinct: int) -> tuple[int, int, int]:
+    """Classes of one word, shared classes, and the bytes of an ending, for a vocabulary of ``distinct`` words.
+
+    Four times the cube root of it, two fifths of them shared, and ``SINGLE`` and ``SHARED`` at least.
+    """
+    every = max(CLASSES, int(4 * np.cbrt(distinct)))
+    shared = every * SHARED // CLASSES
+    return every - shared, shared, 2 if shared <= SHARED else 3
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word, n over all texts (column raw)."""
 
@@ -70,21 +81,24 @@ class Vocabulary:
     weight: np.ndarray  # tokens of each class
     total: int
     distinct: int
+    single: int
+    shared: int
+    ending: int
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter((self.head.get(w, -1) for w in words), np.int64, len(words))
 
     def class_of(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-        found = self.classes[ids]  # int16
+        found = self.classes[ids]
         for k in np.flatnonzero(ids < 0).tolist():
-            found[k] = SINGLE + zlib.crc32(words[k][-2:]) % SHARED
+            found[k] = self.single + zlib.crc32(words[k][-self.ending :]) % self.shared
         return found
 
 
 def vocabulary(words: DataFrame) -> Vocabulary:
     """The vocabulary of a table of counts (word, n)."""
-    ending = F.expr("substring(word, -2, 2)")
-    grouped = words.groupBy((F.crc32(ending) % F.lit(SHARED)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # SHARED rows
+    single, shared, ending = classes_for(words.count())
+    grouped = words.groupBy((F.crc32(F.expr(f"substring(word, -{ending}, {ending})")) % F.lit(shared)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a shared class
     short = words.filter(F.length("word") <= HEAD_BYTES)
     size = {r["k"]: r["v"] for r in short.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("v")).collect()}  # eight rows a power of two
     least, held = max(size, default=0) + 1, 0
@@ -95,40 +109,39 @@ def vocabulary(words: DataFrame) -> Vocabulary:
         least = k
     top = sorted(short.filter(F.floor(F.log2("n") * 8) >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # HEAD rows at most
     own = [(END, next((r["n"] for r in top if bytes(r["word"]) == END), 0)), *((bytes(r["word"]), r["n"]) for r in top if bytes(r["word"]) != END)]
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    n, v = np.zeros(single + shared), np.zeros(single + shared)
     for r in grouped:
-        n[SINGLE + r["k"]], v[SINGLE + r["k"]] = r["n"], r["v"]
+        n[single + r["k"]], v[single + r["k"]] = r["n"], r["v"]
     total, distinct = int(n.sum()), int(v.sum())
-    classes = np.array([k if k < SINGLE else SINGLE + zlib.crc32(w[-2:]) % SHARED for k, (w, _) in enumerate(own)] + [0], np.int16)
+    classes = np.array([k if k < single else single + zlib.crc32(w[-ending:]) % shared for k, (w, _) in enumerate(own)] + [0], np.int32)
     logs = np.array([np.log10(c + 1) for _, c in own] + [0.0])
-    for k, (w, c) in enumerate(own[:SINGLE]):  # what has a class of its own isn't in the shared one
-        shared = SINGLE + zlib.crc32(w[-2:]) % SHARED
+    for k, (w, c) in enumerate(own[:single]):  # what has a class of its own isn't in the shared one
+        other = single + zlib.crc32(w[-ending:]) % shared
         if c:
-            n[shared], v[shared] = n[shared] - c, v[shared] - 1
+            n[other], v[other] = n[other] - c, v[other] - 1
         n[k] = c
     inner = np.log10(n + v + 1)
-    inner[: len(own[:SINGLE])] = [np.log10(c + 1) for _, c in own[:SINGLE]]  # certain within its class
-    return Vocabulary({w: k for k, (w, _) in enumerate(own)}, classes, logs, inner, n, total, distinct)
+    inner[: len(own[:single])] = [np.log10(c + 1) for _, c in own[:single]]  # certain within its class
+    return Vocabulary({w: k for k, (w, _) in enumerate(own)}, classes, logs, inner, n, total, distinct, single, shared, ending)
 
 
 class LogBilinear:
     """Class vectors R, context vectors Q, a scale for each distance and biases."""
 
-    SHAPES = (("R", (CLASSES, WIDTH)), ("Q", (CLASSES, WIDTH)), ("scale", (CONTEXT, WIDTH)), ("bias", (CLASSES,)))
-
     def __init__(self, weight: np.ndarray, seed: int = 5):
-        rng = np.random.default_rng(seed)
+        rng, n = np.random.default_rng(seed), len(weight)
+        self.shapes = (("R", (n, WIDTH)), ("Q", (n, WIDTH)), ("scale", (CONTEXT, WIDTH)), ("bias", (n,)))
         self.noise = (weight + 1) / (weight + 1).sum()
-        self.R, self.Q = (rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32) for _ in range(2))
+        self.R, self.Q = (rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32) for _ in range(2))
         self.scale = np.ones((CONTEXT, WIDTH), np.float32) / CONTEXT
         self.bias = np.log(self.noise).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k, _ in self.SHAPES])
+        return np.concatenate([getattr(self, k).ravel() for k, _ in self.shapes])
 
     def load(self, values: np.ndarray) -> LogBilinear:
         at = 0
-        for k, shape in self.SHAPES:
+        for k, shape in self.shapes:
             size = int(np.prod(shape))
             setattr(self, k, values[at : at + size].reshape(shape).astype(np.float32))
             at += size
@@ -165,21 +178,21 @@ class LogBilinear:
 
     def train(self, before: np.ndarray, target: np.ndarray, grown: dict[str, np.ndarray], rng: np.random.Generator) -> None:
         """One pass of AdaGrad over NCE batches; the noise of a batch is shared by its tokens."""
-        cut = np.cumsum(self.noise)
+        cut, every = np.cumsum(self.noise), len(self.noise)
         lift = np.log(RATIO * self.noise).astype(np.float32)
         for at in range(0, len(target), BATCH):
             b, t = before[:, at : at + BATCH], target[at : at + BATCH]
             n = len(t)
-            noise = np.minimum(np.searchsorted(cut, rng.random(NOISE)), CLASSES - 1)
+            noise = np.minimum(np.searchsorted(cut, rng.random(NOISE)), every - 1)
             p, own, other = self.predict(b, self.scaled()), self.R[t], self.R[noise]
             good = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", p, own) + self.bias[t] - lift[t]))) - 1  # gradient of the true class
             bad = 1 / (1 + np.exp(-(p @ other.T + (self.bias[noise] - lift[noise])))) * np.float32(RATIO / NOISE)
             good, bad = (good / n).astype(np.float32), (bad / n).astype(np.float32)
             dp = good[:, None] * own
             dp += bad @ other
-            d = {"R": summed(t, p * good[:, None]), "bias": np.bincount(t, good, CLASSES) + np.bincount(noise, bad.sum(0), CLASSES)}
+            d = {"R": summed(t, p * good[:, None], every), "bias": np.bincount(t, good, every) + np.bincount(noise, bad.sum(0), every)}
             np.add.at(d["R"], noise, bad.T @ p)
-            by_class = np.stack([summed(b[i], dp) for i in range(CONTEXT)])
+            by_class = np.stack([summed(b[i], dp, every) for i in range(CONTEXT)])
             d["Q"] = (by_class * self.scale[:, None]).sum(0)
             d["scale"] = (by_class * self.Q[None]).sum(1)
             for k, g in d.items():
@@ -187,19 +200,19 @@ class LogBilinear:
                 setattr(self, k, (getattr(self, k) - RATE * g / np.sqrt(grown[k])).astype(np.float32))
 
 
-def summed(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each class."""
+def summed(classes: np.ndarray, rows: np.ndarray, every: int) -> np.ndarray:
+    """Sums of the rows of each of ``every`` classes."""
     order = np.argsort(classes, kind="stable")
     ordered = classes[order]
     start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    out = np.zeros((every, rows.shape[1]), np.float32)
     out[ordered[start]] = np.add.reduceat(rows[order], start, axis=0)
     return out
 
 
 def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each distance the classes before all tokens of texts laid end to end; before a text's start, the end token."""
-    out = np.zeros((CONTEXT, len(classes)), np.int16)
+    out = np.zeros((CONTEXT, len(classes)), np.int32)
     starts = np.cumsum(sizes) - sizes
     for i in range(CONTEXT):
         out[i, i + 1 :] = classes[: max(0, len(classes) - i - 1)]
@@ -231,7 +244,7 @@ def average_pass(texts: DataFrame, words, model: LogBilinear) -> LogBilinear:
         fewer_collections()
         vocab, own = words.value, LogBilinear(model.noise).load(model.flat())
         own.noise = model.noise
-        grown = {k: np.full(shape, 1e-6, np.float32) for k, shape in LogBilinear.SHAPES}
+        grown = {k: np.full(shape, 1e-6, np.float32) for k, shape in own.shapes}
         rng, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
         for _, raws in groups(batches):
             split = [tokens(r) for r in raws]

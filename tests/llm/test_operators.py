@@ -316,6 +316,23 @@ def test_language_model(spark, awkward, nothing, sf_dir):
     assert {r["train_tokens"] for r in lm.score_texts(awkward, F.lit(False)).collect()} == {0}
 
 
+def test_language_model_grows(spark):
+    """Classes grow with the vocabulary, stay normalised, and the fourth token before counts."""
+    words = spark.range(300_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).cast("binary").alias("word"), (F.col("id") % 7 + 1).alias("n"))
+    vocab = lm.vocabulary(words)
+    every = len(vocab.weight)
+    assert every == sum(lm.classes_for(300_000)[:2]) > len(lm.vocabulary(words.limit(1000)).weight) == lm.CLASSES
+    assert vocab.weight.sum() == vocab.total
+    found = vocab.class_of([b"w299999", b"unseen"], vocab.ids([b"w299999", b"unseen"]))
+    assert all(vocab.single <= c < every for c in found) or found[0] < vocab.single
+    model = lm.LogBilinear(vocab.weight)
+    before = np.zeros((4, every), int)
+    logs = model.log10_probabilities(before, np.arange(every))
+    assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+    before[3] = 1
+    assert not np.allclose(logs, model.log10_probabilities(before, np.arange(every)))
+
+
 def test_neighbours(spark, nothing):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16))
