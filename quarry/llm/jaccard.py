@@ -315,7 +315,7 @@ def meet(entries: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None
+        carried = parted = None  # parted: the token that a part was made of; what is left of it stays, be it one entry
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([carried, table]) if carried is not None else table
@@ -326,12 +326,13 @@ def meet(entries: DataFrame) -> DataFrame:
             if cut == 0 and len(token) < PART:
                 carried = table
                 continue
-            yield from led(table.slice(0, cut or len(token)), cut == 0)
+            parted = token[-1] if cut == 0 else parted
+            yield from led(table.slice(0, cut or len(token)), parted)
             carried = table.slice(cut or len(token))
         if carried is not None and len(carried):
-            yield from led(carried)
+            yield from led(carried, parted)
 
-    def led(table: pa.Table, whole_parts: bool = False) -> Iterator[pa.RecordBatch]:
+    def led(table: pa.Table, parted: int | None) -> Iterator[pa.RecordBatch]:
         token, ids, n = (table.column(c).to_numpy() for c in ("token", "id", "n"))
         order = np.lexsort((ids, token))  # a set that several tasks read has its entries once
         order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (ids[order][1:] != ids[order][:-1])])]
@@ -345,7 +346,7 @@ def meet(entries: DataFrame) -> DataFrame:
             leader, leader_n = np.empty(len(start), np.int64), np.empty(len(start), np.int32)
             leader[group[mine]], leader_n[group[mine]] = ids[mine], n[mine]
             table = table.append_column(f"leader{k}", pa.array(leader[group])).append_column(f"leader_n{k}", pa.array(leader_n[group]))
-        out = table.filter(pa.array((sizes > 1)[group] | whole_parts))
+        out = table.filter(pa.array((sizes > 1)[group] | (token == parted if parted is not None else False)))
         yield from out.combine_chunks().to_batches()
 
     dealt = entries.repartition("token").sortWithinPartitions("token")

@@ -212,6 +212,19 @@ def test_jaccard(spark, awkward, nothing):
     assert jaccard.link_classes(nothing).count() == 0
 
 
+def test_rest_of_a_common_shingle(spark, monkeypatch):
+    """One entry left after a whole part of its shingle still meets the others; a lone entry doesn't stay."""
+    monkeypatch.setattr(jaccard, "PART", 2)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        entries = spark.createDataFrame([(7, k, 3, 0) for k in range(5)] + [(8, 9, 3, 0)], "token long, id long, n int, place int").coalesce(1)
+        assert sorted((r["token"], r["id"]) for r in jaccard.meet(entries).collect()) == [(7, k) for k in range(5)]
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
