@@ -16,8 +16,9 @@ from quarry.llm.packing import pack_pieces, token_pieces
 from quarry.llm.quality import fit_quality, score_quality
 from quarry.shipping import ship
 
-#: A document stays with at least this probability of label 1, and with this share of its letters in one language.
-LEAST_QUALITY, LEAST_LANGUAGE = 0.3, 0.25
+#: A document stays with at least this probability of label 1, with this share of its letters in one language (two
+#: equal parts have 0.5), and with this evidence that its letters are of the languages learned at all.
+LEAST_QUALITY, LEAST_LANGUAGE, LEAST_EVIDENCE = 0.3, 0.6, 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be told; the model learns from the rows with a lang."""
+    """Documents mostly in one language and like that language's texts; the model learns from the rows with a lang."""
     ship(spark)
     model = fit_languages(docs, F.lit(True))
     named = docs.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(docs.columns)}).withColumn("text", F.col(f"_{docs.columns.index('text')}"))
-    found = predict_languages(named, model, keep=[f"_{k}" for k in range(len(docs.columns))])
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)
+    found = predict_languages(named, model, keep=[f"_{k}" for k in range(len(docs.columns))], with_evidence=True)
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE) & (F.col("evidence") >= LEAST_EVIDENCE)
     return found.filter(sure).select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 

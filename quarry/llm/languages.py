@@ -222,9 +222,14 @@ def language_spans(text: str, model: LanguageModel, penalty: float = 12.0) -> li
     return [(model.langs[path[a]], a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (or all), lang_pred and score for every row."""
-    kept = kept_columns(docs, keep, ["lang_pred", "score"])
+def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, keep: list[str] | None = None, with_evidence: bool = False) -> DataFrame:
+    """The ``keep`` columns (or all), lang_pred and score for every row; ``with_evidence`` also evidence.
+
+    evidence: by how much, for each letter's byte, the best path's log probability is above that of unknown text, in which
+    all n-gram buckets are equally likely. Other languages and scripts and random letters are below 0.5, mostly below 0.
+    """
+    extra = ["evidence"] if with_evidence else []
+    kept = kept_columns(docs, keep, ["lang_pred", "score", *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
@@ -234,18 +239,22 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12
             _known[model.name] = ({}, [np.zeros((0, n_langs), np.float32)])
         cache, scores = _known[model.name]
 
-        def label(texts: list[str]) -> list[tuple[str, float]]:
+        def label(texts: list[str]) -> list[tuple[str, float, float]]:
             if not n_langs:
-                return [("und", 0.0)] * len(texts)
+                return [("und", 0.0, 0.0)] * len(texts)
             paths, words = identify(texts, model, cache, scores, penalty)
             found = []
             for text, path, own in zip(texts, paths, words, strict=True):
                 if not own or not any(map(str.isalpha, text)):
-                    found.append(("und", 0.0))
+                    found.append(("und", 0.0, 0.0))
                     continue
-                letters = np.bincount(path, np.fromiter(map(len, own), float, len(own)), n_langs)
-                top = int(letters.argmax())
-                found.append((model.langs[top], float(letters[top] / letters.sum())))
+                sizes = np.fromiter(map(len, own), float, len(own))
+                letters = np.bincount(path, sizes, n_langs)
+                top, above = int(letters.argmax()), 0.0
+                if with_evidence:
+                    at = np.fromiter(map(cache.__getitem__, own), np.int64, len(own))
+                    above = float((scores[0][at, path] + np.log(BUCKETS) * (2 * sizes + 1) / 2).sum() / sizes.sum())
+                found.append((model.langs[top], float(letters[top] / letters.sum()), above))
             return found
 
         for batch in batches:
@@ -258,9 +267,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12
                     texts, held = [], 0
             found += label(texts) if texts else []
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, "lang_pred", "score"])
+            made += [pa.array([f[2] for f in found], pa.float64())] if with_evidence else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, "lang_pred", "score", *extra])
 
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema_of(docs, kept, "lang_pred string, score double"))
+    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema_of(docs, kept, ", ".join(["lang_pred string, score double", *(f"{c} double" for c in extra)])))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

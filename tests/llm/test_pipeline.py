@@ -1,10 +1,15 @@
 """The pipeline against plain versions of its stages, and registered queries against their SQL."""
 
+import random
+from collections import Counter
+from math import log
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import queries
+from quarry.llm import languages, queries
 
 
 def test_stages(spark, sf_dir):
@@ -22,6 +27,38 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == after["near_duplicates"]
 
 
+def test_language_stage(spark, sf_dir):
+    """Foreign scripts, mixed texts and random letters go, clean documents stay, as by a plain version of the stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(1)
+    made = {k: [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(5)] for k, letters in {"gibberish": "abcdefghijklmnopqrstuvwxyz", "greek": "αβγδεζηθικλμνο", "cyrillic": "абвгдежзиклмно"}.items()}
+    long = {}
+    for r in docs.filter("n_chars > 400").collect():
+        long.setdefault(r["lang"], []).append(r["text"][:300])
+    made["mixed"] = [" ".join(long[lang][k % len(long[lang])] for lang in sorted(long)) for k in range(5)]
+    made["half"] = [long["en"][k] + " " + made["gibberish"][k][:300] for k in range(5)]
+    planted = [t for texts in made.values() for t in texts]
+    rows = [(-1 - k, t, None, "planted", len(t)) for k, t in enumerate(planted)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_language(spark, both, sf_dir).collect()}
+    assert not any(k < 0 for k in kept)
+    clean = [r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))]
+    assert len(kept.intersection(clean)) >= 0.98 * len(clean)
+
+    model = languages.fit_languages(both, F.lit(True))
+
+    def plain(text):
+        path = [lang for lang, a, b in languages.language_spans(text, model) for _ in range(a, b)]
+        words, letters, above = languages.words_of(text), Counter(), 0.0
+        for word, lang, row in zip(words, path, model.word_scores(words) if words else [], strict=True):
+            letters[lang] += len(word)
+            above += row[model.langs.index(lang)] + log(languages.BUCKETS) * (len(word) + 0.5)
+        total = letters.total()
+        return any(map(str.isalpha, text)) and max(letters.values()) >= 0.6 * total and above >= 0.5 * total
+
+    assert kept == {r["doc_id"] for r in both.collect() if plain(r["text"] or "")}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf_dir, name):
     found = queries.QUERIES[name](spark, sf_dir)
