@@ -193,10 +193,11 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, list[int]]]:
 
 
 def fillings(left: dict[int, int], keys: list[int], room: int, effort: int) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of ``room`` found within ``effort`` steps, as (waste, lengths), least waste first.
+    """Ever better fillings of ``room`` found within ``effort`` steps, as (waste, lengths), least waste first.
 
-    Lengths are tried from the largest, so a filling found first has the fewest items. A filling into which another
-    remaining item still fits, or one of whose items could give way to a larger one, is dominated and left out.
+    Lengths are tried from the largest, so a filling found first has the fewest items. One counts if no remaining item
+    fits and its waste is below that of all found before; the first without waste ends it. Others of equal or greater
+    waste are left out though nothing dominates them, so a search over these fillings isn't complete.
     """
     found: list[tuple[int, list[int]]] = []
     best = [room + 1]
@@ -228,7 +229,7 @@ def fillings(left: dict[int, int], keys: list[int], room: int, effort: int) -> l
 
 
 def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000, effort: int = 3_000) -> list[tuple[int, list[int]]]:
-    """Bin completion: fill the bin of the largest remaining item in every undominated way, best first, and back up.
+    """Bin completion: fill the bin of the largest remaining item in each way ``fillings`` has, best first, and back up.
 
     A branch ends when its waste passes what a plan better than the incumbent could have. ``nodes`` bounds the search
     and ``effort`` each enumeration; at their end the incumbent stands. One decision covers as many bins as it can.
