@@ -1,13 +1,15 @@
 """Exact Jaccard join of word-shingle sets by a prefix tree.
 
-Shingles have one global order: rare ones first (the frequent ones are counted over all texts), then by hash. Two sets of
-the wanted similarity share a shingle within short prefixes of this order. Sets that share one are candidates; the
-partners of a set are stored, in global order, in a prefix tree, and one walk with the set's own shingles finds all that
-reach the similarity: branches share the overlap counted so far, and a branch ends when what remains can't suffice.
+Every shingle gets the exact number of sets that hold it: sets are cut into buckets of shingles, packed as arrays, and one
+exchange brings each bucket's shingles together. A shingle that one set alone holds can't be shared, so a set is left with
+its shared shingles, and it is done if those are too few for any link. Shared shingles have one global order, rare ones
+first, and two sets of the wanted similarity share one within short prefixes of this order.
 
-Equal sets meet first and count once. In a first round every set is held against few leaders of its prefixes, which joins
-groups of near copies without comparing all their pairs; in the second round only sets that are in different components
-yet are compared, all of them. So no link between components is lost, and a large group of near copies costs little.
+Sets that agree in a min-hash meet a leader first, which joins groups of near copies without comparing all their pairs.
+After that only sets in different components that share a prefix shingle, at places that leave enough shingles, are
+held against each other, all of them; so no link between components is lost, and a large group of near copies costs
+little. All comparisons go through a prefix tree of globally ordered sets: one walk with a set's shingles finds all
+that reach the similarity. Branches share the overlap counted so far, and a branch ends when what remains can't suffice.
 
 Null texts, empty ones and those without words have empty sets, which link with nothing. Repeated rows are copies. Extra
 columns are ignored. A null doc_id counts as the smallest number and is null in the result.
@@ -15,48 +17,53 @@ columns are ignored. A null doc_id counts as the smallest number and is null in
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, shared_table, utf8
+from .common import Cache, fewer_collections, forget, hot_join, partitions_for, shared_table, utf8, worker_cache
 from .components import components
 
-#: At most so many of the most frequent shingles are ordered by their counts; any bound gives the same links.
+#: At most so many shingles that are frequent in single tasks are counted ahead; any bound gives the same links.
 FREQUENT = 400_000
+#: Sets of a stored block and of a block of probes, and entries of a shingle in a block.
 PARTNERS, PROBES, BLOCK = 256, 64, 512
-#: Entries of one shingle that get a leader together.
-PART = 8192
-#: Odd numbers; each orders the sets of a shingle anew, and the first is a leader.
+#: Odd numbers; each orders the shingles of a set anew, for its min-hash.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Up to so many pairs of numbers (16 bytes each) are broadcast.
-BROADCAST_IDS = 2_000_000
+#: Shingles and texts of a packed chunk, and bits of a shingle's hash.
+CHUNK, CHUNK_SETS, BITS = 4_000_000, 60_000, 48
 NO_ID = -(1 << 63)
-_words: dict[bytes, int] = {}
 
 
-def shingles(raw: bytes, width: int) -> np.ndarray:
-    """Sorted different hashes of the ``width``-word shingles of a text; of all its words, if they are fewer."""
+def shingles(raw: bytes, width: int, known: Cache | None = None) -> np.ndarray:
+    """Sorted different hashes (of ``BITS`` bits) of the ``width``-word shingles of a text; of all its words, if they are fewer."""
     words = raw.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = Cache() if known is None else known
+    held = known.held
+    new = set(words).difference(held)
+    if new and known.make_room(len(new), sum(map(len, new))):
+        new = set(words)
+    for w in new:
+        held[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     out = np.full(len(words) - width + 1, 0x9E3779B97F4A7C15 + width, np.uint64)
     for k in range(width):
         out ^= h[k : len(words) - width + 1 + k]
         out *= np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return np.unique(out >> np.uint64(64 - BITS))
+
+
+def known_words() -> Cache:
+    return worker_cache("shingles", Cache)
 
 
 def set_id(found: np.ndarray) -> int:
@@ -64,56 +71,50 @@ def set_id(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def read_sets(rows: DataFrame, width: int, least: int = 3) -> DataFrame:
-    """Two kinds of rows: doc_id, n, id (size and number of a text's set), and token, count of shingles frequent in a task."""
+def read_sets(rows: DataFrame, width: int, least: int = 4) -> DataFrame:
+    """Two kinds of rows: doc_id, digest, n, id (size and number of a text's set), and token, count of shingles frequent in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
-        held, size = [], 0
+        words, held, size, seen = known_words(), [], 0, set()
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= least
             n = int(often.sum())
-            columns = [pa.nulls(n, pa.int64())] * 3 + [pa.array(values[often].view(np.int64)), pa.array(counts[often])]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "id", "token", "count"])
+            columns = [pa.nulls(n, pa.int64())] * 4 + [pa.array(values[often].view(np.int64)), pa.array(counts[often])]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "id", "token", "count"])
 
         for batch in batches:
             sizes, ids = [], []
             for raw in batch.column(1):
-                found = shingles(raw.as_py(), width)
+                found = shingles(raw.as_py(), width, words)
                 sizes.append(len(found))
                 ids.append(set_id(found))
-                held.append(found)
-                size += len(found)
-                if size > 4_000_000:
+                if ids[-1] not in seen:  # copies of a set count once
+                    seen.add(ids[-1])
+                    held.append(found)
+                    size += len(found)
+                if size > CHUNK:
                     yield counted()
                     held, size = [], 0
+                    seen.clear()
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], ["doc_id", "n", "id", "token", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], ["doc_id", "digest", "n", "id", "token", "count"])
         if held:
             yield counted()
 
-    return rows.mapInArrow(run, "doc_id long, n long, id long, token long, count long")
+    return rows.mapInArrow(run, "doc_id long, digest long, n long, id long, token long, count long")
 
 
 def frequent(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the ``FREQUENT`` most frequent shingles."""
+    """Hashes, sorted, and counts of the ``FREQUENT`` shingles with the highest counts by tasks."""
     got = made.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     hashes = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], got["n"].to_numpy(np.int64)[order]
 
 
-def ordered(found: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A set in the global order: by count, those that aren't frequent first, then by hash."""
-    hashes, counts = ranks
-    if not len(hashes) or not len(found):
-        return found
-    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-    return found[np.argsort(np.where(hashes[at] == found, counts[at], 0), kind="stable")]
-
-
 def prefix_size(n: int, percent: int) -> int:
     """First shingles of a set of n >= 1 among which it shares one with any set of at least the similarity."""
     return n - -(-percent * n // 100) + 1
@@ -124,82 +125,255 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def ordered_keys(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers that name shingles and have the global order: eighths of the count's binary logarithm, then the hash."""
+    return np.minimum(8 * np.log2(counts), 255).astype(np.uint64) << np.uint64(BITS) | tokens
+
+
+PACKED = "bucket int, chunk long, deltas binary, docs binary, keys binary, ids binary, sizes binary"
+PARTS = "chunk long, docs binary, keys binary, ids binary, sizes binary"
+
+
+def columns_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
+def pack_sets(rows: DataFrame, ranks, width: int, buckets: int) -> DataFrame:
+    """The different sets of each task in chunks. Of a chunk: for each bucket of shingles their hashes (as differences) and
+    the places of their sets in the chunk; the frequent shingles as keys with places; the sets' numbers and sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fewer_collections()
+        words = known_words()
+        hashes, often = ranks.value
+        first = [(b << BITS) // buckets for b in range(buckets + 1)]
+        found: list[np.ndarray] = []
+        names: list[int] = []
+        held, chunk = 0, TaskContext.get().partitionId() << 32
+        seen: set[int] = set()
+
+        def out() -> pa.RecordBatch:
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat, of = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), sizes)
+            rows = [(chunk % buckets, chunk, None, None, None, np.array(names, np.int64).tobytes(), sizes.astype("<u4").tobytes())]
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+                hot = hashes[at] == flat
+                rows.append((chunk % buckets, chunk, None, of[hot].tobytes(), ordered_keys(flat[hot], often[at[hot]]).tobytes(), None, None))
+                flat, of = flat[~hot], of[~hot]
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+            edges = np.searchsorted(flat, np.array(first, np.uint64))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                part, docs = flat[edges[b] : edges[b + 1]], of[edges[b] : edges[b + 1]]
+                deltas = np.diff(part, prepend=np.uint64(first[b]))
+                rows.append((b, chunk, deltas.astype("<u4" if deltas.max() < 1 << 32 else "<u8").tobytes(), docs.tobytes(), None, None, None))
+            return columns_of(rows, PACKED)
+
+        for batch in batches:
+            for raw in batch.column(0):
+                one = shingles(raw.as_py(), width, words)
+                name = set_id(one)
+                if not len(one) or name in seen:
+                    continue
+                seen.add(name)
+                found.append(one)
+                names.append(name)
+                held += len(one)
+                if held > CHUNK or len(found) >= CHUNK_SETS:
+                    yield out()
+                    chunk += 1
+                    found, names, held = [], [], 0
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+        if found:
+            yield out()
+
+    return rows.select("raw").mapInArrow(run, PACKED)
+
+
+def shared_shingles(packed: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk its table of sets, and in parts the keys of its shared shingles with places. A task holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        chunks: list[int] = []
+        now = None
+
+        def close() -> list[tuple]:
+            if not tokens:
+                return []
+            token, of = np.concatenate(tokens), np.concatenate(docs)
+            order = np.argsort(token, kind="stable")
+            token, of = token[order], of[order]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(start, len(token)))
+            count = np.repeat(count, count)
+            token, of, count = token[count > 1], of[count > 1], count[count > 1]
+            order = np.argsort(of, kind="stable")
+            keys, of = ordered_keys(token, count)[order], of[order]
+            edges = np.searchsorted(of, np.arange(len(chunks) + 1) << 16)
+            out = [(c, (of[a:b] & 0xFFFF).astype("<u2").tobytes(), keys[a:b].tobytes(), None, None) for c, a, b in zip(chunks, edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a]
+            for held in (tokens, docs, chunks):
+                held.clear()
+            return out
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for bucket, chunk, deltas, places, keys, ids, sizes in zip(*(batch.column(k) for k in range(7)), strict=True):
+                if not deltas.is_valid:
+                    rows.append((chunk.as_py(), places.as_py(), keys.as_py(), ids.as_py(), sizes.as_py()))
+                    continue
+                if bucket.as_py() != now:
+                    rows += close()
+                    now = bucket.as_py()
+                index = np.frombuffer(places.as_buffer(), "<u2").astype(np.int64)
+                raw = deltas.as_buffer()
+                gaps = np.frombuffer(raw, "<u4" if raw.size == 4 * len(index) else "<u8").astype(np.uint64)
+                tokens.append(np.cumsum(gaps, dtype=np.uint64) + np.uint64((now << BITS) // buckets))
+                docs.append(index | len(chunks) << 16)
+                chunks.append(chunk.as_py())
+            yield columns_of(rows, PARTS)
+        yield columns_of(close(), PARTS)
+
+    dealt = packed.repartition(max(4 * buckets, partitions_for(packed)), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, PARTS)
+
+
+def linkable_sets(parts: DataFrame, percent: int) -> DataFrame:
+    """id, n, keys, central, min-hashes of the sets whose shared shingles are enough for some link.
+
+    keys: the shared shingles in global order; central: how widely shared they are, which is most in the middle of a
+    group of near copies. A task holds one chunk at a time. A set that several tasks read comes once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        ids = sizes = np.empty(0, np.int64)
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            key, of = np.concatenate(keys), np.concatenate(docs)
+            keys.clear()
+            docs.clear()
+            least = -(-percent * sizes // 100)
+            enough = np.bincount(of, minlength=len(sizes)) >= least
+            key, of = key[enough[of]], of[enough[of]]
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
+            edges = np.searchsorted(of, np.arange(len(sizes) + 1))
+            rows: list[tuple] = []
+            for k in np.flatnonzero(enough & (sizes > 0)).tolist():
+                own = key[edges[k] : edges[k + 1]]
+                central = int((own >> np.uint64(BITS)).sum()) * 1000 // int(sizes[k])
+                rows.append((int(ids[k]), int(sizes[k]), own.tobytes(), central, *(int((own * np.uint64(mix)).min() >> np.uint64(1)) for mix in ORDERS)))
+                if len(rows) == 2000:
+                    yield columns_of(rows, schema)
+                    rows = []
+            yield columns_of(rows, schema)
+
+        for batch in batches:
+            for chunk, places, part, names, counts in zip(*(batch.column(k) for k in range(5)), strict=True):
+                if chunk.as_py() != now:
+                    yield from close()
+                    now = chunk.as_py()
+                if names.is_valid:
+                    ids, sizes = np.frombuffer(names.as_py(), np.int64), np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
+                else:
+                    keys.append(np.frombuffer(part.as_py(), np.uint64))
+                    docs.append(np.frombuffer(places.as_py(), "<u2").astype(np.int64))
+        yield from close()
+
+    schema = "id long, n long, keys binary, central long, " + ", ".join(f"low{k} long" for k in range(len(ORDERS)))
+    dealt = parts.repartition("chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(run, schema).dropDuplicates(["id"])
+
+
 class PrefixTree:
-    """Ordered sets in a tree with one edge for each run that no two sets part in, and an index of its upper edges."""
+    """Globally ordered sets in a tree; an edge is a run of shingles in which no two sets below it part.
+
+    Sets hold their shared shingles only; ``sizes`` are the whole sets' sizes.
+    """
 
-    def __init__(self, sets: list[np.ndarray], names: list[int], percent: int):
-        order = sorted(range(len(sets)), key=lambda k: sets[k].tobytes())
-        self.sets = [sets[k] for k in order]
-        self.names = [names[k] for k in order]
+    def __init__(self, sets: list[np.ndarray], names: list[int], sizes: list[int], percent: int):
+        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
         self.percent = percent
-        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(sets))
-        self.tops = np.array([prefix_size(n, percent) for n in self.sizes.tolist()], np.int64)
-        upper = np.concatenate([s[:k] for s, k in zip(self.sets, self.tops.tolist(), strict=True)]) if sets else np.empty(0, np.uint64)
-        by = np.argsort(upper, kind="stable")
-        self.upper, self.holder = upper[by], np.repeat(np.arange(len(sets)), self.tops)[by]
-
-    def search(self, probe: np.ndarray) -> list[int]:
-        """Names of the sets similar to ``probe`` (sorted by hash)."""
+        self.sets, self.names, self.sizes = [sets[k] for k in order], [names[k] for k in order], [sizes[k] for k in order]
+        self.top = self.build(0, len(order), 0) if order else None
+
+    def build(self, lo: int, hi: int, depth: int) -> tuple:
+        """(edge, most shingles left below it, least size, ended sets, children) of the sets lo to hi - 1, which agree up to depth."""
+        first, last = self.sets[lo], self.sets[hi - 1]
+        m = min(len(first), len(last))
+        apart = np.flatnonzero(first[depth:m] != last[depth:m])
+        end = depth + int(apart[0]) if len(apart) else m
+        at, ended = lo, []
+        while at < hi and len(self.sets[at]) == end:
+            ended.append(at)
+            at += 1
+        children = []
+        while at < hi:
+            label, stop = self.sets[at][end], at + 1
+            low, high = at, hi  # the last set with this label, by binary search
+            while low + 1 < high:
+                middle = (low + high) // 2
+                low, high = (middle, high) if self.sets[middle][end] == label else (low, middle)
+            stop = low + 1
+            children.append(self.build(at, stop, end))
+            at = stop
+        below = max((len(c[0]) + c[1] for c in children), default=0)
+        return first[depth:end], below, min(self.sizes[lo:hi]), ended, children
+
+    def search(self, probe: np.ndarray, size: int, first: bool = False) -> list[int]:
+        """Names of the sets similar to ``probe`` (ordered keys) of a set of ``size``; of one of them, if ``first`` is set."""
         found: list[int] = []
-        n, percent = len(probe), self.percent
-        lo, hi = np.searchsorted(self.upper, probe), np.searchsorted(self.upper, probe, "right")
-        met = np.flatnonzero(hi > lo)
-        at = np.repeat(lo[met] - np.concatenate([[0], np.cumsum(hi[met] - lo[met])[:-1]]), hi[met] - lo[met]) + np.arange(int((hi[met] - lo[met]).sum())) if len(met) else np.empty(0, np.int64)
-        shared = np.bincount(self.holder[at], minlength=len(self.sets))
-        # Below its upper edges a set can gain no more than the shingles that it has left.
-        alive = np.flatnonzero(shared + self.sizes - self.tops >= -(-percent * (self.sizes + n) // (100 + percent)))
-        own, names = [self.sets[k] for k in alive.tolist()], [self.names[k] for k in alive.tolist()]
-        hits = []
-        for s in own:  # which of a set's shingles the probe holds: sums along the tree's edges come from it
-            at = np.minimum(np.searchsorted(probe, s), n - 1)
-            hits.append(np.concatenate([[0], np.cumsum(probe[at] == s)]))
-
-        def walk(lo: int, hi: int, depth: int) -> None:
-            """Sets lo to hi - 1 agree up to depth."""
-            longest = max(len(own[k]) for k in range(lo, hi))
-            shortest = min(len(own[k]) for k in range(lo, hi))
-            overlap = int(hits[lo][depth])
-            if overlap + min(longest - depth, n - overlap) < needed(shortest, n, percent):
-                return
-            if hi - lo == 1:
-                if hits[lo][-1] >= needed(len(own[lo]), n, percent):
-                    found.append(names[lo])
-                return
-            first, last = own[lo], own[hi - 1]
-            m = min(len(first), len(last))
-            apart = np.flatnonzero(first[depth:m] != last[depth:m])
-            depth = depth + int(apart[0]) if len(apart) else m
-            at = lo
-            while at < hi and len(own[at]) == depth:
-                if hits[at][-1] >= needed(depth, n, percent):
-                    found.append(names[at])
-                at += 1
-            while at < hi:
-                edge = own[at][depth].tobytes()
-                end = bisect.bisect_right(own, edge, at, hi, key=lambda s, d=depth: s[d].tobytes())
-                walk(at, end, depth + 1)
-                at = end
-
-        if own:
-            walk(0, len(own), 0)
+        todo = [(self.top, 0)] if self.top else []
+        n = len(probe)
+        while todo:
+            (edge, below, least, ended, children), overlap = todo.pop()
+            wanted = needed(least, size, self.percent)
+            past = 0
+            if len(edge):
+                past = int(probe.searchsorted(edge[0]))  # what of the probe comes before the edge is met or lost
+                if overlap + min(len(edge) + below, n - past) < wanted:
+                    continue
+                at = probe.searchsorted(edge)
+                overlap += int((probe[np.minimum(at, n - 1)] == edge).sum())
+                past = int(probe.searchsorted(edge[-1], "right"))
+            for k in ended:
+                if overlap >= needed(self.sizes[k], size, self.percent):
+                    found.append(self.names[k])
+                    if first:
+                        return found
+            if children and overlap + min(below, n - past) >= wanted:
+                todo += [(child, overlap) for child in children]
         return found
 
 
-def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent: int, joined: bool = False) -> DataFrame:
-    """a, b of all similar sets on different sides of a group. sides: g, id, probe (which side); texts: id, raw.
+def similar_pairs(sides: DataFrame, sets: DataFrame, percent: int, joined: bool = False) -> DataFrame:
+    """a, b of all similar sets on different sides of a group. sides (a shared table): g, id, probe (which side).
 
     joined: a group's stored sets are one component already, so one link of a probe to a block of them says all.
 
     Both sides of a group are cut into blocks, ``PARTNERS`` stored sets and ``PROBES`` probes at most on average, and each
-    pair of blocks is one task's: a set's text goes once to each block of the other side, not once to each partner.
+    pair of blocks is one task's: a set's keys go once to each block of the other side, not once to each partner.
     """
-    sizes = sides.groupBy("g").agg(F.sum(F.col("probe").cast("int")).alias("n"), F.count("*").alias("all"))
-    blocks = sizes.select("g", F.ceil(F.col("n") / PROBES).cast("int").alias("probes"), F.ceil((F.col("all") - F.col("n")) / PARTNERS).cast("int").alias("stores")).filter("probes > 0 AND stores > 0")
+    sizes = sides.groupBy("g").agg(F.sum(F.col("probe").cast("int")).alias("probed"), F.count("*").alias("all"))
+    blocks = sizes.select("g", F.ceil(F.col("probed") / PROBES).cast("int").alias("probes"), F.ceil((F.col("all") - F.col("probed")) / PARTNERS).cast("int").alias("stores")).filter("probes > 0 AND stores > 0")
     other = F.when(F.col("probe"), F.col("stores")).otherwise(F.col("probes"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("stores"))).cast("int")
-    spread = sides.join(blocks, "g").withColumn("own", own).withColumn("far", F.explode(F.sequence(F.lit(0), other - 1)))
+    spread = hot_join(sides, blocks, "g", "id").withColumn("own", own).withColumn("far", F.explode(F.sequence(F.lit(0), other - 1)))
     placed = spread.select("g", F.when(F.col("probe"), F.col("far")).otherwise(F.col("own")).alias("i"), F.when(F.col("probe"), F.col("own")).otherwise(F.col("far")).alias("j"), "probe", "id")
-    rows = placed.join(texts, "id").select("g", "i", "j", "probe", "id", "raw").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    placed = shared_table(placed.withColumn("cell", F.xxhash64("g", "i", "j")), "placed")
+    rows = hot_join(placed, sets.select("id", "n", "keys"), "id", "cell").select("g", "i", "j", "probe", "id", "n", "keys").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
@@ -208,18 +382,16 @@ def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent
         def close() -> list[tuple[int, int]]:
             if not probes or not stored:
                 return []
-            tree = PrefixTree([ordered(x, ranks.value) for x in stored.values()], list(stored), percent)
-            return [(a, b) for a, x in probes.items() for b in tree.search(x)[: 1 if joined else None]]
+            tree = PrefixTree([s[1] for s in stored.values()], list(stored), [s[0] for s in stored.values()], percent)
+            return [(a, b) for a, (size, keys) in probes.items() for b in tree.search(keys, size, joined) if a != b]
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for g, i, j, probe, name, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for g, i, j, probe, name, n, keys in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if now != (g, i, j):
                     out += close()
                     now, probes, stored = (g, i, j), {}, {}
-                found = shingles(raw, width)
-                if set_id(found) == name:  # a doc_id may have come with other texts too
-                    (probes if probe else stored)[name] = found
+                (probes if probe else stored)[name] = (n, np.frombuffer(keys, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
         out = close()
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
@@ -227,207 +399,155 @@ def similar_pairs(sides: DataFrame, texts: DataFrame, ranks, width: int, percent
     return rows.mapInArrow(run, "a long, b long")
 
 
-def sides_of(pairs: DataFrame) -> DataFrame:
-    """Pairs (leader a, set b) as groups of a leader's sets, with the leader as probe."""
-    led = pairs.select(F.col("a").alias("g"), F.col("b").alias("id"), F.lit(False).alias("probe"))
-    return led.union(pairs.select(F.col("a").alias("g"), F.col("a").alias("id"), F.lit(True).alias("probe")).distinct())
+def led_sides(sets: DataFrame) -> DataFrame:
+    """g, id, probe: each set beside the leader of its min-hash in each order, the most central set; it is the group's probe."""
+    lows = sets.select("id", "central", F.posexplode(F.array(*(F.col(f"low{k}") for k in range(len(ORDERS))))).alias("k", "low"))
+    lows = shared_table(lows.select("id", "central", F.xxhash64("k", "low").alias("low")), "lows")
+    leaders = lows.groupBy("low").agg(F.max(F.struct("central", "id"))["id"].alias("g"), F.count("*").alias("n")).filter("n > 1").select("low", "g")
+    led = hot_join(lows, leaders, "low", "id").select("g", "id").filter("g != id").distinct()
+    led = shared_table(led.select("g", "id", F.lit(False).alias("probe")), "led")
+    out = shared_table(led.union(led.select("g", F.col("g").alias("id"), F.lit(True).alias("probe")).distinct()), "sides")
+    forget(lows)
+    return out
 
 
-def texts_of(sides: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
-    """id, raw of all sets in sides. Up to ``BROADCAST_IDS`` of them only their numbers are sent around, beyond that all meet by doc_id."""
-    wanted = sides.select("id").distinct().join(firsts, "id").select("id", "doc_id")
-    wanted = shared_table(wanted, "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "doc_id").select("id", "raw")
+def open_sides(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """g, id, probe: sets that may be similar though in different components, by the larger component of two.
 
+    Sets meet at prefix shingles that several components hold. A shingle's entries are cut into blocks: components of many
+    entries have blocks of their own, which don't meet each other; each pair of blocks is one task's. A pair counts if
+    sizes and places leave enough shingles. A group holds sets of its component (stored) and the outer sets (probes).
+    """
 
-def link_classes(docs: DataFrame, width: int = 5, percent: int = 75, leaders: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8().alias("raw"))
-    made = shared_table(read_sets(rows, width), "sets")
-    ranks = docs.sparkSession.sparkContext.broadcast(frequent(made))
-    members = made.filter("n is not null").select("doc_id", "n", "id")
-    firsts = members.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            for name, n, keys, component, weight in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                own = np.frombuffer(keys, np.uint64)
+                missing = n - len(own)  # shingles of its own come first
+                own = own[: max(0, prefix_size(n, percent) - missing)]
+                for column, value in zip(columns, (own.view(np.int64), np.full(len(own), name), np.full(len(own), n), np.arange(missing, missing + len(own)), np.stack([np.full(len(own), component), np.full(len(own), weight)])), strict=True):
+                    column.append(value)
+            if not columns[0]:
+                continue
+            both = np.concatenate(columns[4], 1)
+            flat = [*(np.concatenate(c) for c in columns[:4]), both[0], both[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in flat], ["token", "id", "n", "place", "component", "weight"])
+
+    known = shared_table(labelled(sets.select("id", "n", "keys"), labels), "labelled")
+    schema = "token long, id long, n long, place long, component long, weight long"
+    entries = shared_table(known.mapInArrow(prefixes, schema), "prefixes")
+    own = entries.groupBy("token", "component").agg(F.count("*").alias("m"))
+    mixed = own.groupBy("token").agg(F.count("*").alias("different"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("small")).filter("different > 1")
+    mixed = shared_table(mixed.select("token", F.ceil(F.coalesce("small", F.lit(0)) / BLOCK).cast("int").alias("small")), "mixed")
+    # Blocks of large components follow those of the others; there is one row a large component of a shingle.
+    large = own.filter(F.col("m") > BLOCK).join(mixed, "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))).alias("large"))
+    blocks = mixed.join(large, "token", "left").withColumn("large", F.coalesce("large", F.array().cast("array<struct<component:bigint,blocks:int>>")))
+    left = hot_join(entries, blocks, "token", "id")
+    before = F.filter("large", lambda x: x["component"] < F.col("component"))
+    mine = F.filter("large", lambda x: x["component"] == F.col("component"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["blocks"])
+    left = left.withColumns({"first": F.col("small") + total(before), "pure": total(mine), "every": F.col("small") + total(F.col("large"))})
+    place = F.when(F.col("pure") > 0, F.col("first") + F.pmod(F.xxhash64("id"), F.col("pure"))).otherwise(F.pmod(F.xxhash64("component"), F.greatest("small", F.lit(1)))).cast("int")
+    far = F.filter(F.sequence(F.lit(0), F.col("every") - 1), lambda k: (F.col("pure") == 0) | (k < F.col("first")) | (k >= F.col("first") + F.col("pure")))
+    cells = left.withColumn("own", place).withColumn("far", F.explode(far)).withColumns({"i": F.least("own", "far"), "j": F.greatest("own", "far")})
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fewer_collections()
-        seen: set[int] = set()  # copies of a set in one task give its entries once
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, sent = [], set()
+        now = None
         for batch in batches:
-            tokens, names, sizes, held = [], [], [], 0
+            if not batch.num_rows:
+                continue
+            table = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(9)])
+            keys = table[:3]
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.shape[1]]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                here = tuple(keys[:, lo].tolist())
+                if here != now and carried:
+                    yield from paired(np.concatenate(carried, 1), sent)
+                    carried = []
+                now = here
+                carried.append(table[:, lo:hi])
+        if carried:
+            yield from paired(np.concatenate(carried, 1), sent)
+
+    def paired(cell: np.ndarray, sent: set) -> Iterator[pa.RecordBatch]:
+        _, i, j, own, ids, n, place, component, weight = cell
+        one = np.flatnonzero(own == i[0])
+        two = one if i[0] == j[0] else np.flatnonzero(own == j[0])
+        rows: set[tuple] = set()
+        for at in range(0, len(one), 256):
+            p, q = (m.ravel() for m in np.meshgrid(one[at : at + 256], two, indexing="ij"))
+            different = (component[p] != component[q]) & (p < q if i[0] == j[0] else True)
+            p, q = p[different], q[different]
+            alpha = -(-percent * (n[p] + n[q]) // (100 + percent))
+            # Two similar sets share a shingle of both prefixes that their own sizes allow, and leave enough after it.
+            keep = (place[p] <= n[p] - alpha) & (place[q] <= n[q] - alpha) & (np.minimum(n[p], n[q]) >= alpha)
+            p, q = p[keep], q[keep]
+            swap = (weight[p] > weight[q]) | (weight[p] == weight[q]) & (component[p] < component[q])
+            p, q = np.where(swap, q, p), np.where(swap, p, q)  # q is in the component that names the group
+            rows.update(zip(component[q].tolist(), ids[p].tolist(), [True] * len(p), strict=True))
+            rows.update(zip(component[q].tolist(), ids[q].tolist(), [False] * len(p), strict=True))
+        rows -= sent
+        if len(sent) > 200_000:
+            sent.clear()
+        sent |= rows
+        if rows:
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["g", "id", "probe"])
 
-            def out() -> pa.RecordBatch:
-                n = [len(t) for t in tokens]
-                flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
-                place = np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if tokens else np.empty(0, np.int32)
-                return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(place)], ["token", "id", "n", "place"])
+    dealt = cells.select("token", "i", "j", "own", "id", "n", "place", "component", "weight").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    out = shared_table(dealt.mapInArrow(run, "g long, id long, probe boolean").distinct(), "sides")
+    forget(known, entries, mixed)
+    return out
 
-            for raw in batch.column(0):
-                found = shingles(raw.as_py(), width)
-                name = set_id(found)
-                if not len(found) or name in seen:
-                    continue
-                seen.add(name)
-                tokens.append(ordered(found, ranks.value)[: prefix_size(len(found), percent)])
-                names.append(name)
-                sizes.append(len(found))
-                held += len(tokens[-1])
-                if held > 400_000:
-                    yield out()
-                    tokens, names, sizes, held = [], [], [], 0
-            yield out()
 
-    entries = rows.select("raw").mapInArrow(spread, "token long, id long, n int, place int")
-    shared = shared_table(meet(entries), "entries")
-    first = shared_table(led_pairs(shared, [0], leaders), "pairs")
-    check = lambda sides, joined=False: shared_table(similar_pairs(sides, texts_of(sides, firsts, rows), ranks, width, percent, joined), "links")
-    links = check(sides_of(first))
-    # What no leader of the first order links with is held against those of the other orders.
-    single = shared.join(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "id", "left_anti")
-    again = shared_table(led_pairs(single, [1, 2], 3 * leaders).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(check(sides_of(again)))
-    labels = components(links)
-    more = check(shared_table(open_sides(shared, labels, percent), "sides"), True)
-    final = labels if more.isEmpty() else components(links.unionByName(more))
-    classes = firsts.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = classes.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = classes.join(least, "component").select("id", "least")
-    out = members.join(named, "id", "left")
-    real = lambda c: F.when(c > NO_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("least", "doc_id")).alias("component_id"))
+def labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sets with component and weight (sets of the component); a set without a link is a component of its own."""
+    sized = hot_join(labels, labels.groupBy("component").agg(F.count("*").alias("weight")), "component", "id")
+    return sets.join(sized, "id", "left").withColumns({"component": F.coalesce("component", "id"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
 
 
-def led_pairs(entries: DataFrame, orders: list[int], most: int) -> DataFrame:
-    """a (a leader), b: for each set its ``most`` leaders with most common shingles, if those are a twentieth of its own."""
-    sides = [entries.select("id", "n", F.col(f"leader{k}").alias("leader"), F.col(f"leader_n{k}").alias("m")) for k in orders]
-    near = sides[0].filter("id != leader AND 100 * least(n, m) >= 75 * greatest(n, m)").groupBy("id", "n", "leader").count()
-    for side in sides[1:]:
-        near = near.unionByName(side.filter("id != leader AND 100 * least(n, m) >= 75 * greatest(n, m)").groupBy("id", "n", "leader").count())
-    near = near.filter("20 * count >= n").groupBy("id", "leader").agg(F.max("count").alias("count"))
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).filter(F.col("k") <= most)
-    return best.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+def buckets_for(entries: int) -> int:
+    """Buckets of a million shingles; of more, but twenty millions at most, beyond 65,536 of them."""
+    return max(1, min(-(-entries // 1_000_000), 1 << 16), -(-entries // 20_000_000))
 
 
-def meet(entries: DataFrame) -> DataFrame:
-    """Entries whose shingle more than one set holds, with the least-hashed of the sets as leader.
+def digest(column: str = "text") -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(utf8(column))
 
-    Tasks get a shingle's entries together; a frequent shingle's leaders are found for each part of its entries.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = parted = None  # parted: the token that a part was made of; what is left of it stays, be it one entry
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([carried, table]) if carried is not None else table
-            token = table.column("token").to_numpy()
-            if not len(token):
-                continue
-            cut = len(token) - int((token[::-1] != token[-1]).argmax()) if token[0] != token[-1] else 0
-            if cut == 0 and len(token) < PART:
-                carried = table
-                continue
-            parted = token[-1] if cut == 0 else parted
-            yield from led(table.slice(0, cut or len(token)), parted)
-            carried = table.slice(cut or len(token))
-        if carried is not None and len(carried):
-            yield from led(carried, parted)
-
-    def led(table: pa.Table, parted: int | None) -> Iterator[pa.RecordBatch]:
-        token, ids, n = (table.column(c).to_numpy() for c in ("token", "id", "n"))
-        order = np.lexsort((ids, token))  # a set that several tasks read has its entries once
-        order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (ids[order][1:] != ids[order][:-1])])]
-        table, token, ids, n = table.take(pa.array(order)), token[order], ids[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        sizes = np.diff(np.append(start, len(token)))
-        group = np.repeat(np.arange(len(start)), sizes)
-        for k, mix in enumerate(ORDERS):
-            order = (ids.astype(np.uint64) * np.uint64(mix)) >> np.uint64(1)
-            mine = np.flatnonzero(order == np.minimum.reduceat(order, start)[group])
-            leader, leader_n = np.empty(len(start), np.int64), np.empty(len(start), np.int32)
-            leader[group[mine]], leader_n[group[mine]] = ids[mine], n[mine]
-            table = table.append_column(f"leader{k}", pa.array(leader[group])).append_column(f"leader_n{k}", pa.array(leader_n[group]))
-        out = table.filter(pa.array((sizes > 1)[group] | (token == parted if parted is not None else False)))
-        yield from out.combine_chunks().to_batches()
-
-    dealt = entries.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "token long, id long, n int, place int, " + ", ".join(f"leader{k} long, leader_n{k} int" for k in range(len(ORDERS))))
-
-
-def open_sides(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """g, id, probe: sets that may be similar though in different components, by the larger component of two.
+def link_classes(docs: DataFrame, width: int = 5, percent: int = 75, with_class: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; ``with_class`` also digest (of the text) and class_id.
 
-    A group holds the component's sets that some outer set shares a prefix shingle with (stored), and those outer sets
-    (probes). Pairs too different in size, or too late in their orders for the similarity, don't count. Entries of a
-    shingle whose sets are all in one component are done. The others of a shingle are cut into blocks; each pair of
-    blocks is one task's, so no task gets an unbounded group.
+    class_id tells components apart even where a doc_id has several texts; it is null for empty sets.
     """
-    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component")
-    known = entries.join(sized.withColumnRenamed("component", "found"), "id", "left")
-    known = known.select("token", "id", "n", "place", F.coalesce("found", "id").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    mixed = known.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a != b").select("token", "size")
-    left = known.join(mixed, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    cells = left.withColumn("own", own).withColumn("cell", F.explode(every)).select("token", "cell.i", "cell.j", "own", "id", "n", "place", "component", "weight")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried, sent = None, set()
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([carried, table]) if carried is not None else table
-            if not len(table):
-                continue
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")])
-            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            last = int(new[-1]) if len(new) else 0
-            yield from paired(table.slice(0, last), np.concatenate([[0], new[:-1], [last]]) if len(new) else np.array([0]), sent)
-            carried = table.slice(last)
-        if carried is not None and len(carried):
-            yield from paired(carried, np.array([0, len(carried)]), sent)
-
-    def paired(table: pa.Table, edges: np.ndarray, sent: set) -> Iterator[pa.RecordBatch]:
-        i, j, own, ids, n, place, component, weight = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "own", "id", "n", "place", "component", "weight"))
-        sizes = np.diff(edges)
-        two = edges[:-1][sizes == 2]
-        pairs = [(two, two + 1)] if len(two) else []
-        found = []
-
-        def settle() -> None:
-            p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
-            pairs.clear()
-            alpha = -(-percent * (n[p] + n[q]) // (100 + percent))
-            # Two similar sets share a shingle of both prefixes that their own sizes allow.
-            keep = (component[p] != component[q]) & (place[p] <= n[p] - alpha) & (place[q] <= n[q] - alpha)
-            p, q = p[keep], q[keep]
-            swap = (weight[p] > weight[q]) | (weight[p] == weight[q]) & (component[p] < component[q])
-            p, q = np.where(swap, q, p), np.where(swap, p, q)  # q is in the component that names the group
-            for who, probe in ((p, 1), (q, 0)):
-                found.append(np.stack([component[q], ids[who], np.full(len(who), probe)]))
-
-        held = 0
-        for lo, hi in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
-            s = slice(lo, hi)
-            if i[lo] == j[lo]:
-                p, q = np.triu_indices(hi - lo, 1)
-            else:
-                p, q = (m.ravel() for m in np.meshgrid(np.flatnonzero(own[s] == i[lo]), np.flatnonzero(own[s] == j[lo]), indexing="ij"))
-            pairs.append((p + lo, q + lo))
-            held += len(p)
-            if held > 1_000_000:
-                settle()
-                held = 0
-        if pairs:
-            settle()
-        if found:
-            rows = [r for r in map(tuple, np.unique(np.concatenate(found, 1), axis=1).T.tolist()) if r not in sent]
-            if len(sent) > 1_000_000:
-                sent.clear()
-            sent.update(rows)
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([bool(x) for x in columns[2]], pa.bool_())], ["g", "id", "probe"])
-
-    dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.select("token", "i", "j", "own", "id", "n", "place", "component", "weight").mapInArrow(run, "g long, id long, probe boolean").distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8().alias("raw"), digest().alias("digest"))
+    made = shared_table(read_sets(rows, width), "read")
+    ranks = docs.sparkSession.sparkContext.broadcast(frequent(made))
+    members = shared_table(made.filter("n > 0").select("doc_id", "digest", "n", "id"), "members")
+    empty = shared_table(made.filter("n = 0").select("doc_id", "digest", "n"), "members")
+    forget(made)
+    buckets = buckets_for(members.agg(F.sum("n")).first()[0] or 0)
+    sets = shared_table(linkable_sets(shared_shingles(pack_sets(rows, ranks, width, buckets), buckets), percent), "sets")
+    ranks.destroy()
+    led = led_sides(sets)
+    links = shared_table(similar_pairs(led, sets, percent), "links")
+    labels = components(links)
+    sides = open_sides(sets, labels, percent)
+    more = shared_table(similar_pairs(sides, sets, percent, True), "links")
+    final = labels if more.isEmpty() else components(links.unionByName(more))
+    forget(led, sides, sets)
+    copies = members.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = shared_table(copies.join(final, "id", "left").filter("copies > 1 OR component IS NOT NULL").select("id", "least", F.coalesce("component", "id").alias("component")), "classes")
+    named = hot_join(classes, classes.groupBy("component").agg(F.min("least").alias("smallest")), "component", "id").select("id", "smallest", F.col("component").alias("class_id"))
+    linked = hot_join(members, named, "id", "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "id")).drop("id")
+    none = F.lit(None).cast("long")
+    out = linked.unionByName(empty.withColumns({"smallest": none, "class_id": none}))
+    real = lambda c: F.when(c > NO_ID, c)
+    more_columns = ["digest", "class_id"] if with_class else []
+    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("smallest", "doc_id")).alias("component_id"), *more_columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -125,6 +125,11 @@ def test_languages(spark, awkward, nothing, sf_dir):
     assert languages.predict_languages(nothing, model).count() == 0
 
 
+def test_words_and_letters():
+    assert languages.words_of("Don’t\u00a0stop\u3000été—ok日本 x1y") == [w.encode() for w in ("don", "t", "stop", "été", "ok", "日", "本", "x", "y")]
+    assert languages.letters_of(languages.words_of("été ok 日本 हिन्दी")).tolist() == [3, 2, 1, 1, 3]
+
+
 def test_viterbi():
     rng = np.random.default_rng(2)
     for _ in range(30):
@@ -212,26 +217,38 @@ def test_jaccard(spark, awkward, nothing):
     assert jaccard.link_classes(nothing).count() == 0
 
 
-def test_rest_of_a_common_shingle(spark, monkeypatch):
-    """One entry left after a whole part of its shingle still meets the others; a lone entry doesn't stay."""
-    monkeypatch.setattr(jaccard, "PART", 2)
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, "2")
-    try:
-        entries = spark.createDataFrame([(7, k, 3, 0) for k in range(5)] + [(8, 9, 3, 0)], "token long, id long, n int, place int").coalesce(1)
-        assert sorted((r["token"], r["id"]) for r in jaccard.meet(entries).collect()) == [(7, k) for k in range(5)]
-    finally:
-        spark.conf.set(size, before)
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """A thousand sets: one hot group of near copies, others near its edge, copies, and blocks of a few entries."""
+    monkeypatch.setattr("quarry.llm.common.FEW", 10)
+    for name, value in (("BLOCK", 16), ("PARTNERS", 8), ("PROBES", 4), ("CHUNK", 5_000)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    texts = {}
+    for k in range(1000):
+        if k % 3 == 0:  # hot: few changes
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(60)] = f"x{rng.randrange(500)}"
+        elif k % 3 == 1:  # some of the base, some of its own
+            cut = rng.randrange(30, 60)
+            words = base[:cut] + [f"y{k}z{j}" for j in range(rng.randrange(25))]
+        else:
+            words = [f"v{rng.randrange(12)}" for _ in range(rng.randrange(1, 30))]
+        texts[k] = " ".join(words)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(rows).collect()}
+    assert got == brute_components(texts)
 
 
 def test_prefix_tree():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
-    tree = jaccard.PrefixTree(sets, list(range(80)), 75)
+    tree = jaccard.PrefixTree(sets, list(range(80)), [len(s) for s in sets], 75)
     for s in sets:
         want = [k for k, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))]
-        assert sorted(tree.search(s)) == want
+        assert sorted(tree.search(s, len(s))) == want
+        assert bool(tree.search(s, len(s), True)) == bool(want)
 
 
 def test_components(spark):
@@ -278,10 +295,29 @@ def test_bpe(spark, awkward, nothing):
     assert bpe.encode_texts(nothing, path).count() == 0
 
 
+def test_transducer():
+    """Windows of any length give what merging whole words gives, for one word and for many."""
+    rng = random.Random(9)
+    for _ in range(60):
+        vocab = {c: k for k, c in enumerate("abc")}
+        merges = []
+        for _ in range(rng.randrange(1, 14)):
+            a, b = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if a + b not in vocab and len(a + b) < 8:
+                vocab[a + b] = len(vocab)
+                merges.append((a, b))
+        own = bpe.Merges(vocab, merges)
+        words = [[rng.randrange(3) for _ in range(rng.randrange(1, 200))] for _ in range(20)]
+        want = [own.apply(w) for w in words]
+        stream = bpe.WordStream(own, slack=1)
+        assert stream.many(words) == want
+        assert [[*stream.feed(w), *stream.finish()] for w in words] == want
+
+
 def test_stream_decoder():
     symbols = bpe.byte_symbols()
     raw = "né 🎉".encode()
-    machine = bpe.StreamDecoder(dict(enumerate(symbols[b] for b in raw)), True)
+    machine = bpe.StreamDecoder(bpe.decoder_pieces(dict(enumerate(symbols[b] for b in raw)), True), True)
     assert "".join(machine.feed([k]) for k in range(len(raw))) + machine.finish() == "né 🎉"
 
 
