@@ -19,19 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import partitions_for, worker_cache
 
 PRIME = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 WINDOW, KEEP = 12, 64
 #: Stands for a null doc_id, which sorts first.
 NO_ID = -(1 << 63)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers of so many places are kept; those of longer texts are made for the text alone.
+KEPT_POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of a base and of its inverse, modulo the prime; grown by doubling and kept."""
-    have = _powers.get(base)
+    """The first powers of a base and of its inverse, modulo the prime; grown by doubling and kept up to a bound."""
+    kept = worker_cache("fingerprints", dict)
+    have = kept.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(12, (n - 1).bit_length())
         tables = []
@@ -42,7 +44,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 table[k : 2 * k] = table[:k] * pow(b, k, PRIME) % PRIME
                 k *= 2
             tables.append(table)
-        have = _powers[base] = (tables[0], tables[1])
+        have = (tables[0], tables[1])
+        if size <= KEPT_POWERS:
+            kept[base] = have
     return have
 
 

@@ -10,6 +10,7 @@ learned. Rows with a null lang teach nothing. Repeated rows are counted and pred
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections import Counter
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, kept_columns, remainder, schema_of
+from .common import Cache, fewer_collections, kept_columns, remainder, schema_of, worker_cache
 
 BUCKETS = 1 << 14
 #: First and last code points of scripts; fixed values of the Unicode standard.
@@ -46,10 +47,37 @@ RANGES = sorted((a, b, k) for k, name in enumerate(NAMES) for a, b in SCRIPTS[na
 STARTS, STOPS, WHICH = (np.array([r[k] for r in RANGES]) for k in range(3))
 #: ASCII bytes that are no letters end a word.
 BREAKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+#: First and last code points of scripts without spaces; each of their letters is a word. Fixed values of the Unicode standard.
+UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+class Letters(dict):
+    """Code point to itself (a letter or a mark of one), to a word of its own, or to a space; bounded."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        found = c if c.isalpha() or unicodedata.category(c)[0] == "M" else " "
+        if found != " " and any(a <= point <= b for a, b in UNSPACED):
+            found = f" {c} "
+        if len(self) > 50_000:
+            self.clear()
+        self[point] = found
+        return found
+
+
+LETTERS = Letters()
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(BREAKS).split()
+    """Lower-cased runs of letters, as UTF-8."""
+    if text.isascii():
+        return text.lower().encode().translate(BREAKS).split()
+    return text.lower().translate(LETTERS).encode("utf-8", "replace").split()
+
+
+def letters_of(words: list[bytes]) -> np.ndarray:
+    """The number of letters of each word."""
+    return np.fromiter((len(w) if w.isascii() else sum(map(str.isalpha, w.decode("utf-8", "replace"))) for w in words), float, len(words))
 
 
 def scripts_of(words: list[bytes]) -> np.ndarray:
@@ -81,8 +109,27 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.concatenate([of, of, np.arange(len(words))])
 
 
-#: Known words and their scores, by model, kept by a worker from task to task.
-_known: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+class Known:
+    """Words that a worker has scored: their rows in the tables of scores and letters; bounded by bytes."""
+
+    def __init__(self, languages: int):
+        self.languages, self.cache = languages, Cache()
+        self.reset()
+
+    def reset(self) -> None:
+        self.scores, self.letters = np.zeros((0, self.languages), np.float32), np.zeros(0)
+
+    def learn(self, words: set[bytes], model: LanguageModel) -> None:
+        rows = self.cache.held
+        new = list(words.difference(rows))
+        if not new:
+            return
+        if self.cache.make_room(len(new), sum(map(len, new)) + len(new) * (4 * self.languages + 8)):
+            self.reset()
+            new = list(words)
+        rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
+        self.scores = np.concatenate([self.scores, *(model.word_scores(new[at : at + 50_000]) for at in range(0, len(new), 50_000))])
+        self.letters = np.concatenate([self.letters, letters_of(new)])
 
 
 class LanguageModel:
@@ -190,22 +237,14 @@ def fit_languages(docs: DataFrame, usable: Column) -> LanguageModel:
     return LanguageModel(langs, table[:, :BUCKETS], table[:, BUCKETS:])
 
 
-def identify(texts: list[str], model: LanguageModel, cache: dict[bytes, int], scores: list[np.ndarray], penalty: float) -> tuple[list[np.ndarray], list[list[bytes]]]:
-    """The language number of every word of every text, and the words. cache, scores: known words and their rows."""
+def identify(texts: list[str], model: LanguageModel, known: Known, penalty: float) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    """The language number of every word of every text, and the words."""
     words = [words_of(t) for t in texts]
-    if len(cache) > 400_000:
-        cache.clear()
-        scores[:] = [np.zeros((0, len(model.langs)), np.float32)]
-    new = list(set(chain.from_iterable(words)).difference(cache))
-    if new:
-        for at in range(0, len(new), 50_000):
-            scores.append(model.word_scores(new[at : at + 50_000]))
-        cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
-        scores[:] = [np.concatenate(scores)]
+    known.learn(set(chain.from_iterable(words)), model)
     sizes = np.array([len(w) for w in words], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    index = np.fromiter(map(cache.__getitem__, chain.from_iterable(words[k] for k in order)), np.int64, int(sizes.sum()))
-    path = viterbi(index, sizes[order], scores[0], penalty)
+    index = np.fromiter(map(known.cache.held.__getitem__, chain.from_iterable(words[k] for k in order)), np.int64, int(sizes.sum()))
+    path = viterbi(index, sizes[order], known.scores, penalty)
     cut = np.split(path, np.cumsum(sizes[order])[:-1])
     out: list = [None] * len(texts)
     for k, p in zip(order, cut, strict=True):
@@ -217,7 +256,7 @@ def language_spans(text: str, model: LanguageModel, penalty: float = 12.0) -> li
     """(language, first word, end) of each run of words in one language."""
     if not text or not model.langs or not words_of(text):
         return []
-    path = identify([text], model, {}, [np.zeros((0, len(model.langs)), np.float32)], penalty)[0][0]
+    path = identify([text], model, Known(len(model.langs)), penalty)[0][0]
     edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     return [(model.langs[path[a]], a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -234,26 +273,23 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
         n_langs = len(model.langs)
-        if model.name not in _known:
-            _known.clear()
-            _known[model.name] = ({}, [np.zeros((0, n_langs), np.float32)])
-        cache, scores = _known[model.name]
+        known = worker_cache(f"languages-{model.name}", lambda: Known(n_langs))
 
         def label(texts: list[str]) -> list[tuple[str, float, float]]:
             if not n_langs:
                 return [("und", 0.0, 0.0)] * len(texts)
-            paths, words = identify(texts, model, cache, scores, penalty)
+            paths, words = identify(texts, model, known, penalty)
             found = []
             for text, path, own in zip(texts, paths, words, strict=True):
                 if not own or not any(map(str.isalpha, text)):
                     found.append(("und", 0.0, 0.0))
                     continue
-                sizes = np.fromiter(map(len, own), float, len(own))
-                letters = np.bincount(path, sizes, n_langs)
+                at = np.fromiter(map(known.cache.held.__getitem__, own), np.int64, len(own))
+                letters = np.bincount(path, known.letters[at], n_langs)
                 top, above = int(letters.argmax()), 0.0
                 if with_evidence:
-                    at = np.fromiter(map(cache.__getitem__, own), np.int64, len(own))
-                    above = float((scores[0][at, path] + np.log(BUCKETS) * (2 * sizes + 1) / 2).sum() / sizes.sum())
+                    sizes = np.fromiter(map(len, own), float, len(own))
+                    above = float((known.scores[at, path] + np.log(BUCKETS) * (2 * sizes + 1) / 2).sum() / sizes.sum())
                 found.append((model.langs[top], float(letters[top] / letters.sum()), above))
             return found
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_right
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, shared_table
+from .common import Cache, fewer_collections, shared_table, worker_cache
 
 #: Where this finds nothing, spaces and line breaks stand alone between other characters, and each ends a pre-token.
 RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 #: Parts made of these only are read alike by the tokenizer's and the rank file's patterns.
 PLAIN = re.compile(r"\n?[!-~\u00a1-\u024f]*\Z")
-CACHE_ENTRIES = 500_000
 
 
 class Encoder:
@@ -39,7 +37,7 @@ class Encoder:
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
         self.tokenizer = load_tokenizer(path)
         self.specials = special_strings(self.tokenizer)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache()
         self.ranks = None
         if ranks_path:
             import tiktoken
@@ -79,25 +77,19 @@ class Encoder:
         for parts in split:
             if parts:
                 new.update(parts[1:])
-        new.difference_update(self.cache)
-        learned = self.learn(list(new)) if new else {}
-        if len(self.cache) < CACHE_ENTRIES:
-            self.cache.update(learned)
-            get = self.cache.__getitem__
-        else:
-            get = ChainMap(self.cache, learned).__getitem__ if learned else self.cache.__getitem__
+        held = self.cache.held
+        every, new = new, new.difference(held)
+        if new and self.cache.make_room(len(new), 12 * sum(map(len, new)) // 3):
+            new = every
+        if new:
+            held.update(self.learn(list(new)))
+        get = held.__getitem__
         return [self.slow(text) if parts is None else self.slow(parts[0]) + b"".join(map(get, parts[1:])) if text else b"" for text, parts in zip(texts, split, strict=True)]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, ranks_path: str | None, pattern: str | None) -> Encoder:
     """One encoder a worker, kept from task to task."""
-    key = (path, ranks_path, pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    return worker_cache(f"packing {path} {ranks_path} {pattern}", lambda: Encoder(path, ranks_path, pattern))
 
 
 def load_tokenizer(path: str):

@@ -5,7 +5,7 @@ features. The model is fitted on a bounded sample of labelled rows (``sample``,
 every whole text.
 
 Null texts count as empty; an empty text has statistics of zero and gets a score like any other. A document labelled
-more than once counts as its highest label. Without labelled rows, or with one class only, the score is the share of
+more than once counts as its highest label, one with several texts teaches one of them. Without labelled rows, or with one class only, the score is the share of
 label 1 (0.5 without rows). Extra columns are ignored.
 """
 
@@ -23,16 +23,20 @@ from .common import fewer_collections, kept_columns, remainder, schema_of, utf8
 
 BUCKETS, RANK, STATS = 1 << 13, 6, 24
 MARKS = b"!$%&*#|.,;:?@/\\<>={}[]_"
-GROUP_BYTES = 4 << 20
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 
 
 class Buckets(dict):
-    """Word to hash bucket; bounded."""
+    """Word to hash bucket; of about ``BUCKET_BYTES`` at most."""
+
+    used = 0
 
     def __missing__(self, word: bytes) -> int:
         found = zlib.crc32(word) % BUCKETS
-        if len(self) > 150_000:
+        self.used += len(word) + 180
+        if self.used > BUCKET_BYTES:
             self.clear()
+            self.used = len(word) + 180
         self[word] = found
         return found
 
@@ -138,20 +142,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: int
     """Fit on at most ``sample`` labelled rows for which ``usable`` (a condition on doc_id) holds."""
     known = labels.filter(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", utf8().alias("raw")).join(F.broadcast(chosen), "doc_id").select("quality", "raw")
+    texts = docs.select("doc_id", utf8().alias("raw")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in batches:
             out = []
-            for quality, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+            for doc_id, quality, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 _, bucket, value, stats = features([raw], buckets)
-                out.append((quality, bucket.astype("<i4").tobytes(), value.astype("<f4").tobytes(), stats.astype("<f8").tobytes()))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["quality", "b", "v", "s"])
-
-    got = texts.select(F.col("quality").cast("int"), "raw").mapInArrow(run, "quality int, b binary, v binary, s binary").orderBy(F.xxhash64("b", "s")).collect()  # at most ``sample`` rows, or as many more as repeat a doc_id
+                out.append((doc_id, quality, bucket.astype("<i4").tobytes(), value.astype("<f4").tobytes(), stats.astype("<f8").tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "quality", "b", "v", "s"])
+
+    made = texts.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "raw").mapInArrow(run, "doc_id long, quality int, b binary, v binary, s binary")
+    # A doc_id that comes with several texts teaches one of them, so ``sample`` rows come to the driver at most.
+    got = sorted(r["row"] for r in made.groupBy("doc_id").agg(F.min(F.struct("b", "v", "s", "quality")).alias("row")).collect())
     rows = [(np.frombuffer(r["b"], "<i4").astype(np.int64), np.frombuffer(r["v"], "<f4").astype(float), np.frombuffer(r["s"], "<f8")) for r in got]
     return FactorMachine().fit(rows, np.array([r["quality"] for r in got], float))
 
