@@ -1,8 +1,9 @@
 """BPE encoding by a streaming transducer with bounded lookahead, and decoding by an incremental state machine.
 
 ``sufficient_lookahead`` derives from the merge list how many symbols after a token can still change it. ``WordStream``
-takes the symbols of a word one after the other and emits a token once that many symbols follow it (or the word ends),
-so its memory doesn't depend on the word's length. ``StreamDecoder`` turns ids into text piece by piece.
+takes the symbols of words window by window and emits a token once that many symbols follow it (or the word ends), so its
+memory doesn't depend on a word's length. ``StreamDecoder`` turns the ids of a text into text piece by piece. All words
+and all ids go through these two; a bounded cache keeps what the transducer gave for a word.
 
 Null texts count as empty and give no tokens. Texts of any length, ties and repeated rows need no special care. Extra
 columns are ignored. Empty input gives no rows.
@@ -14,7 +15,7 @@ import codecs
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,9 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections
+from .common import Cache, fewer_collections, worker_cache
 
-CACHE_ENTRIES = 300_000
 NEVER = 1 << 60
 #: Python counts these as white space, the word pattern does not.
 INFORMATION = "\x1c\x1d\x1e\x1f"
@@ -125,21 +125,29 @@ class Merges:
 
 
 class WordStream:
-    """Tokens of one word, fed by symbols; keeps at most twice the lookahead and some symbols."""
+    """The transducer of a word's symbols to tokens; keeps at most twice the lookahead and some symbols.
+
+    A token is emitted once it ends so far before the last symbol seen that no later one can change it.
+    """
 
     def __init__(self, merges: Merges, slack: int = 256):
         self.merges, self.room, self.held = merges, 2 * merges.lookahead + slack, []
 
+    def stable(self, tokens: list[int], seen: int) -> tuple[list[int], int]:
+        """The first of a window's tokens that are stable, and the symbols they have; seen: symbols of the window."""
+        last, end = seen - self.merges.lookahead, 0
+        for k, token in enumerate(tokens):
+            if end + self.merges.size[token] > last:
+                return tokens[:k], end
+            end += self.merges.size[token]
+        return tokens, end
+
     def feed(self, symbols: list[int]) -> Iterator[int]:
         for at in range(0, len(symbols), self.room):
             self.held += symbols[at : at + self.room]
             if len(self.held) > self.room:
-                stable, end = len(self.held) - self.merges.lookahead, 0
-                for token in self.merges.apply(self.held):
-                    if end + self.merges.size[token] > stable:
-                        break
-                    end += self.merges.size[token]
-                    yield token
+                tokens, end = self.stable(self.merges.apply(self.held), len(self.held))
+                yield from tokens
                 del self.held[:end]
 
     def finish(self) -> list[int]:
@@ -147,34 +155,58 @@ class WordStream:
         rest, self.held = self.merges.apply(self.held), []
         return rest
 
+    def many(self, words: list[list[int]]) -> list[list[int]]:
+        """Tokens of many words, each with a window of its own; a round merges the windows of all words together."""
+        out: list[list[int]] = [[] for _ in words]
+        held: list[list[int]] = [[] for _ in words]
+        read = [0] * len(words)
+        live = sorted(range(len(words)), key=lambda k: len(words[k]))
+        while live:
+            more = []
+            for at in range(0, len(live), 10_000):
+                part = live[at : at + 10_000]
+                windows = [held[k] + words[k][read[k] : read[k] + self.room] for k in part]
+                for k, window, tokens in zip(part, windows, self.merges.apply_all(windows), strict=True):
+                    read[k] += self.room
+                    if read[k] >= len(words[k]):
+                        out[k] += tokens
+                        continue
+                    tokens, end = self.stable(tokens, len(window))
+                    out[k] += tokens
+                    held[k] = window[end:]
+                    more.append(k)
+            live = more
+        return out
+
 
 class StreamDecoder:
-    """Ids to text. Without a decoder in the file, tokens are joined by spaces; else their bytes are put together.
+    """Ids to text. pieces: what each id adds; with a space before it, if the file has no decoder (byte_level is false).
 
     Bytes that aren't UTF-8 become U+FFFD; the bytes of an unfinished character are kept until the next id.
     """
 
-    def __init__(self, tokens: dict[int, str], byte_level: bool):
-        self.tokens, self.byte_level, self.started = tokens, byte_level, False
+    def __init__(self, pieces: dict[int, bytes], byte_level: bool):
+        self.pieces, self.byte_level, self.started = pieces, byte_level, False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        raw = bytearray()
-        for k in ids:
-            token = self.tokens.get(k)
-            if token is None:
-                continue
-            if self.byte_level and all(c in BYTE_OF for c in token):
-                raw += bytes(BYTE_OF[c] for c in token)
-            else:
-                raw += (b" " if self.started and not self.byte_level else b"") + token.encode()
+    def feed(self, ids: Iterable[int]) -> str:
+        raw = b"".join(map(self.pieces.__getitem__, ids))
+        if raw and not self.started:
             self.started = True
-        return self.state.decode(bytes(raw))
+            raw = raw if self.byte_level else raw[1:]
+        return self.state.decode(raw)
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
 
 
+def decoder_pieces(tokens: dict[int, str], byte_level: bool) -> dict[int, bytes]:
+    """What each id adds to a text."""
+    if byte_level:
+        return {k: bytes(BYTE_OF[c] for c in t) if all(c in BYTE_OF for c in t) else t.encode() for k, t in tokens.items()}
+    return {k: b" " + t.encode() for k, t in tokens.items()}
+
+
 class WordTokenizer:
     """The tokenizer file's normaliser, word pattern and merges, over whole texts, with a bounded cache of words."""
 
@@ -191,14 +223,12 @@ class WordTokenizer:
         self.word_at = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.tokens = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.special.items()}
         self.byte_level = bool(held["decoder"])
-        self.glue = b"" if self.byte_level else b" "
+        self.pieces = decoder_pieces(self.tokens, self.byte_level)
         letters = byte_symbols()
         self.symbols = [self.vocab.get(c) for c in letters]
         self.last = [self.vocab.get(c + self.merges.suffix) for c in letters]
         self.stream = WordStream(self.merges)
-        self.known: dict[str, tuple[bytes, bytes]] = {}  # of words
-        self.ids: dict = {}  # of runs without white space, and of special tokens
-        self.texts: dict = {}
+        self.known, self.ids = Cache(), Cache()  # of words; of runs without white space and special tokens
 
     def normal(self, text: str) -> str:
         """The file's steps; white space only ends words, so replacing it by spaces needs no work."""
@@ -213,34 +243,16 @@ class WordTokenizer:
         symbols = [self.symbols[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         return [k for k in symbols if k is not None]
 
-    def pair(self, tokens: list[int]) -> tuple[bytes, bytes]:
-        """Ids and decoded text of some tokens."""
-        if self.byte_level:
-            decoder = StreamDecoder(self.tokens, True)
-            text = decoder.feed(tokens) + decoder.finish()
-        else:
-            text = " ".join([self.tokens[k] for k in tokens])
-        return struct.pack(f"<{len(tokens)}I", *tokens), text.encode()
-
-    def learn(self, runs: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Encode runs of characters other than white space, by their words: long ones as a stream, short ones together."""
+    def learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs of characters other than white space, by their words, which all go through the transducer."""
         split = [[run] if run.isalpha() else self.word_at.findall(run) for run in runs]
-        known = {w: p for w in set(chain.from_iterable(split)) if (p := self.known.get(w)) is not None}
-        short = []
-        for w in set(chain.from_iterable(split)).difference(known):
-            if len(w) <= 40:
-                short.append(w)
-            else:
-                known[w] = self.pair([*self.stream.feed(self.symbols_of(w)), *self.stream.finish()])
-        short.sort(key=len)
-        for at in range(0, len(short), 10_000):
-            part = short[at : at + 10_000]
-            found = dict(zip(part, map(self.pair, self.merges.apply_all([self.symbols_of(w) for w in part])), strict=True))
-            known |= found
-            if len(self.known) < CACHE_ENTRIES:
-                self.known |= found
-        pairs = [[known[w] for w in words] for words in split]
-        return {r: b"".join([p[0] for p in ps]) for r, ps in zip(runs, pairs, strict=True)}, {r: self.glue.join([p[1] for p in ps if p[1]]) for r, ps in zip(runs, pairs, strict=True)}
+        words = set(chain.from_iterable(split))
+        known = self.known.held
+        new = list(words.difference(known))
+        if new and self.known.make_room(len(new), 5 * sum(map(len, new))):
+            new = list(words)
+        known.update(zip(new, (struct.pack(f"<{len(t)}I", *t) for t in self.stream.many([self.symbols_of(w) for w in new])), strict=True))
+        return {r: b"".join(map(known.__getitem__, ws)) for r, ws in zip(runs, split, strict=True)}
 
     def runs(self, text: str) -> list[str]:
         """Runs without white space of a text without special tokens."""
@@ -261,27 +273,26 @@ class WordTokenizer:
             else:
                 parts = self.runs(text)
             split.append(parts)
-        new = list(set(chain.from_iterable(split)).difference(self.ids))
-        if len(self.ids) + len(new) > CACHE_ENTRIES:
-            self.ids.clear()
-            self.texts.clear()
-            new = list(set(chain.from_iterable(split)))
+        every = set(chain.from_iterable(split))
+        ids = self.ids.held
+        new = every.difference(ids)
+        if new and self.ids.make_room(len(new), 5 * sum(map(len, new))):
+            new = every
         for special in [x for x in new if isinstance(x, tuple)]:
-            self.ids[special], self.texts[special] = self.pair(list(special))
-        ids, decoded = self.learn([x for x in new if isinstance(x, str)])
-        self.ids |= ids
-        self.texts |= decoded
-        return [(b"".join(map(self.ids.__getitem__, parts)), self.glue.join([t for t in map(self.texts.__getitem__, parts) if t])) for parts in split]
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
+            ids[special] = struct.pack("<I", *special)
+        ids.update(self.learn([x for x in new if isinstance(x, str)]))
+        out = []
+        for parts in split:
+            raw = b"".join(map(ids.__getitem__, parts))
+            machine = StreamDecoder(self.pieces, self.byte_level)
+            text = machine.feed(memoryview(raw).cast("I")) + machine.finish()
+            out.append((raw, text.encode()))
+        return out
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer a worker, kept from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return worker_cache(f"bpe {path}", lambda: WordTokenizer(path))
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
