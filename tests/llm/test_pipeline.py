@@ -49,12 +49,13 @@ def test_language_stage(spark, sf_dir):
 
     def plain(text):
         path = [lang for lang, a, b in languages.language_spans(text, model) for _ in range(a, b)]
-        words, letters, above = languages.words_of(text), Counter(), 0.0
+        words, letters, above, length = languages.words_of(text), Counter(), 0.0, 0
         for word, lang, row in zip(words, path, model.word_scores(words) if words else [], strict=True):
-            letters[lang] += len(word)
+            letters[lang] += sum(map(str.isalpha, word.decode()))
+            length += len(word)
             above += row[model.langs.index(lang)] + log(languages.BUCKETS) * (len(word) + 0.5)
         total = letters.total()
-        return any(map(str.isalpha, text)) and max(letters.values()) >= 0.6 * total and above >= 0.5 * total
+        return any(map(str.isalpha, text)) and max(letters.values()) >= 0.6 * total and above >= 0.5 * length
 
     assert kept == {r["doc_id"] for r in both.collect() if plain(r["text"] or "")}
 
