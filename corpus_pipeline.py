@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs; all but the last return the columns of documents.
+
+A null text counts as empty: it has a quality score like any other, is rejected as having no language, and so isn't
+packed. A null doc_id is a number of its own. Repeated rows are one document after the near-duplicate stage. An empty
+table stays empty. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import shared_table
-from quarry.llm.jaccard import link_classes
+from quarry.llm.jaccard import NO_ID, digest, link_classes
 from quarry.llm.languages import fit_languages, predict_languages
 from quarry.llm.packing import pack_pieces, token_pieces
 from quarry.llm.quality import fit_quality, score_quality
@@ -42,10 +46,19 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that near-duplicate links connect; of repeated rows, one."""
+    """One row of each group that near-duplicate links connect: the one with the smallest doc_id, then the least digest.
+
+    Copies are a group, repeated rows too. A text without words links with nothing and stays, once a doc_id.
+    """
     ship(spark)
-    kept = link_classes(docs).select(F.col("component_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    classes = shared_table(link_classes(docs, with_class=True), "classes")
+    first = classes.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("row.*")
+    kept = first.union(classes.filter("class_id IS NULL").select("doc_id", "digest")).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct()
+    named = docs.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(docs.columns)}).withColumn("text", F.col(f"_{docs.columns.index('text')}"))
+    rows = named.withColumns({"_doc": F.col(f"_{docs.columns.index('doc_id')}").cast("long"), "_digest": digest()}).drop("text")
+    same = (F.coalesce(rows["_doc"], F.lit(NO_ID)) == F.coalesce(kept["_doc"], F.lit(NO_ID))) & (rows["_digest"] == kept["_digest"])
+    out = rows.join(kept, same, "left_semi").dropDuplicates(["_doc", "_digest"])
+    return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +72,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("language", keep_language), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
-#: Classifiers and packing can't be expressed in SQL; tests hold the pipeline against plain versions.
+#: Classifiers and packing can't be expressed in SQL; tests hold each stage against a plain version of its decision.
 ORACLE_SQL = None
 
 
