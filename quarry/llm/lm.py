@@ -1,15 +1,15 @@
 """Scoring texts with a log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Words fall into classes: the most frequent words have classes of their own, the others share classes by their endings;
-both kinds grow in number with the vocabulary.
-The model predicts the class of a token from the classes before it: context vectors, each scaled for its distance, add up
-to a prediction whose products with the class vectors, normalised over all classes by one matrix product a batch, are
-log-probabilities. Within its class a word has its add-one relative frequency. Both factors are normalised, and so is
-their product over known words and one unknown word a class.
+The model predicts a word from the words before it: their vectors, each scaled for its distance, add up to a prediction,
+whose products with the vectors of what may follow, normalised by batched matrix products, are log-probabilities. The
+output has two levels: classes, then the words of a class. The most frequent words are classes of their own, the next
+ones (their number grows with the vocabulary) share classes of about equal cost, in which their own vectors decide; the
+rare rest is in classes by endings, in which a word has its add-one relative frequency. All factors are normalised, and
+so is their product over known words and one unknown word a rest class.
 
 Word counts, class sizes and training cover all training rows; each task trains on its rows from common parameters and
-Spark averages what the tasks found. The most frequent words (``HEAD``, of at most ``HEAD_BYTES`` bytes) are broadcast;
-all others meet their counts in a join.
+Spark averages what the tasks found, a word's vectors over the tasks that saw it. The most frequent words (``HEAD``, of at
+most ``HEAD_BYTES`` bytes) are broadcast; all others meet their counts in a join.
 
 Null texts count as empty: one end token. Repeated rows count and are scored as often as they come. Without training
 rows all counts are zero and classes are equally likely. Extra columns are ignored.
@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, remainder, shared_table, utf8
+from .common import fewer_collections, hot_join, remainder, shared_table, utf8
 
 END = b"\n"  # no word holds it
 HEAD, HEAD_BYTES = 200_000, 48
-SINGLE, SHARED = 96, 64
-CLASSES = SINGLE + SHARED  # at least; see classes_for
+#: Words that are classes, and classes of the rare rest; words with vectors: at least and at most.
+SINGLE, REST, LEAST_WORDS, MOST_WORDS = 64, 64, 1024, 65_000
 WIDTH, CONTEXT = 24, 4
-BATCH, NOISE, RATIO, RATE = 1024, 64, 20.0, 0.12
+BATCH, NOISE, RATIO, RATE = 2048, 64, 20.0, 0.12
+#: Words of which a task sends the vectors together.
+BLOCK = 256
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -43,14 +46,9 @@ def tokens(raw: bytes) -> list[bytes]:
     return [*raw.lower().split(), END]
 
 
-def classes_for(distinct: int) -> tuple[int, int, int]:
-    """Classes of one word, shared classes, and the bytes of an ending, for a vocabulary of ``distinct`` words.
-
-    Four times the cube root of it, two fifths of them shared, and ``SINGLE`` and ``SHARED`` at least.
-    """
-    every = max(CLASSES, int(4 * np.cbrt(distinct)))
-    shared = every * SHARED // CLASSES
-    return every - shared, shared, 2 if shared <= SHARED else 3
+def words_for(distinct: int) -> int:
+    """Words with vectors of their own, for a vocabulary of ``distinct`` words: 16 times its root, within bounds."""
+    return int(min(MOST_WORDS, max(LEAST_WORDS, 16 * np.sqrt(distinct))))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -72,33 +70,42 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What tasks need of the counts: the head's words with class and log10(count + 1), and the classes' sizes."""
+    """What tasks need of the counts. The first ``words`` of the head have vectors; ``of_word`` has their classes."""
 
     head: dict[bytes, int]
-    classes: np.ndarray
-    logs: np.ndarray
-    inner: np.ndarray  # log10 of the denominator within each class
+    counts: np.ndarray  # of the head's words
+    words: int
+    of_word: np.ndarray
+    edges: np.ndarray  # first word of each class of several words, and the end
     weight: np.ndarray  # tokens of each class
+    inner: np.ndarray  # log10 of the denominator within each class of the rest
     total: int
     distinct: int
-    single: int
-    shared: int
-    ending: int
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self.head.get(w, -1) for w in words), np.int64, len(words))
+    @property
+    def rest(self) -> int:
+        """The first class of the rest."""
+        return len(self.weight) - REST
 
-    def class_of(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-        found = self.classes[ids]
-        for k in np.flatnonzero(ids < 0).tolist():
-            found[k] = self.single + zlib.crc32(words[k][-self.ending :]) % self.shared
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Places in the head, -1 for other words."""
+        return np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
+
+    def units(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """A number for each word's vector: its place, if it has one, or that of its class of the rest behind them."""
+        found = np.where(ids < self.words, ids, -1)
+        for k in np.flatnonzero(found < 0).tolist():
+            found[k] = self.words + zlib.crc32(words[k][-2:]) % REST
         return found
 
+    def classes(self, units: np.ndarray) -> np.ndarray:
+        return np.where(units < self.words, self.of_word[np.minimum(units, self.words - 1)], units - self.words + self.rest)
+
 
 def vocabulary(words: DataFrame) -> Vocabulary:
     """The vocabulary of a table of counts (word, n)."""
-    single, shared, ending = classes_for(words.count())
-    grouped = words.groupBy((F.crc32(F.expr(f"substring(word, -{ending}, {ending})")) % F.lit(shared)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a shared class
+    ending = (F.crc32(F.expr("substring(word, -2, 2)")) % F.lit(REST)).cast("int")
+    grouped = words.groupBy(ending.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a class
     short = words.filter(F.length("word") <= HEAD_BYTES)
     size = {r["k"]: r["v"] for r in short.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("v")).collect()}  # eight rows a power of two
     least, held = max(size, default=0) + 1, 0
@@ -109,113 +116,167 @@ def vocabulary(words: DataFrame) -> Vocabulary:
         least = k
     top = sorted(short.filter(F.floor(F.log2("n") * 8) >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # HEAD rows at most
     own = [(END, next((r["n"] for r in top if bytes(r["word"]) == END), 0)), *((bytes(r["word"]), r["n"]) for r in top if bytes(r["word"]) != END)]
-    n, v = np.zeros(single + shared), np.zeros(single + shared)
+    counts = np.array([c for _, c in own], np.int64)
+    n, v = np.zeros(REST), np.zeros(REST)
     for r in grouped:
-        n[single + r["k"]], v[single + r["k"]] = r["n"], r["v"]
+        n[r["k"]], v[r["k"]] = r["n"], r["v"]
     total, distinct = int(n.sum()), int(v.sum())
-    classes = np.array([k if k < single else single + zlib.crc32(w[-ending:]) % shared for k, (w, _) in enumerate(own)] + [0], np.int32)
-    logs = np.array([np.log10(c + 1) for _, c in own] + [0.0])
-    for k, (w, c) in enumerate(own[:single]):  # what has a class of its own isn't in the shared one
-        other = single + zlib.crc32(w[-ending:]) % shared
+    having = min(len(own), words_for(distinct))
+    for w, c in own[:having]:  # what has a vector isn't in the rest
         if c:
-            n[other], v[other] = n[other] - c, v[other] - 1
-        n[k] = c
-    inner = np.log10(n + v + 1)
-    inner[: len(own[:single])] = [np.log10(c + 1) for _, c in own[:single]]  # certain within its class
-    return Vocabulary({w: k for k, (w, _) in enumerate(own)}, classes, logs, inner, n, total, distinct, single, shared, ending)
+            k = zlib.crc32(w[-2:]) % REST
+            n[k], v[k] = n[k] - c, v[k] - 1
+    several = np.sqrt(counts[SINGLE:having].astype(float))
+    groups = max(1, int(np.sqrt(len(several))))
+    cut = np.searchsorted(np.cumsum(several), several.sum() * np.arange(1, groups) / groups) if len(several) else []
+    edges = np.unique(np.concatenate([[0], cut, [len(several)]])).astype(np.int64) + min(SINGLE, having)
+    of_word = np.concatenate([np.arange(min(SINGLE, having)), np.repeat(np.arange(len(edges) - 1), np.diff(edges)) + min(SINGLE, having)]).astype(np.int64)
+    weight = np.concatenate([np.bincount(of_word, counts[:having], min(SINGLE, having) + len(edges) - 1), n])
+    return Vocabulary({w: k for k, (w, _) in enumerate(own)}, counts, having, of_word, edges, weight, np.log10(n + v + 1), total, distinct)
 
 
 class LogBilinear:
-    """Class vectors R, context vectors Q, a scale for each distance and biases."""
-
-    def __init__(self, weight: np.ndarray, seed: int = 5):
-        rng, n = np.random.default_rng(seed), len(weight)
-        self.shapes = (("R", (n, WIDTH)), ("Q", (n, WIDTH)), ("scale", (CONTEXT, WIDTH)), ("bias", (n,)))
-        self.noise = (weight + 1) / (weight + 1).sum()
-        self.R, self.Q = (rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32) for _ in range(2))
+    """Vectors Q of what comes before, with a scale for each distance; vectors and biases C, c of classes, W, w of words."""
+
+    def __init__(self, vocab: Vocabulary, seed: int = 5):
+        rng, n, m = np.random.default_rng(seed), len(vocab.weight), vocab.words
+        self.edges, self.single, self.of_word = vocab.edges, int(vocab.edges[0]), vocab.of_word
+        self.class_noise = (vocab.weight + 1) / (vocab.weight + 1).sum()
+        several = vocab.counts[:m] + 1.0
+        several[: self.single] = 0
+        self.word_noise = several / max(several.sum(), 1)
+        normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.Q, self.C, self.W = normal(m + REST, WIDTH), normal(n, WIDTH), normal(m, WIDTH)
         self.scale = np.ones((CONTEXT, WIDTH), np.float32) / CONTEXT
-        self.bias = np.log(self.noise).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k, _ in self.shapes])
-
-    def load(self, values: np.ndarray) -> LogBilinear:
-        at = 0
-        for k, shape in self.shapes:
-            size = int(np.prod(shape))
-            setattr(self, k, values[at : at + size].reshape(shape).astype(np.float32))
-            at += size
-        return self
-
-    def scaled(self) -> np.ndarray:
-        """Context vectors of every class at every distance."""
-        return self.Q[None] * self.scale[:, None]
-
-    def predict(self, before: np.ndarray, scaled: np.ndarray) -> np.ndarray:
-        """Predicted class vectors; before: for each distance the classes of all rows."""
-        out = scaled[0][before[0]]
+        self.c = np.log(self.class_noise).astype(np.float32)
+        self.w = np.log(np.maximum(self.word_noise, 1e-12)).astype(np.float32)
+
+    def start_training(self) -> None:
+        self.grown = {k: np.ones_like(getattr(self, k)) for k in ("Q", "C", "W", "c", "w", "scale")}
+        self.met = np.zeros(len(self.Q), np.int64)
+
+    def predict(self, before: np.ndarray) -> np.ndarray:
+        """Predicted vectors; before: for each distance the units of all rows."""
+        out = self.Q[before[0]] * self.scale[0]
         for i in range(1, CONTEXT):
-            out += scaled[i][before[i]]
+            out += self.Q[before[i]] * self.scale[i]
         return out
 
-    def log10_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each target class."""
-        out, scaled, products = np.empty(len(target)), self.scaled(), np.ascontiguousarray(self.R.T)
-        for at in range(0, len(target), 1024):
-            t = target[at : at + 1024]
-            scores = self.predict(before[:, at : at + 1024], scaled) @ products
-            scores += self.bias
-            own = scores[np.arange(len(t)), t]
-            top = scores.max()
-            if top > 60:
-                top = scores.max(1)
-                scores -= top[:, None]
-            else:
-                top = 0
-            np.exp(scores, out=scores)
-            out[at : at + 1024] = (own - top) - np.log(scores.sum(1))
+    def log10_probabilities(self, before: np.ndarray, classes: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each class, times that of the word in a class of several words with vectors."""
+        out, products = np.empty(len(classes)), np.ascontiguousarray(self.C.T)
+        guess = np.empty((len(classes), WIDTH), np.float32)
+        for at in range(0, len(classes), 4096):
+            part = slice(at, at + 4096)
+            guess[part] = self.predict(before[:, part])
+            out[part] = log_softmax(guess[part] @ products + self.c, classes[part])
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
+        last = self.single + len(self.edges) - 1
+        cuts = np.searchsorted(classes[order], np.arange(self.single, last + 1))
+        for g, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            a, b = int(self.edges[g]), int(self.edges[g + 1])
+            step = max(64, (1 << 20) // (b - a))
+            for at in range(lo, hi, step):
+                rows = order[at : min(hi, at + step)]
+                out[rows] += log_softmax(guess[rows] @ self.W[a:b].T + self.w[a:b], units[rows] - a)
         return out / np.log(10)
 
-    def train(self, before: np.ndarray, target: np.ndarray, grown: dict[str, np.ndarray], rng: np.random.Generator) -> None:
-        """One pass of AdaGrad over NCE batches; the noise of a batch is shared by its tokens."""
-        cut, every = np.cumsum(self.noise), len(self.noise)
-        lift = np.log(RATIO * self.noise).astype(np.float32)
-        for at in range(0, len(target), BATCH):
-            b, t = before[:, at : at + BATCH], target[at : at + BATCH]
-            n = len(t)
-            noise = np.minimum(np.searchsorted(cut, rng.random(NOISE)), every - 1)
-            p, own, other = self.predict(b, self.scaled()), self.R[t], self.R[noise]
-            good = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", p, own) + self.bias[t] - lift[t]))) - 1  # gradient of the true class
-            bad = 1 / (1 + np.exp(-(p @ other.T + (self.bias[noise] - lift[noise])))) * np.float32(RATIO / NOISE)
-            good, bad = (good / n).astype(np.float32), (bad / n).astype(np.float32)
-            dp = good[:, None] * own
-            dp += bad @ other
-            d = {"R": summed(t, p * good[:, None], every), "bias": np.bincount(t, good, every) + np.bincount(noise, bad.sum(0), every)}
-            np.add.at(d["R"], noise, bad.T @ p)
-            by_class = np.stack([summed(b[i], dp, every) for i in range(CONTEXT)])
-            d["Q"] = (by_class * self.scale[:, None]).sum(0)
-            d["scale"] = (by_class * self.Q[None]).sum(1)
-            for k, g in d.items():
-                grown[k] += g**2
-                setattr(self, k, (getattr(self, k) - RATE * g / np.sqrt(grown[k])).astype(np.float32))
-
-
-def summed(classes: np.ndarray, rows: np.ndarray, every: int) -> np.ndarray:
-    """Sums of the rows of each of ``every`` classes."""
-    order = np.argsort(classes, kind="stable")
-    ordered = classes[order]
-    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.zeros((every, rows.shape[1]), np.float32)
-    out[ordered[start]] = np.add.reduceat(rows[order], start, axis=0)
-    return out
-
+    def push(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        """One AdaGrad step on the rows of a parameter; the gradients of a repeated row add up."""
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix; there are fewer units than that
+        rows = rows[order]
+        start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g, used, grown = np.add.reduceat(grads[order], start, axis=0), rows[start], self.grown[name]
+        squares = grown[used] + g * g
+        grown[used] = squares
+        getattr(self, name)[used] -= RATE * g / np.sqrt(squares)
+
+    def contrast(self, p: np.ndarray, target: np.ndarray, vectors: str, biases: str, noise: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """One step of noise-contrastive estimation on the outputs; returns the gradient of the predictions ``p``."""
+        V, v = getattr(self, vectors), getattr(self, biases)
+        lift = np.log(RATIO * share).astype(np.float32)
+        own, other = V[target], V[noise]
+        good = -1 / (1 + np.exp(np.einsum("nd,nd->n", p, own) + v[target] - lift[target]))
+        bad = p @ -other.T
+        bad += lift[noise] - v[noise]
+        np.exp(bad, out=bad)
+        bad += 1
+        np.divide(np.float32(RATIO / NOISE), bad, out=bad)
+        dp = good[:, None] * own
+        dp += bad @ other
+        rows = np.concatenate([target, noise])
+        self.push(vectors, rows, np.concatenate([p * good[:, None], bad.T @ p]))
+        self.push(biases, rows, np.concatenate([good, bad.sum(0)]))
+        return dp
+
+    def train(self, before: np.ndarray, classes: np.ndarray, units: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over the tokens in batches; the noise of a batch is shared by its tokens."""
+        cuts = np.cumsum(self.class_noise), np.cumsum(self.word_noise)
+        draw = lambda k, n: np.minimum(np.searchsorted(cuts[k], rng.random(NOISE) * cuts[k][-1], "right"), n - 1)
+        np.add.at(self.met, units, 1)
+        for at in range(0, len(classes), BATCH):
+            b, t, u = before[:, at : at + BATCH], classes[at : at + BATCH], units[at : at + BATCH]
+            p = self.predict(b)
+            dp = self.contrast(p, t, "C", "c", draw(0, len(self.c)), self.class_noise)
+            several = np.flatnonzero((t >= self.single) & (t < self.single + len(self.edges) - 1))
+            if len(several):
+                dp[several] += self.contrast(p[several], u[several], "W", "w", draw(1, len(self.w)), np.maximum(self.word_noise, 1e-12))
+            scale = np.stack([(dp * self.Q[b[i]]).sum(0) for i in range(CONTEXT)])
+            self.push("Q", b.ravel(), np.concatenate([dp * self.scale[i] for i in range(CONTEXT)]))
+            self.grown["scale"] += scale**2
+            self.scale -= RATE * scale / np.sqrt(self.grown["scale"])
+
+    def parts(self, seen: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(block, values, weights) of what training changed: the small parameters, and blocks of words that were met."""
+        small = np.concatenate([x.ravel() for x in (self.C, self.c, self.scale)])
+        yield -1, small.tobytes(), np.full(1, seen, float).tobytes()
+        for k in range(0, len(self.Q), BLOCK):
+            weight = self.met[k : k + BLOCK].astype(float)
+            if weight.any():
+                yield k // BLOCK, self.rows(k).tobytes(), weight.tobytes()
+
+    def rows(self, k: int) -> np.ndarray:
+        """Q, W and w of a block of words; what lies in the rest has no W."""
+        q = self.Q[k : k + BLOCK]
+        out = np.zeros((len(q), 2 * WIDTH + 1), np.float32)
+        out[:, :WIDTH] = q
+        w = self.W[k : k + BLOCK]
+        out[: len(w), WIDTH : 2 * WIDTH], out[: len(w), -1] = w, self.w[k : k + BLOCK]
+        return out
 
-def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each distance the classes before all tokens of texts laid end to end; before a text's start, the end token."""
-    out = np.zeros((CONTEXT, len(classes)), np.int32)
+    def load(self, block: int, values: np.ndarray, weights: np.ndarray) -> None:
+        """Take the mean that tasks found."""
+        if block < 0:
+            for x, part in zip((self.C, self.c, self.scale), np.split(values, np.cumsum([self.C.size, self.c.size])), strict=True):
+                x[:] = part.reshape(x.shape)
+            return
+        k, met = block * BLOCK, weights > 0
+        rows = values.reshape(-1, 2 * WIDTH + 1)
+        self.Q[k : k + BLOCK][met] = rows[met, :WIDTH]
+        n = len(self.W[k : k + BLOCK])
+        self.W[k : k + BLOCK][met[:n]] = rows[:n][met[:n], WIDTH : 2 * WIDTH]
+        self.w[k : k + BLOCK][met[:n]] = rows[:n][met[:n], -1]
+
+
+def log_softmax(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the normalised probability of each row's target; overwrites the scores."""
+    own = scores[np.arange(len(target)), target].astype(float)
+    top = scores.max(initial=0)
+    if top > 60:
+        top = scores.max(1)
+        scores -= top[:, None]
+    else:
+        top = 0
+    np.exp(scores, out=scores)
+    return own - top - np.log(scores.sum(1))
+
+
+def contexts(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each distance the units before all tokens of texts laid end to end; before a text's start, the end token."""
+    out = np.zeros((CONTEXT, len(units)), np.int32)
     starts = np.cumsum(sizes) - sizes
     for i in range(CONTEXT):
-        out[i, i + 1 :] = classes[: max(0, len(classes) - i - 1)]
+        out[i, i + 1 :] = units[: max(0, len(units) - i - 1)]
         for k in range(i + 1):  # every text has an end token; shorter ones than the distance are covered by their followers
             first = starts[sizes > k] + k
             out[i, first] = 0
@@ -238,30 +299,40 @@ def groups(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
 
 
 def average_pass(texts: DataFrame, words, model: LogBilinear) -> LogBilinear:
-    """Every task trains on its texts from ``model``; the result is the mean, weighted by tokens."""
+    """Every task trains on its texts from ``model``; the result is the mean, weighted by tokens, or by a word's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
-        vocab, own = words.value, LogBilinear(model.noise).load(model.flat())
-        own.noise = model.noise
-        grown = {k: np.full(shape, 1e-6, np.float32) for k, shape in own.shapes}
-        rng, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
+        vocab, own, seen = words.value, model, 0
+        own.start_training()
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for _, raws in groups(batches):
             split = [tokens(r) for r in raws]
             flat = [w for ws in split for w in ws]
-            classes = vocab.class_of(flat, vocab.ids(flat))
-            own.train(contexts(classes, np.fromiter(map(len, split), np.int64, len(split))), classes, grown, rng)
+            units = vocab.units(flat, vocab.ids(flat))
+            own.train(contexts(units, np.fromiter(map(len, split), np.int64, len(split))), vocab.classes(units), units, rng)
             seen += len(flat)
         if seen:
-            values = own.flat().astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], ["k", "v", "w"])
-
-    got = texts.mapInArrow(run, "k int, v double, w double").groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()  # one row a parameter
-    if not len(got):
-        return model
-    out = LogBilinear(model.noise).load(got.sort_values("k")["v"].to_numpy())
-    out.noise = model.noise
-    return out
+            for row in own.parts(seen):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, values, weights in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                w = np.frombuffer(weights)
+                v = np.frombuffer(values, np.float32).reshape(len(w), -1) * w[:, None]
+                old = sums.get(block, (0.0, 0.0))
+                sums[block] = (old[0] + v, old[1] + w)
+        for block, (v, w) in sums.items():
+            row = (block, (v / np.maximum(w, 1e-9)[:, None]).astype(np.float32).tobytes(), w.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+    names, schema = ["block", "v", "w"], "block int, v binary, w binary"
+    got = texts.mapInArrow(run, schema).repartition("block").mapInArrow(mean, schema).collect()  # the parameters once
+    for r in got:
+        model.load(r["block"], np.frombuffer(r["v"], np.float32), np.frombuffer(r["w"]))
+    return model
 
 
 def score_texts(docs: DataFrame, training: Column, passes: tuple[Column, ...] | None = None) -> DataFrame:
@@ -275,7 +346,7 @@ def score_texts(docs: DataFrame, training: Column, passes: tuple[Column, ...] |
     counts = shared_table(count_words(known), "words")
     vocab = vocabulary(counts)
     words = spark.sparkContext.broadcast(vocab)
-    model = LogBilinear(vocab.weight)
+    model = LogBilinear(vocab)
     for chosen in passes or (F.lit(True),):
         model = average_pass(known.filter(chosen), words, model)
     total, whole = vocab.total, float(np.log10(vocab.total + vocab.distinct + 1))
@@ -288,30 +359,36 @@ def score_texts(docs: DataFrame, training: Column, passes: tuple[Column, ...] |
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             flat = [w for ws in split for w in ws]
             ids = vocab.ids(flat)
-            classes = vocab.class_of(flat, ids)
-            logs = model.log10_probabilities(contexts(classes, sizes), classes) - vocab.inner[classes]
+            units = vocab.units(flat, ids)
+            classes = vocab.classes(units)
+            logs = model.log10_probabilities(contexts(units, sizes), classes, units)
+            counts = np.where(ids < 0, 0, vocab.counts[ids])
+            one = np.log10(counts + 1)
+            outer = units >= vocab.words  # of the rest: the relative frequency in the class
+            logs += np.where(outer, one - vocab.inner[np.where(outer, units - vocab.words, 0)], 0)
             start = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, start) for x in (np.where(ids < 0, 0, vocab.logs[ids]), logs, (ids >= 0).astype(np.int64))]
+            sums = [np.add.reduceat(x, start) for x in (one, logs, (counts > 0).astype(np.int64))]
             row = at + np.arange(len(keys))
             at += len(keys)
             tail = np.flatnonzero(ids < 0)
-            where = np.repeat(row, sizes)[tail]
-            none = [None] * len(tail)
+            often = Counter(zip(np.repeat(row, sizes)[tail].tolist(), map(flat.__getitem__, tail.tolist()), strict=True))
+            where, word = zip(*often, strict=True) if often else ((), ())
+            none, n = [None] * len(keys), len(often)
             columns = [
-                pa.array(np.concatenate([row, where])), pa.array([*keys, *none], pa.int64()), pa.array([None] * len(keys) + [flat[k] for k in tail.tolist()], pa.binary()),
-                *(pa.concat_arrays([pa.array(x, t), pa.nulls(len(tail), t)]) for x, t in ((sizes, pa.int64()), (sums[0], pa.float64()), (sums[1], pa.float64()), (sums[2], pa.int64()))),
+                pa.array([*row.tolist(), *where], pa.int64()), pa.array([*keys, *[None] * n], pa.int64()), pa.array([*none, *word], pa.binary()), pa.array([*none, *often.values()], pa.int64()),
+                *(pa.concat_arrays([pa.array(x, t), pa.nulls(n, t)]) for x, t in ((sizes, pa.int64()), (sums[0], pa.float64()), (sums[1], pa.float64()), (sums[2], pa.int64()))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "word", "n_tokens", "log_counts", "log_rest", "known"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "word", "k", "n_tokens", "log_counts", "log_rest", "known"])
 
-    schema = "row long, doc_id long, word binary, n_tokens long, log_counts double, log_rest double, known long"
+    schema = "row long, doc_id long, word binary, k long, n_tokens long, log_counts double, log_rest double, known long"
     made = shared_table(rows.mapInArrow(run, schema), "scores")
-    rare = made.filter(F.col("word").isNotNull()).select("row", "word").join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.count("*").alias("more_known"))
-    out = made.filter(F.col("n_tokens").isNotNull()).drop("word").join(rare, "row", "left")
+    rare = hot_join(made.filter(F.col("word").isNotNull()).select("row", "word", "k"), counts, "word", "row")
+    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("k")).alias("more_logs"), F.sum("k").alias("more_known"))
+    out = made.filter(F.col("n_tokens").isNotNull()).drop("word", "k").join(rare, "row", "left")
     logs = F.col("log_counts") + F.coalesce("more_logs", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * whole).alias("base_score"), (logs + F.col("log_rest")).alias("score"),
+        (logs - F.col("n_tokens") * whole).alias("base_score"), (F.coalesce("more_logs", F.lit(0.0)) + F.col("log_rest")).alias("score"),
     )
 
 

@@ -355,31 +355,54 @@ def test_language_model(spark, awkward, nothing, sf_dir):
         assert r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in words))
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    model = lm.LogBilinear(np.arange(lm.CLASSES))
-    every = model.log10_probabilities(np.zeros((lm.CONTEXT, lm.CLASSES), int), np.arange(lm.CLASSES))
-    assert (10**every).sum() == pytest.approx(1, abs=1e-4)
     rows = lm.score_texts(awkward, part != 2).collect()
     assert len(rows) == 13
     assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (0, 1, 2))
     assert lm.score_texts(nothing, part != 2).count() == 0
-    assert {r["train_tokens"] for r in lm.score_texts(awkward, F.lit(False)).collect()} == {0}
+    assert {(r["train_tokens"], r["n_known"]) for r in lm.score_texts(awkward, F.lit(False)).collect()} == {(0, 0)}
 
 
 def test_language_model_grows(spark):
-    """Classes grow with the vocabulary, stay normalised, and the fourth token before counts."""
+    """Words with vectors grow with the vocabulary; probabilities are those of a plain softmax and add up to one."""
     words = spark.range(300_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).cast("binary").alias("word"), (F.col("id") % 7 + 1).alias("n"))
     vocab = lm.vocabulary(words)
-    every = len(vocab.weight)
-    assert every == sum(lm.classes_for(300_000)[:2]) > len(lm.vocabulary(words.limit(1000)).weight) == lm.CLASSES
+    assert vocab.words == lm.words_for(300_000) > lm.vocabulary(words.limit(1000)).words
     assert vocab.weight.sum() == vocab.total
-    found = vocab.class_of([b"w299999", b"unseen"], vocab.ids([b"w299999", b"unseen"]))
-    assert all(vocab.single <= c < every for c in found) or found[0] < vocab.single
-    model = lm.LogBilinear(vocab.weight)
-    before = np.zeros((4, every), int)
-    logs = model.log10_probabilities(before, np.arange(every))
-    assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
-    before[3] = 1
-    assert not np.allclose(logs, model.log10_probabilities(before, np.arange(every)))
+    model = lm.LogBilinear(vocab)
+    model.W += np.random.default_rng(1).normal(size=model.W.shape).astype(np.float32)
+    before = np.array([[3], [70], [vocab.words + 5], [0]])
+    guess = sum(model.Q[before[i, 0]] * model.scale[i] for i in range(lm.CONTEXT))
+    exps = lambda x: np.exp(x) / np.exp(x).sum()
+    outer = exps(model.C @ guess + model.c)
+    want = np.zeros(vocab.words + lm.REST)
+    want[: model.single], want[vocab.words :] = outer[: model.single], outer[vocab.rest :]
+    for g, (a, b) in enumerate(zip(model.edges, model.edges[1:], strict=False)):
+        want[a:b] = outer[model.single + g] * exps(model.W[a:b] @ guess + model.w[a:b])
+    units = np.arange(len(want))
+    found = 10 ** model.log10_probabilities(np.repeat(before, len(units), axis=1), vocab.classes(units), units)
+    assert np.allclose(found, want, atol=1e-6)
+    assert found.sum() == pytest.approx(1, abs=1e-4)
+    inside = 10.0 ** (np.log10(2) - vocab.inner)  # an unknown word's and a once seen word's share of a rest class
+    assert (inside < 1).all()
+
+
+def test_language_model_learns():
+    """Training makes the word that follows likelier than its frequency says."""
+    counts = np.array([100, *[50] * 199], np.int64)
+    edges = np.array([lm.SINGLE, 120, 200])
+    of_word = np.concatenate([np.arange(lm.SINGLE), np.repeat([lm.SINGLE, lm.SINGLE + 1], [120 - lm.SINGLE, 80])])
+    weight = np.concatenate([np.bincount(of_word, counts), np.zeros(lm.REST)])
+    vocab = lm.Vocabulary({}, counts, 200, of_word, edges, weight, np.zeros(lm.REST), int(counts.sum()), 200)
+    model, rng = lm.LogBilinear(vocab), np.random.default_rng(0)
+    model.start_training()
+    units = np.empty(40_000, np.int64)
+    units[::2] = rng.integers(1, 100, 20_000)
+    units[1::2] = units[::2] + 100
+    before = lm.contexts(units, np.array([len(units)]))
+    for _ in range(3):
+        model.train(before, vocab.classes(units), units, rng)
+    logs = model.log10_probabilities(before[:, 1:2001:2], vocab.classes(units[1:2001:2]), units[1:2001:2])
+    assert logs.mean() > np.log10(1 / 200) + 0.6
 
 
 def test_neighbours(spark, nothing):
