@@ -157,7 +157,14 @@ def data_uri(name: Column, content: Column) -> Column:
 
 
 def safe_int(c: Column, default: int) -> Column:
-    return F.coalesce(c.try_cast("int"), F.lit(default))
+    """The whole number that a text holds, single underscores between digits allowed; else the default."""
+    bare = strip(c)
+    return F.coalesce(F.when(bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(bare, F.lit("_"), F.lit("")).try_cast("int")), F.lit(default))
+
+
+def or_clear(c: Column) -> Column:
+    """The word ``clear`` if a text is just that, whatever its case; else null."""
+    return F.when(F.lower(strip(c)) == "clear", "clear")
 
 
 def listing_line(name: Column, size: Column, modified: Column, sha: Column) -> Column:

@@ -51,23 +51,30 @@ def approx_chunk_count(content: Column, size: int = 2000) -> Column:
 
 def token_counts(chunked: DataFrame) -> DataFrame:
     """doc_id, chunk_ix, term, n, size (tokens of the chunk)."""
-    listed = chunked.select("doc_id", "chunk_ix", T.tokens(F.col("text")).alias("tokens"))
-    each = listed.select("doc_id", "chunk_ix", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    return each.groupBy("doc_id", "chunk_ix", "term", "size").agg(F.count("*").alias("n"))
+    return counted(chunked.select("doc_id", "chunk_ix", "text"), [])
+
+
+def counted(chunked: DataFrame, also: list[str]) -> DataFrame:
+    listed = chunked.withColumn("tokens", T.tokens(F.col("text"))).select("doc_id", "chunk_ix", "tokens", *also)
+    each = listed.select("doc_id", "chunk_ix", F.size("tokens").alias("size"), F.explode("tokens").alias("term"), *also)
+    return each.groupBy("doc_id", "chunk_ix", "term", "size", *also).agg(F.count("*").alias("n"))
 
 
 def tfidf(chunked: DataFrame) -> DataFrame:
     """doc_id, chunk_ix, term, tf, df, idf, weight; a document's chunks are the corpus, so one exchange by document serves all."""
-    counts = token_counts(chunked)
-    total = chunked.groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    df = counts.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1
-    rows = counts.join(df, ["doc_id", "term"]).join(total, "doc_id").withColumn("tf", F.col("n") / F.col("size")).withColumn("idf", idf)
+    dealt = chunked.select("doc_id", "chunk_ix", "text").repartition("doc_id")
+    total = dealt.withColumn("chunks", F.count("*").over(Window.partitionBy("doc_id")))
+    rows = counted(total, ["chunks"]).withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
+    rows = rows.withColumns({"tf": F.col("n") / F.col("size"), "idf": F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1})
     return rows.select("doc_id", "chunk_ix", "term", "tf", "df", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def chunk_index(docs: DataFrame, size: int = 2000) -> DataFrame:
     """doc_id, chunk_ix, approx_offset, text, tokens, tfidf (map of term to weight)."""
-    made = chunks(docs, size)
+    return indexed(chunks(docs, size))
+
+
+def indexed(made: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk_ix, text) with tokens and tfidf."""
     maps = tfidf(made).groupBy("doc_id", "chunk_ix").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("tfidf"))
     return made.withColumn("tokens", T.tokens(F.col("text"))).join(maps, ["doc_id", "chunk_ix"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, history, keyword, personas, relevance, reminders, splitting, vectors
 from ..sources import files
+from . import settings
 
 QUERY = "What about the then thand of truncated txt src3"
 TERMS = T.terms_of(QUERY)
@@ -146,9 +147,50 @@ def tfidf_top_terms(spark, sf_dir):
     return rows.withColumn("k", F.row_number().over(best)).filter("k <= 3").select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "term", "weight")
 
 
-@registered("pack_chunks")
+HEADED = r"""headed AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 10 = 0 THEN '# ' || left(x, 20) ELSE x END), chr(10)) AS content FROM documents),
+ parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(replace(content, chr(1), ''), '(?m)^(#{1,6}\s+.+|={3,}|-{3,})$', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda p: regexp_matches(p, '\S')) AS p FROM headed)"""
+FOLD = "list_reduce(list_transform({parts}, lambda x: {{'done': []::VARCHAR[], 'now': x, 'n': length(x)}}), lambda a, x: CASE WHEN a.n + x.n > {size} THEN {{'done': list_append(a.done, a.now), 'now': x.now, 'n': x.n}} ELSE {{'done': a.done, 'now': a.now || {joint} || x.now, 'n': {n}}} END)"
+
+
+@registered("heading_parts", rf"WITH {HEADED} SELECT doc_id, i - 1 AS pos, part FROM (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM parts)")
+def heading_parts(spark, sf_dir):
+    found = headed(spark, sf_dir).select("doc_id", F.posexplode(chunking.heading_parts(F.col("content"))).alias("pos", "part"))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+@registered("pack_chunks", rf"""
+WITH {HEADED}, first AS (SELECT doc_id, {FOLD.format(parts='p', size=400, joint='chr(10)', n='a.n + x.n')} AS f FROM parts WHERE len(p) > 0),
+ packed AS (SELECT doc_id, list_append(f.done, f.now) AS c FROM first),
+ one AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM packed),
+ cut AS (SELECT doc_id, i, c, regexp_split_to_array(c, '\n\s*\n') AS b FROM one),
+ forced AS (SELECT doc_id, i, CASE WHEN length(c) <= 600 THEN [c] ELSE list_append(f.done, f.now) END AS c
+  FROM (SELECT *, {FOLD.format(parts="list_filter(b, lambda x, k: x <> '' OR k = 1)", size=400, joint='chr(10) || chr(10)', n='a.n + x.n + 2')} AS f FROM cut)),
+ every AS (SELECT doc_id, i, unnest(c) AS text, generate_subscripts(c, 1) AS j FROM forced),
+ kept AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_ix FROM every WHERE regexp_matches(text, '\S'))
+SELECT doc_id, chunk_ix, (sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_ix) - length(text) - 1)::BIGINT AS approx_offset, text FROM kept""")
 def pack_chunks(spark, sf_dir):
-    return chunking.chunks(headed(spark, sf_dir), 400)
+    return chunking.chunks(headed(spark, sf_dir), 400).withColumn("chunk_ix", F.col("chunk_ix").cast("long"))
+
+
+@registered("chunk_index", f"{TFIDF} SELECT doc_id, chunk_ix, len(t)::BIGINT AS n, coalesce(terms, 0)::BIGINT AS terms, coalesce(round(weight, 6), 0) AS weight FROM tok LEFT JOIN (SELECT doc_id, chunk_ix, count(*) AS terms, sum(tf * idf) AS weight FROM w GROUP BY ALL) USING (doc_id, chunk_ix)")
+def chunk_index(spark, sf_dir):
+    index = chunking.indexed(line_chunks(spark, sf_dir))
+    weights = F.coalesce(F.map_values("tfidf"), F.array().cast("array<double>"))
+    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+    return index.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.size("tokens").cast("long").alias("n"), F.size(weights).cast("long").alias("terms"), F.round(total, 6).alias("weight"))
+
+
+ASKED = ["reation", "erthine", "eaha", "ndonle", "eaha"]
+
+
+@registered("relevance_base", f"""{TFIDF}, hit AS (SELECT doc_id, chunk_ix, sum(1.5 * tf * idf) AS base FROM w WHERE term IN ({", ".join(f"'{t}'" for t in ASKED)}) GROUP BY ALL)
+SELECT doc_id, chunk_ix, round(base, 6) AS base, rank() OVER (ORDER BY round(base, 6) DESC)::BIGINT AS place FROM hit WHERE base > 0""")
+def relevance_base(spark, sf_dir):
+    from pyspark.sql import Window
+
+    index = chunking.indexed(line_chunks(spark, sf_dir))
+    rows = index.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.round(relevance.base_score(F.col("tokens"), F.col("tfidf"), ASKED), 6).alias("base")).filter("base > 0")
+    return rows.withColumn("place", F.rank().over(Window.orderBy(F.desc("base"))).cast("long"))  # the query's hits
 
 
 @registered("approx_offset", f"WITH {LINES} SELECT doc_id, chunk_ix, (sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_ix) - length(text) - 1)::BIGINT AS approx_offset FROM chunked")
@@ -270,10 +312,21 @@ def fixed_width_split(spark, sf_dir):
     return parts.withColumns({c: F.col(c).cast("long") for c in ("part", "parts")})
 
 
-@registered("split_message")
+@registered("split_message", r"""
+WITH given AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+ pieces AS (SELECT doc_id, text, flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: CASE WHEN length(p) > 1886
+   THEN list_prepend({'done': []::VARCHAR[], 'body': '', 'glue': 'flush'}, list_transform(regexp_extract_all(p, '\S+'), lambda w: {'done': []::VARCHAR[], 'body': w, 'glue': ' '}))
+   ELSE [{'done': []::VARCHAR[], 'body': p, 'glue': chr(10) || chr(10)}] END)) AS x FROM given),
+ folded AS (SELECT doc_id, text, list_reduce(x, lambda a, p: CASE WHEN p.glue = 'flush' THEN {'done': list_append(a.done, a.body), 'body': '', 'glue': ''}
+   WHEN length(CASE WHEN a.body = '' THEN p.body ELSE a.body || p.glue || p.body END) <= 1886 THEN {'done': a.done, 'body': CASE WHEN a.body = '' THEN p.body ELSE a.body || p.glue || p.body END, 'glue': ''}
+   ELSE {'done': list_append(a.done, a.body), 'body': p.body, 'glue': ''} END, {'done': []::VARCHAR[], 'body': '', 'glue': ''}) AS f FROM pieces),
+ cut AS (SELECT doc_id, CASE WHEN length(text) + 14 <= 1900 THEN [text] ELSE list_transform(list_filter(list_append(f.done, f.body), lambda b: regexp_matches(b, '\S')), lambda b: trim('--- Guide ---' || chr(10) || b, ' ' || chr(10) || chr(9) || chr(13))) END AS c FROM folded),
+ every AS (SELECT doc_id, unnest(c) AS t, generate_subscripts(c, 1) AS part, len(c) AS parts FROM cut)
+SELECT doc_id, part, parts, CASE WHEN parts > 1 THEN '[' || part || '/' || parts || '] ' || t ELSE t END AS text FROM every""")
 def split_message(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return splitting.message_parts(docs, ["doc_id"], header=F.lit("--- Guide ---"))
+    parts = splitting.message_parts(docs, ["doc_id"], header=F.lit("--- Guide ---"))
+    return parts.withColumns({c: F.col(c).cast("long") for c in ("part", "parts")})
 
 
 @registered("sha_listing", "SELECT doc_id, substr(sha256(text), 1, 16) AS sha, strlen(text) AS size FROM documents")
@@ -390,7 +443,50 @@ def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.data_uri(name, F.col("text").cast("binary")).alias("uri"))
 
 
-@registered("upload_targets")
+@registered("upload_targets", rf"""
+WITH named AS (SELECT page_id, coalesce(nullif(list_last(string_split(split_part(url, '?', 1), '/')), ''), 'remote_file') AS filename, strlen(html) AS size, sha256(html) AS sha FROM pages),
+ parted AS (SELECT *, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '^[0-9a-f]*_', ''), '[^\p{{L}}\p{{N}}._\- ]', '', 'g')), 1, 60), ''), 'uploaded_doc') AS stem,
+  coalesce({KINDS}[lower(regexp_extract(filename, '(?s)^.+(\.[^.]*)$', 1))], nullif(lower(regexp_extract(filename, '(?s)^.+(\.[^.]*)$', 1)), ''), '.txt') AS ext FROM named),
+ nth AS (SELECT *, row_number() OVER (PARTITION BY stem, ext ORDER BY sha, page_id) AS k, row_number() OVER (PARTITION BY stem, ext, sha ORDER BY page_id) AS same FROM parted)
+SELECT size, stem || CASE WHEN k > 1 THEN '_' || substr(sha, 1, 8) || CASE WHEN same > 1 THEN '_' || same ELSE '' END ELSE '' END || ext AS target FROM nth""")
 def upload_targets(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", T.url_file_name(F.col("url")).alias("filename"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("subfolder"))
-    return files.validated_uploads(pages).select("page_id", "filename", "size", "target", "error")
+    return files.validated_uploads(pages).select("size", "target")
+
+
+@registered("persona_active", """
+SELECT user_id, coalesce(key, 'view') AS key FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT user_id, max_by(event_type, event_id) AS key FROM events WHERE event_id % 7 = 0 GROUP BY user_id) USING (user_id)""")
+def persona_active(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    choices = rows.filter(F.col("event_id") % 7 == 0).select("user_id", F.col("event_type").alias("key"), F.col("event_id").alias("seq"))
+    return personas.active(rows.select("user_id").distinct(), choices, ["user_id"], "view")
+
+
+@registered("persona_titles", r"SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(upper(p_name) || '_2nd', '\p{L}+|\P{L}+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS display FROM part")
+def persona_titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", personas.title(F.concat(F.upper("p_name"), F.lit("_2nd"))).alias("display"))
+
+
+@registered("persona_model", "SELECT s_suppkey, coalesce(nullif(CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN s_name END, ''), 'base-model') AS model FROM supplier")
+def persona_model(spark, sf_dir):
+    slug = F.when(F.col("s_suppkey") % 3 == 0, "").when(F.col("s_suppkey") % 3 == 1, F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", personas.model_of(slug, "base-model").alias("model"))
+
+
+@registered("path_order", "SELECT display_name, score FROM (SELECT source || '_' || lang || '_' || doc_id || '.txt' AS display_name, 0::BIGINT AS score, source, lang, doc_id FROM documents WHERE length(text) BETWEEN 1 AND 1048576) ORDER BY source, lang, doc_id LIMIT 7")
+def path_order(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.concat_ws("_", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("display_name"), F.col("text").alias("content"))
+    return keyword.top_documents(docs, "", 7).select("display_name", "score")
+
+
+@registered("typed_settings", "SELECT 10 AS context_window, max(CASE WHEN event_id = 77 THEN event_id END)::INTEGER AS ai_request_timeout, 2000 AS max_tokens, 1250 AS chunk_size, 10 AS rag_max_docs, '!ai' AS bot_prefix, 'vector' AS rag_retrieval_method, 'clear' AS chat_history_reset FROM events")
+def typed_settings(spark, sf_dir):
+    given = {"CONTEXT_WINDOW": "ten", "CHUNK_SIZE": " 1_250 ", "RAG_MAX_DOCS": "", "RAG_RETRIEVAL_METHOD": "Vector", "CHAT_HISTORY_RESET": " Clear"}
+    rows = table(spark, sf_dir, "events").filter("event_id = 77").select(F.lit("AI_REQUEST_TIMEOUT").alias("name"), F.col("event_id").cast("string").alias("value"))
+    return settings.typed_settings(rows.union(spark.createDataFrame(list(given.items()), "name string, value string")))
+
+
+@registered("sentinel", "SELECT event_id, CASE WHEN lower(trim(CASE event_id % 3 WHEN 0 THEN ' CLEAR ' ELSE event_type END)) = 'clear' THEN 'clear' END AS reset FROM events")
+def sentinel(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, " CLEAR ").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", T.or_clear(raw).alias("reset"))

@@ -1,6 +1,7 @@
 """Hand-computed cases of the retrieval and conversation operators."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,7 +114,12 @@ def test_personas(spark, tmp_path):
     asked = spark.createDataFrame([("system",), ("HELPER",), ("none",)], "asked string")
     assert {r.asked: r.persona_key for r in personas.resolve(asked, known).collect()} == {"system": "system", "HELPER": "assistant", "none": None}
     (tmp_path / "bad.json").write_text("not json")
-    assert personas.load_personas(spark, str(tmp_path / "bad.json")).first()["key"] == "assistant"
+    for name in ("bad.json", "missing.json"):
+        assert [(r.key, r.display, r.is_default) for r in personas.load_personas(spark, str(tmp_path / name)).collect()] == [("default", "Default", True)]
+    (tmp_path / "same.json").write_text(json.dumps({"characters": {"z": {"display": "Bo"}, "a": {"display": "Bo"}, "b": {"display": "BO"}}}))
+    same = personas.load_personas(spark, str(tmp_path / "same.json"))
+    asked = spark.createDataFrame([("bo",), ("z",)], "asked string")
+    assert {r.asked: r.persona_key for r in personas.resolve(asked, same).collect()} == {"bo": "a", "z": "z"}
 
 
 def test_files(spark, tmp_path):
@@ -121,17 +127,29 @@ def test_files(spark, tmp_path):
     (tmp_path / "1_a.txt").write_bytes(b"Test \xff document.\nLine 2")
     (tmp_path / "sub/nested.md").write_text("# Nested")
     (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "none").mkdir()
     (tmp_path / "image.png").write_bytes(b"123")
     root = str(tmp_path)
     assert {r.display_name: r.content for r in files.read_documents(spark, root).collect()} == {"_a.txt": "Test � document.\nLine 2", "nested.md": "# Nested"}
     assert [(r.name, r.size) for r in files.catalogue(spark, root).collect()] == [("1_a.txt", 23), ("empty.txt", 0), ("image.png", 3), ("sub/nested.md", 8)]
-    assert [r.name for r in files.root_directories(spark, root).collect()] == ["sub"]
+    assert [r.name for r in files.root_directories(spark, root).collect()] == ["none", "sub"]
     assert files.read_documents(spark, str(tmp_path / "missing")).count() == 0
     uploads = spark.createDataFrame([("a.txt", b"1", None), ("a.txt", b"2", None), ("b.md", b"3", "../x"), (None, b"4", "s")], "filename string, content binary, subfolder string")
     got = [(r.target, r.error) for r in files.validated_uploads(uploads).orderBy("content").collect()]
     assert got[2:] == [(None, "bad subfolder"), ("s/attachment.txt", None)]
     assert len({t for t, _ in got[:2]}) == 2
-    docs = files.read_documents(spark, root).select(F.col("display_name").alias("doc_id"), "content")
+    (tmp_path / "b.tXt").write_text("any case")
+    assert files.read_documents(spark, root).filter("display_name = 'b.tXt'").count() == 1
+    copies = spark.createDataFrame([("a.txt", b"1", None), ("a.txt", b"1", None), ("a.txt", b"2", "s"), ("c.txt", b"5", None)], "filename string, content binary, subfolder string")
+    stored = spark.createDataFrame([("c.txt",)], "name string")
+    accepted = files.validated_uploads(copies, stored=stored)
+    kept = files.store_uploads(accepted, str(tmp_path / "up")).collect()
+    assert len({r.name for r in kept}) == 4
+    assert {"a.txt", "s/a.txt"} < {r.name for r in kept}
+    assert "c.txt" not in {r.name for r in kept}
+    assert {r.name: (tmp_path / "up" / r.name).stat().st_size for r in kept} == {r.name: r.size for r in kept}
+    assert files.reindex(spark, root, str(tmp_path / "index")) == len([p for p in tmp_path.rglob("*") if p.is_file() and "index" not in p.parts])
+    docs = files.read_documents(spark, root).filter("display_name IN ('_a.txt', 'nested.md')").select(F.col("display_name").alias("doc_id"), "content")
     assert files.write_chunks(docs, str(tmp_path / "out")) == 2
 
 
@@ -145,6 +163,36 @@ def test_retrieve(spark):
     assert ids(retrieve(docs, "ice", "chunk")) == [1]
 
 
+def test_one_exchange_of_tfidf(spark):
+    """A hash by document serves counts and windows."""
+    chunked = spark.createDataFrame([(1, 0, "dragon fire")], "doc_id long, chunk_ix int, text string")
+    plan = chunking.tfidf(chunked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_due_reminders_stream(spark, tmp_path):
+    from quarry.streaming.conversation import due_reminders
+
+    (tmp_path / "in").mkdir()
+    schema = "id long, message string, delay long"
+    spark.createDataFrame([(1, "soon", 1), (2, "late", 3600)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = due_reminders(rows).writeStream.outputMode("append").format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        time.sleep(0.5)
+        if spark.table("due").count():
+            break
+    query.stop()
+    assert [(r.id, r.message) for r in spark.table("due").collect()] == [(1, "soon")]
+
+
+def test_numbers_and_sentinels(spark):
+    for raw, found in (("10", 10), (" +1_0 ", 10), ("1__0", 3), ("", 3), (None, 3), ("x", 3), ("-4", -4)):
+        assert value(spark, T.safe_int(F.lit(raw).cast("string"), 3)) == found
+    for raw, found in ((" CLEAR\n", "clear"), ("clear it", None), ("", None), (None, None)):
+        assert value(spark, T.or_clear(F.lit(raw).cast("string"))) == found
+
+
 def test_model_fallback(spark):
     def fails(prompt):
         raise ValueError(prompt)
