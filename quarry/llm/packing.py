@@ -149,16 +149,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id
 
 def waste_bound(counts: dict[int, int], limit: int) -> int:
     """Least number of bins by the L2 bound: large items need bins of their own, and some of their waste is certain."""
-    lengths = sorted(counts)
-    total = sum(k * v for k, v in counts.items())
-    best = -(-total // limit)
-    for floor in [0, *[k for k in lengths if k <= limit // 2]]:
-        huge = sum(v for k, v in counts.items() if k > limit - floor)
-        large = [(k, v) for k, v in counts.items() if limit // 2 < k <= limit - floor]
-        small = sum(k * v for k, v in counts.items() if floor <= k <= limit // 2)
-        room = sum(v * limit - k * v for k, v in large)
-        best = max(best, huge + sum(v for _, v in large) + max(0, -(-(small - room) // limit)))
-    return best
+    k = np.array(sorted(counts), np.int64)
+    v = np.array([counts[x] for x in k.tolist()], np.int64)
+    items, sums = (np.concatenate([[0], np.cumsum(x)]) for x in (v, k * v))
+    half = int(np.searchsorted(k, limit // 2, "right"))
+    floors = np.concatenate([[0], k[:half]])
+    top = np.maximum(np.searchsorted(k, limit - floors, "right"), half)  # items from here on leave no room for the floor
+    huge = items[-1] - items[top]
+    large = items[top] - items[half]
+    room = large * limit - (sums[top] - sums[half])
+    small = sums[half] - sums[np.searchsorted(k, floors)]
+    more = np.maximum(0, -(-(small - room) // limit))
+    return int(max(-(-sums[-1] // limit), (huge + large + more).max()))
 
 
 def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, list[int]]]:
@@ -184,47 +186,78 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, list[int]]]:
     return plan
 
 
-def fillings(left: dict[int, int], keys: list[int], room: int, effort: int) -> list[tuple[int, list[int]]]:
-    """Ever better fillings of ``room`` found within ``effort`` steps, as (waste, lengths), least waste first.
+def fillings(left: dict[int, int], keys: list[int], room: int) -> Iterator[tuple[int, list[int]]]:
+    """All undominated fillings of ``room`` with the remaining lengths, as (waste, lengths), least waste first.
 
-    Lengths are tried from the largest, so a filling found first has the fewest items. One counts if no remaining item
-    fits and its waste is below that of all found before; the first without waste ends it. Others of equal or greater
-    waste are left out though nothing dominates them, so a search over these fillings isn't complete.
+    A filling is dominated if some of its lengths, none perhaps, can give way to one length left out that is at least their
+    sum and still fits: whatever a plan does with the one, it can do with the others. Fillings of one sum are enumerated
+    along the sums that can be reached, so no step is lost.
     """
-    found: list[tuple[int, list[int]]] = []
-    best = [room + 1]
-    steps = [0]
-
-    def go(room: int, top: int, chosen: list[int]) -> bool:
-        steps[0] += 1
-        if steps[0] > effort:
-            return True
-        at = bisect_right(keys, room, 0, top) - 1
-        extended = False
-        while at >= 0:
-            k = keys[at]
-            if left[k] > chosen.count(k):
-                extended = True
-                chosen.append(k)
-                if go(room - k, at + 1, chosen):
-                    return True
-                chosen.pop()
+    keys = [k for k in keys if k <= room]
+    full = (1 << (room + 1)) - 1
+    reach = [1]  # sums of the first k lengths, as bits
+    for k in keys:
+        sums, times, step = reach[-1], min(left[k], room // k), 1
+        while times > 0:
+            n = min(step, times)
+            sums |= sums << (n * k) & full
+            times, step = times - n, 2 * step
+        reach.append(sums)
+
+    def exact(total: int, at: int) -> Iterator[list[int]]:
+        """Fillings of a sum with the first ``at`` lengths, large lengths first."""
+        if total == 0:
+            yield []
+            return
+        while at and not keys[at - 1] <= total:
             at -= 1
-        if not extended and room < best[0]:
-            best[0] = room
-            found.append((room, list(chosen)))
-            return room == 0
-        return False
+        if not at or not reach[at] >> total & 1:
+            return
+        k = keys[at - 1]
+        for n in range(min(left[k], total // k), -1, -1):
+            if reach[at - 1] >> (total - n * k) & 1:
+                for rest in exact(total - n * k, at - 1):
+                    yield [k] * n + rest
+
+    for total in range(room, -1, -1):
+        if reach[-1] >> total & 1:
+            for filling in exact(total, len(keys)):
+                if not dominated(filling, left, keys, room - total):
+                    yield room - total, filling
+
+
+def dominated(filling: list[int], left: dict[int, int], keys: list[int], waste: int) -> bool:
+    """Whether a length left out may take the place of some of the filling's, with as large a sum or more."""
+    sums = 1
+    for k in filling:
+        sums |= sums << k
+    window = (1 << (waste + 1)) - 1
+    for x in keys:
+        if left[x] <= filling.count(x):
+            continue
+        own = sums
+        if x in filling:  # x itself changes nothing, so it isn't one of those that give way
+            own = 1
+            for k in filling:
+                if k != x:
+                    own |= own << k
+        low = max(0, x - waste)
+        if own >> low & window >> (waste - (x - low)):
+            return True
+    return False
 
-    go(room, len(keys), [])
-    return sorted(found, key=lambda x: (x[0], len(x[1])))
 
+#: Different lengths of a state that the search remembers; it only saves repeated work.
+KEPT_STATE = 64
 
-def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000, effort: int = 3_000) -> list[tuple[int, list[int]]]:
-    """Bin completion: fill the bin of the largest remaining item in each way ``fillings`` has, best first, and back up.
 
-    A branch ends when its waste passes what a plan better than the incumbent could have. ``nodes`` bounds the search
-    and ``effort`` each enumeration; at their end the incumbent stands. One decision covers as many bins as it can.
+def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000) -> list[tuple[int, list[int]]]:
+    """Bin completion: fill the bin of the largest remaining item in each undominated way, least waste first, and back up.
+
+    A branch ends when its waste, or its bins and the bound of what remains, pass what a plan better than the incumbent
+    could have, or when the same lengths were left before after as few bins. One decision covers as many bins as it can;
+    on backing up half as many are tried, and so on to one, so every plan is in the search. ``nodes`` bounds the
+    decisions; at their end the incumbent stands.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
@@ -235,53 +268,57 @@ def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000, effor
     size = sum(t for t, _ in incumbent)
     if size == least:
         return incumbent
-    left, plan, keys = dict(counts), [], sorted(counts)
-    trail: list[tuple[list[tuple[int, list[int]]], int]] = []
+    left, plan = dict(counts), []
     waste = used = seen = 0
+    before: dict[tuple, int] = {}
 
-    def options() -> list[tuple[int, list[int]]]:
+    def ways() -> Iterator[tuple[int, int, list[int]]]:
+        """(waste, times, filling) of all decisions for the largest item."""
+        keys = sorted(k for k, v in left.items() if v)
         top = keys[-1]
         left[top] -= 1
-        usable = [k for k in keys if left[k] and k <= limit - top]
-        got = fillings(left, usable, limit - top, effort)
+        usable = {k: v for k, v in left.items() if v}
         left[top] += 1
-        return [(w, [top, *x]) for w, x in got]
-
-    def apply(w: int, filling: list[int], sign: int, times: int) -> None:
-        nonlocal waste, used, keys
+        for w, rest in fillings(usable, sorted(usable), limit - top):
+            filling = [top, *rest]
+            times = min(left[k] // filling.count(k) for k in set(filling))
+            while times:
+                yield w, times, filling
+                times //= 2
+
+    def apply(w: int, times: int, filling: list[int], sign: int) -> None:
+        nonlocal waste, used
         for k in filling:
             left[k] -= sign * times
         waste += sign * w * times
         used += sign * times
-        keys = sorted(k for k, v in left.items() if v)
 
-    pending = options()
-    while seen < nodes:
-        seen += 1
+    trail = [ways()]
+    while trail and seen < nodes and size > least:
         allowed = (size - 1) * limit - total
-        step = next(((i, x) for i, x in enumerate(pending) if waste + x[0] <= allowed), None)
-        if step is None:
-            if not trail:
-                break
-            pending, times = trail.pop()
-            _, filling = plan.pop()
-            apply(limit - sum(filling), filling, -1, times)
+        step = next(trail[-1], None)
+        if step is None or waste + step[0] > allowed:  # wastes only grow
+            trail.pop()
+            if plan:
+                times, filling = plan.pop()
+                apply(limit - sum(filling), times, filling, -1)
             continue
-        i, (w, filling) = step
-        times = min(left[k] // filling.count(k) for k in set(filling))
-        if w:
-            times = max(1, min(times, (allowed - waste) // w))
-        trail.append((pending[i + 1 :], times))
-        plan.append((times, filling))
-        apply(w, filling, 1, times)
-        if keys:
-            pending = options()
+        w, times, filling = step
+        if waste + w * times > allowed:
             continue
-        if used < size:
-            incumbent, size = list(plan), used
-            if size == least:
-                break
-        pending = []
+        seen += 1
+        apply(w, times, filling, 1)
+        state = tuple(sorted((k, v) for k, v in left.items() if v))
+        hopeless = state and (before.get(state, used + 1) <= used or used + waste_bound(dict(state), limit) >= size)
+        if not state and used < size:
+            incumbent, size = [*plan, (times, filling)], used
+        if not state or hopeless:
+            apply(w, times, filling, -1)
+            continue
+        if len(state) <= KEPT_STATE:
+            before[state] = used
+        plan.append((times, filling))
+        trail.append(ways())
     return incumbent
 
 
