@@ -2,8 +2,8 @@
 
 Equal vectors count as one node with its copies. Nodes lie in blocks of bounded size (``BLOCK_ROWS``), each with a graph
 of its own. The graph starts from the neighbours in random-hyperplane leaves; then Spark joins bring the neighbours of each
-node together with their vectors, and every neighbour of a neighbour may replace a worse one. Queries search every block's
-graph greedily from some entry points and the node's own neighbours; the best over all blocks are kept.
+node together with their vectors, and every neighbour of a neighbour may replace a worse one, until hardly any does. Queries
+go to every block in parts of ``QUERY_ROWS``, so a block's index is read once a part, and search its graph greedily from some entry points and the node's own neighbours; the best over all blocks are kept.
 
 Vectors that are null, empty, zero or hold null or non-finite components, rows without an id, and vectors of another
 length than most take no part. Rows that repeat an id with the same vector count once; with other vectors, each counts.
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import forget, hot_join, shared_table
 
-BLOCK_ROWS, QUERY_ROWS = 16_384, 512
-NEAR, JOINED, TREES, LEAF, ROUNDS = 28, 14, 3, 160, 2
+BLOCK_ROWS, QUERY_ROWS = 16_384, 8_192
+NEAR, JOINED, TREES, LEAF = 28, 14, 3, 160
+#: The graph is settled when a round finds new edges for less than this share of all.
+SETTLED = 0.02
 POOL, STEP, ENTRIES = 200, 8, 48
 
 
@@ -74,14 +76,14 @@ def leaf_edges(nodes: DataFrame, width: int, near: int) -> DataFrame:
             vs.append(ids[own][top].ravel())
             sims.append(np.take_along_axis(s, top, 1).ravel())
         u, v, s = (np.concatenate(c) if c else np.empty(0) for c in (us, vs, sims))
-        return pa.table({"block": pa.array(np.full(len(u), block), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(s, pa.float32())})
+        return pa.table({"block": pa.array(np.full(len(u), block), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(s, pa.float32()), "fresh": pa.array(np.ones(len(u), bool))})
 
     coded = nodes.select("block", "node", "vector").mapInArrow(code, "block int, node long, vector array<float>, tree int, leaf int")
-    return coded.groupBy("block", "tree", "leaf").applyInArrow(lambda t: within(t), "block int, u long, v long, sim float")
+    return coded.groupBy("block", "tree", "leaf").applyInArrow(lambda t: within(t), "block int, u long, v long, sim float, fresh boolean")
 
 
 def best_edges(edges: DataFrame, near: int) -> DataFrame:
-    """The ``near`` best different edges of each node."""
+    """The ``near`` best different edges of each node; an edge that was there before isn't fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
@@ -99,33 +101,37 @@ def best_edges(edges: DataFrame, near: int) -> DataFrame:
             cut = len(u) if batch is None else int(np.searchsorted(u, u[-1]))
             carried = table.slice(cut)
             part = table.slice(0, cut)
-            u, v, s = (part.column(c).to_numpy() for c in ("u", "v", "sim"))
-            order = np.lexsort((v, -s, u))
-            u, v, s = u[order], v[order], s[order]
+            u, v, s, f = (part.column(c).to_numpy() for c in ("u", "v", "sim", "fresh"))
+            order = np.lexsort((f, v, -s, u))
+            u, v, s, f = u[order], v[order], s[order], f[order]
             # equal edges have equal sims and lie together
             new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
-            order, u, v, s = order[new], u[new], v[new], s[new]
+            order, u, v, s, f = order[new], u[new], v[new], s[new], f[new]
             rank = np.arange(len(u)) - np.searchsorted(u, u)
             kept = rank < near
-            yield pa.RecordBatch.from_arrays([part.column("block").combine_chunks().take(pa.array(order[kept])), pa.array(u[kept]), pa.array(v[kept]), pa.array(s[kept])], ["block", "u", "v", "sim"])
+            yield pa.RecordBatch.from_arrays([part.column("block").combine_chunks().take(pa.array(order[kept])), pa.array(u[kept]), pa.array(v[kept]), pa.array(s[kept]), pa.array(f[kept])], ["block", "u", "v", "sim", "fresh"])
 
-    return edges.repartition("u").sortWithinPartitions("u").mapInArrow(run, "block int, u long, v long, sim float")
+    return edges.repartition("u").sortWithinPartitions("u").mapInArrow(run, "block int, u long, v long, sim float, fresh boolean")
 
 
 def descend(edges: DataFrame, nodes: DataFrame, near: int, joined: int) -> DataFrame:
-    """One round of NN-descent: the neighbours of each node, out and in, meet and may become each other's neighbours."""
+    """One round of NN-descent: the neighbours of each node, out and in, meet and may become each other's neighbours.
+
+    Two that met before, by edges that aren't fresh, don't meet again.
+    """
     out = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     into = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
     ranked = edges.withColumn("out", out).withColumn("into", into)
-    around = ranked.filter(F.col("out") <= joined).select(F.col("u").alias("centre"), F.col("v").alias("node"))
-    around = around.union(ranked.filter(F.col("into") <= joined).select(F.col("v").alias("centre"), F.col("u").alias("node"))).distinct()
+    around = ranked.filter(F.col("out") <= joined).select(F.col("u").alias("centre"), F.col("v").alias("node"), "fresh")
+    around = around.union(ranked.filter(F.col("into") <= joined).select(F.col("v").alias("centre"), F.col("u").alias("node"), "fresh"))
+    around = around.groupBy("centre", "node").agg(F.min("fresh").alias("fresh"))
     worst = edges.groupBy("u").agg(F.min("sim").alias("worst")).withColumnRenamed("u", "node")
     carried = nodes.join(worst, "node", "left").select("node", "block", "vector", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
-    met = around.join(carried, "node").select("centre", "block", "node", "worst", "vector").repartition("centre").sortWithinPartitions("centre")
+    met = around.join(carried, "node").select("centre", "block", "node", "worst", "vector", "fresh").repartition("centre").sortWithinPartitions("centre")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> pa.RecordBatch:
-            centre, node, worst, block = (table.column(c).to_numpy() for c in ("centre", "node", "worst", "block"))
+            centre, node, worst, block, fresh = (table.column(c).to_numpy() for c in ("centre", "node", "worst", "block", "fresh"))
             x = matrix(table.column("vector"))
             starts = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
             sizes = np.diff(np.append(starts, len(centre)))
@@ -139,13 +145,14 @@ def descend(edges: DataFrame, nodes: DataFrame, near: int, joined: int) -> DataF
                     s = x[r] @ x[r].transpose(0, 2, 1)
                     s[:, np.arange(size), np.arange(size)] = -np.inf
                     s[s <= worst[r][:, :, None]] = -np.inf
+                    s[~(fresh[r][:, :, None] | fresh[r][:, None, :])] = -np.inf
                     g, i, j = np.nonzero(s > -np.inf)
                     us.append(node[r[g, i]])
                     vs.append(node[r[g, j]])
                     sims.append(s[g, i, j])
                     blocks.append(block[r[g, i]])
             u, v, s, b = (np.concatenate(c) if c else np.empty(0) for c in (us, vs, sims, blocks))
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float32())], ["block", "u", "v", "sim"])
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float32()), pa.array(np.ones(len(u), bool))], ["block", "u", "v", "sim", "fresh"])
 
         carried = None
         for batch in batches:
@@ -161,7 +168,8 @@ def descend(edges: DataFrame, nodes: DataFrame, near: int, joined: int) -> DataF
         if carried is not None and len(carried):
             yield pairs(carried)
 
-    return best_edges(edges.union(met.mapInArrow(run, "block int, u long, v long, sim float")), near)
+    known = edges.withColumn("fresh", F.lit(False))
+    return best_edges(known.union(met.mapInArrow(run, "block int, u long, v long, sim float, fresh boolean")), near)
 
 
 def greedy_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, pool: int = POOL, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -223,18 +231,22 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of every row for which ``is_query`` (on vec_id) holds."""
     keys = [F.xxhash64("vector").alias("k1"), F.xxhash64(F.reverse("vector")).alias("k2")]
     rows = shared_table(usable_vectors(vectors).withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).select("vec_id", "vector", *keys), "vectors")
-    found = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    counted = found.agg(F.count("*").alias("n")).first()["n"]
+    counted = rows.select("k1", "k2").distinct().count()
     blocks = max(1, -(-counted // BLOCK_ROWS))
-    firsts = rows.join(found, ["k1", "k2"]).filter(F.col("vec_id") == F.col("node")).dropDuplicates(["k1", "k2"])
+    first = F.min_by("vector", "vec_id").alias("vector")  # of equal vectors, before the exchange
+    firsts = rows.groupBy("k1", "k2").agg(first)
     # An id that came with several vectors would name several nodes, so nodes are numbered by their keys.
     nodes = firsts.select(F.col("k1").alias("node"), "vector", F.pmod(F.xxhash64("k1"), F.lit(blocks)).cast("int").alias("block"))
     nodes = shared_table(nodes, "nodes")
     width = len((nodes.select("vector").first() or [[]])[0])
     small = nodes.select("block", "node", F.col("vector").cast("array<float>").alias("vector"))
     edges = shared_table(best_edges(leaf_edges(small, width, NEAR), NEAR), "edges")
-    for _ in range(ROUNDS):
-        edges = shared_table(descend(edges, small, NEAR, JOINED), "edges")
+    while True:
+        before, edges = edges, shared_table(descend(edges, small, NEAR, JOINED), "edges")
+        forget(before)
+        found = edges.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
+        if found["fresh"] <= SETTLED * found["n"]:  # sims of a node's edges only grow, so this comes
+            break
     wanted = rows.filter(is_query).select("vec_id", F.col("k1").alias("node")).distinct()
     asked = shared_table(wanted.select("node").distinct().join(nodes, "node").select("node", "vector"), "queries")
     chunks = max(1, -(-asked.count() // QUERY_ROWS))
@@ -287,7 +299,8 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     rank = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "vec_id"))
     spread = spread.withColumn("k", rank("query")).filter(F.col("k") <= top + 1).select("query", "vec_id", "score")
     lists = spread.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("found"))  # top + 1 at most
-    per = wanted.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(lists, "query")
+    asking = shared_table(wanted.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "asking")
+    per = hot_join(asking, lists, "query", "query_id")  # copies of one vector may be many
     per = per.withColumn("found", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top))
     return per.select("query_id", F.posexplode("found").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
 
