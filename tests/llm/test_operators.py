@@ -84,8 +84,10 @@ def test_bin_completion():
         go(0, [])
         return best
 
-    for _ in range(60):
-        items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+    for items, limit, bins in (([4, 5, 5, 10, 11, 11, 13, 13, 14, 15, 18], 30, 4), ([3, 4, 5, 5, 5, 7, 7, 7, 8, 8, 9, 9, 9, 10, 11, 13], 20, 6)):
+        assert sum(t for t, _ in packing.complete_bins(dict(Counter(items)), limit)) == bins
+    for _ in range(400):
+        items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 11))), reverse=True)
         counts = dict(Counter(items))
         plan = packing.complete_bins(counts, 20)
         assert sum(t for t, _ in plan) == least(items, 20)
@@ -97,6 +99,31 @@ def test_bin_completion():
         assert used == counts
 
 
+def test_fillings():
+    """All undominated fillings and no others, least waste first, against all subsets."""
+    rng = random.Random(5)
+    for _ in range(150):
+        room = rng.randint(1, 25)
+        left = Counter(rng.randint(1, 12) for _ in range(rng.randint(1, 8)))
+        items = sorted(left.elements())
+        every = {tuple(sorted((items[k] for k in range(len(items)) if m >> k & 1), reverse=True)) for m in range(1 << len(items))}
+        every = [f for f in every if sum(f) <= room]
+
+        def beaten(f, left=left, room=room):
+            for x, n in left.items():
+                if f.count(x) < n:
+                    for m in range(1 << len(f)):
+                        s = [f[k] for k in range(len(f)) if m >> k & 1]
+                        if x not in s and sum(s) <= x and sum(f) - sum(s) + x <= room:
+                            return True
+            return False
+
+        got = list(packing.fillings(dict(left), sorted(left), room))
+        assert sorted(tuple(f) for _, f in got) == sorted(f for f in every if not beaten(f))
+        assert [w for w, _ in got] == sorted(w for w, _ in got)
+        assert all(w == room - sum(f) for w, f in got)
+
+
 def test_sharding(spark, awkward, nothing, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sharding.shard_documents(docs, 4, 0.01).withColumn("size", sharding.size_of()).collect()
@@ -428,6 +455,26 @@ def test_neighbours(spark, nothing):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Several blocks and parts of queries find what brute force finds; repeated ids and many copies do no harm."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 20)
+    monkeypatch.setattr("quarry.llm.common.FEW", 10)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 12))
+    x[400:800:5] = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist())]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 20 == 0, 10).collect()
+    hits = 0
+    for q in range(0, 1200, 20):
+        got = [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q]
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got) == len(set(got)) == 10
+        hits += len(set(got) & set(np.lexsort((np.arange(1200), -np.round(s, 9)))[:10].tolist()))
+    assert hits / 600 > 0.95
+
+
 def extracted(spark, htmls, **more):
     pages = spark.createDataFrame([(k, "http://c.example/x", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
     return [r["text"] for r in sorted(wrappers.extract_text(pages, wrappers.infer_wrappers(pages, **more)).collect())]
