@@ -162,23 +162,54 @@ class LogBilinear:
             out += self.Q[before[i]] * self.scale[i]
         return out
 
-    def log10_probabilities(self, before: np.ndarray, classes: np.ndarray, units: np.ndarray) -> np.ndarray:
+    def window(self, units: np.ndarray, at: int, n: int) -> np.ndarray:
+        """Vectors of the units from ``CONTEXT`` before ``at`` on; row CONTEXT + t - 1 - i is the i-th before the t-th."""
+        low = max(0, at - CONTEXT)
+        near = self.Q[units[low : at + n]]
+        return near if low + CONTEXT == at else np.concatenate([np.zeros((CONTEXT - at + low, WIDTH), np.float32), near])
+
+    def predictions(self, units: np.ndarray, places: np.ndarray, at: int, n: int, near: np.ndarray) -> np.ndarray:
+        """Predictions of the units from ``at`` on in texts laid end to end; places: their places in their texts."""
+        out = near[CONTEXT - 1 : CONTEXT - 1 + n] * self.scale[0]
+        for i in range(1, CONTEXT):
+            out += near[CONTEXT - 1 - i : CONTEXT - 1 - i + n] * self.scale[i]
+        few = np.flatnonzero(places[at : at + n] < CONTEXT)
+        if len(few):
+            out[few] = self.predict(contexts(units, places, at + few))
+        return out
+
+    def text_log10(self, units: np.ndarray, places: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """``log10_probabilities`` of the tokens of texts laid end to end."""
+        guess = np.empty((len(units), WIDTH), np.float32)
+        for at in range(0, len(units), 4096):
+            n = min(4096, len(units) - at)
+            guess[at : at + n] = self.predictions(units, places, at, n, self.window(units, at, n))
+        return self.log10_probabilities(guess, classes, units)
+
+    def log10_probabilities(self, guess: np.ndarray, classes: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each class, times that of the word in a class of several words with vectors."""
         out, products = np.empty(len(classes)), np.ascontiguousarray(self.C.T)
-        guess = np.empty((len(classes), WIDTH), np.float32)
-        for at in range(0, len(classes), 4096):
-            part = slice(at, at + 4096)
-            guess[part] = self.predict(before[:, part])
-            out[part] = log_softmax(guess[part] @ products + self.c, classes[part])
+        far = float(np.sqrt((guess**2).sum(1).max(initial=0)))
+        high = lambda vectors, biases: far * float(np.sqrt((vectors**2).sum(1).max())) + float(biases.max())
+        safe = high(self.C, self.c) < 60
+        for at in range(0, len(classes), 1024):
+            part = slice(at, at + 1024)
+            scores = guess[part] @ products
+            scores += self.c
+            out[part] = log_softmax(scores, classes[part], safe)
         order = np.argsort(classes.astype(np.uint16), kind="stable")
         last = self.single + len(self.edges) - 1
         cuts = np.searchsorted(classes[order], np.arange(self.single, last + 1))
         for g, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             a, b = int(self.edges[g]), int(self.edges[g + 1])
-            step = max(64, (1 << 20) // (b - a))
+            if lo == hi:
+                continue
+            step, safe = max(64, (1 << 18) // (b - a)), high(self.W[a:b], self.w[a:b]) < 60
             for at in range(lo, hi, step):
                 rows = order[at : min(hi, at + step)]
-                out[rows] += log_softmax(guess[rows] @ self.W[a:b].T + self.w[a:b], units[rows] - a)
+                scores = guess[rows] @ self.W[a:b].T
+                scores += self.w[a:b]
+                out[rows] += log_softmax(scores, units[rows] - a, safe)
         return out / np.log(10)
 
     def push(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
@@ -209,20 +240,35 @@ class LogBilinear:
         self.push(biases, rows, np.concatenate([good, bad.sum(0)]))
         return dp
 
-    def train(self, before: np.ndarray, classes: np.ndarray, units: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass over the tokens in batches; the noise of a batch is shared by its tokens."""
+    def train(self, units: np.ndarray, places: np.ndarray, classes: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over the tokens of texts laid end to end, in batches; the noise of a batch is shared by its tokens."""
         cuts = np.cumsum(self.class_noise), np.cumsum(self.word_noise)
         draw = lambda k, n: np.minimum(np.searchsorted(cuts[k], rng.random(NOISE) * cuts[k][-1], "right"), n - 1)
-        np.add.at(self.met, units, 1)
-        for at in range(0, len(classes), BATCH):
-            b, t, u = before[:, at : at + BATCH], classes[at : at + BATCH], units[at : at + BATCH]
-            p = self.predict(b)
+        self.met += np.bincount(units, minlength=len(self.met))
+        for at in range(0, len(units), BATCH):
+            t, u = classes[at : at + BATCH], units[at : at + BATCH]
+            n = len(t)
+            near = self.window(units, at, n)
+            p = self.predictions(units, places, at, n, near)
             dp = self.contrast(p, t, "C", "c", draw(0, len(self.c)), self.class_noise)
             several = np.flatnonzero((t >= self.single) & (t < self.single + len(self.edges) - 1))
             if len(several):
                 dp[several] += self.contrast(p[several], u[several], "W", "w", draw(1, len(self.w)), np.maximum(self.word_noise, 1e-12))
-            scale = np.stack([(dp * self.Q[b[i]]).sum(0) for i in range(CONTEXT)])
-            self.push("Q", b.ravel(), np.concatenate([dp * self.scale[i] for i in range(CONTEXT)]))
+            # What a unit gets from the predictions after it; what lies before a text's start is its end token's.
+            gained, scale = np.zeros((n + CONTEXT, WIDTH), np.float32), np.empty((CONTEXT, WIDTH), np.float32)
+            ends = np.zeros((1, WIDTH), np.float32)
+            for i in range(CONTEXT):
+                shift = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + n)
+                mine = dp * self.scale[i]
+                scale[i] = np.einsum("nd,nd->d", dp, near[shift])
+                early = np.flatnonzero(places[at : at + n] <= i)
+                if len(early):
+                    scale[i] += (dp[early] * (self.Q[0] - near[shift][early])).sum(0)
+                    ends += mine[early].sum(0)
+                    mine[early] = 0
+                gained[shift] += mine
+            low = max(0, at - CONTEXT)
+            self.push("Q", np.append(units[low : at + n], 0), np.concatenate([gained[CONTEXT - at + low :], ends]))
             self.grown["scale"] += scale**2
             self.scale -= RATE * scale / np.sqrt(self.grown["scale"])
 
@@ -258,29 +304,26 @@ class LogBilinear:
         self.w[k : k + BLOCK][met[:n]] = rows[:n][met[:n], -1]
 
 
-def log_softmax(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the normalised probability of each row's target; overwrites the scores."""
+def log_softmax(scores: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
+    """Natural log of the normalised probability of each row's target; overwrites the scores. safe: exp can't overflow."""
     own = scores[np.arange(len(target)), target].astype(float)
-    top = scores.max(initial=0)
-    if top > 60:
+    if not safe:
         top = scores.max(1)
         scores -= top[:, None]
-    else:
-        top = 0
+        own -= top
     np.exp(scores, out=scores)
-    return own - top - np.log(scores.sum(1))
+    return own - np.log(scores.sum(1))
+
+
+def places_of(sizes: np.ndarray) -> np.ndarray:
+    """The places of all tokens in their texts, for texts of these sizes laid end to end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def contexts(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each distance the units before all tokens of texts laid end to end; before a text's start, the end token."""
-    out = np.zeros((CONTEXT, len(units)), np.int32)
-    starts = np.cumsum(sizes) - sizes
-    for i in range(CONTEXT):
-        out[i, i + 1 :] = units[: max(0, len(units) - i - 1)]
-        for k in range(i + 1):  # every text has an end token; shorter ones than the distance are covered by their followers
-            first = starts[sizes > k] + k
-            out[i, first] = 0
-    return out
+def contexts(units: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each distance the units before some tokens of texts laid end to end; before a text's start, the end token."""
+    back = rows - 1 - np.arange(CONTEXT)[:, None]
+    return np.where(places[rows] > np.arange(CONTEXT)[:, None], units[np.maximum(back, 0)], 0)
 
 
 def groups(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
@@ -310,7 +353,7 @@ def average_pass(texts: DataFrame, words, model: LogBilinear) -> LogBilinear:
             split = [tokens(r) for r in raws]
             flat = [w for ws in split for w in ws]
             units = vocab.units(flat, vocab.ids(flat))
-            own.train(contexts(units, np.fromiter(map(len, split), np.int64, len(split))), vocab.classes(units), units, rng)
+            own.train(units, places_of(np.fromiter(map(len, split), np.int64, len(split))), vocab.classes(units), rng)
             seen += len(flat)
         if seen:
             for row in own.parts(seen):
@@ -360,8 +403,7 @@ def score_texts(docs: DataFrame, training: Column, passes: tuple[Column, ...] |
             flat = [w for ws in split for w in ws]
             ids = vocab.ids(flat)
             units = vocab.units(flat, ids)
-            classes = vocab.classes(units)
-            logs = model.log10_probabilities(contexts(units, sizes), classes, units)
+            logs = model.text_log10(units, places_of(sizes), vocab.classes(units))
             counts = np.where(ids < 0, 0, vocab.counts[ids])
             one = np.log10(counts + 1)
             outer = units >= vocab.words  # of the rest: the relative frequency in the class

@@ -406,7 +406,7 @@ def test_language_model_grows(spark):
     for g, (a, b) in enumerate(zip(model.edges, model.edges[1:], strict=False)):
         want[a:b] = outer[model.single + g] * exps(model.W[a:b] @ guess + model.w[a:b])
     units = np.arange(len(want))
-    found = 10 ** model.log10_probabilities(np.repeat(before, len(units), axis=1), vocab.classes(units), units)
+    found = 10 ** model.log10_probabilities(model.predict(np.repeat(before, len(units), axis=1)), vocab.classes(units), units)
     assert np.allclose(found, want, atol=1e-6)
     assert found.sum() == pytest.approx(1, abs=1e-4)
     inside = 10.0 ** (np.log10(2) - vocab.inner)  # an unknown word's and a once seen word's share of a rest class
@@ -425,10 +425,14 @@ def test_language_model_learns():
     units = np.empty(40_000, np.int64)
     units[::2] = rng.integers(1, 100, 20_000)
     units[1::2] = units[::2] + 100
-    before = lm.contexts(units, np.array([len(units)]))
+    sizes = np.array([3, 1, 2, len(units) - 6])
+    places = lm.places_of(sizes)
+    for at in (0, 2, 6, 5000):
+        plain = [[units[t - 1 - i] if places[t] > i else 0 for t in range(at, at + 50)] for i in range(lm.CONTEXT)]
+        assert np.allclose(model.predictions(units, places, at, 50, model.window(units, at, 50)), model.predict(np.array(plain)))
     for _ in range(3):
-        model.train(before, vocab.classes(units), units, rng)
-    logs = model.log10_probabilities(before[:, 1:2001:2], vocab.classes(units[1:2001:2]), units[1:2001:2])
+        model.train(units, places, vocab.classes(units), rng)
+    logs = model.text_log10(units, places, vocab.classes(units))[1:2001:2]
     assert logs.mean() > np.log10(1 / 200) + 0.6
 
 
