@@ -90,37 +90,44 @@ def splitters(rows: DataFrame, cells: int, tolerance: float, width: int = 48) ->
 def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, cell_bytes: int = 128 << 20) -> DataFrame:
     """All columns of ``docs`` with ``shard`` (0 to ``shards`` - 1, near equal bytes) and ``slot`` (gapless from 0 in a shard).
 
-    Each shard is cut into cells of about ``cell_bytes``, so the one exchange has tasks of bounded size at any scale.
+    Only the splitters of the shards are searched. For the one exchange a shard is cut into cells of about ``cell_bytes``:
+    equal ranges of the hash, and parts of a text whose copies alone fill more than a cell. What a cell's slots start
+    from comes from a small table of the cells' counts, so tasks stay bounded and the driver holds no row a cell.
     Existing columns named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
-    narrow = docs.select(F.xxhash64(utf8()).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(KEY_MIN + 1)).alias("doc"), size_of().alias("size"))
-    narrow = shared_table(narrow, "shard-keys")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * cell_bytes)))
-    ends = splitters(narrow, shards * per_shard, tolerance / per_shard)
+    key, doc = F.xxhash64(utf8()), F.coalesce(F.col("doc_id").cast("long"), F.lit(KEY_MIN + 1))
+    narrow = shared_table(docs.select(key.alias("_key"), doc.alias("_doc"), size_of().alias("_size")), "shard-keys")
+    total = narrow.agg(F.sum("_size")).first()[0] or 0
+    ends = splitters(narrow.toDF("key", "doc", "size"), shards, tolerance)
     keys, ids = (np.array([e[k] for e in ends], np.int64) for k in (0, 1))
 
     @F.pandas_udf("int")
-    def cell_of(key: pd.Series, doc: pd.Series) -> pd.Series:
+    def shard_of(key: pd.Series, doc: pd.Series) -> pd.Series:
         k, d = key.to_numpy(np.int64), doc.to_numpy(np.int64)
         at = np.searchsorted(keys, k, "left").astype(np.int32)
-        for j in np.unique(keys):
+        for j in np.unique(keys):  # shards - 1 at most
             here = np.flatnonzero(k == j)
             at[here] += np.searchsorted(ids[keys == j], d[here], "right").astype(np.int32)
         return pd.Series(at)
 
-    sizes = {r["cell"]: r["count"] for r in narrow.groupBy(cell_of("key", "doc").alias("cell")).count().collect()}  # a row a cell
-    first, offsets = 0, []
-    for c in range(shards * per_shard):
-        first = 0 if c % per_shard == 0 else first
-        offsets.append(first)
-        first += sizes.get(c, 0)
-    keyed = docs.withColumns({"_key": F.xxhash64(utf8()), "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(KEY_MIN + 1))})
-    keyed = keyed.withColumn("_cell", cell_of("_key", "_doc"))
-    nth = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", "_doc"))
-    offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in offsets)), F.col("_cell") + 1)
-    return keyed.withColumns({"slot": nth + offset - 1, "shard": (F.col("_cell") / per_shard).cast("int")}).drop("_key", "_doc", "_cell")
+    ranges = max(1, -(-total // cell_bytes))
+    hot = narrow.groupBy("_key").agg(F.sum("_size").alias("n")).filter(F.col("n") > cell_bytes)
+    hot = F.broadcast(shared_table(hot.select("_key", F.ceil(F.col("n") / cell_bytes).cast("int").alias("_parts")), "hot"))  # fewer rows than ranges
+
+    def placed(rows: DataFrame) -> DataFrame:
+        at = F.least(F.floor((F.col("_key") / F.lit(float(1 << 64)) + 0.5) * ranges), F.lit(ranges - 1)).cast("int")
+        part = F.pmod(F.xxhash64("_doc"), F.coalesce("_parts", F.lit(1))).cast("int")
+        return rows.withColumns({"_shard": shard_of("_key", "_doc"), "_range": at}).join(hot, "_key", "left").withColumn("_part", part).drop("_parts")
+
+    cell = ["_shard", "_range", "_part"]
+    before = Window.partitionBy("_shard").orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed(narrow).groupBy(*cell).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    starts = shared_table(starts, "cells")
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "_doc"))
+    keyed = placed(docs.withColumns({"_key": key, "_doc": doc})).withColumn("_nth", nth)
+    out = keyed.join(starts, cell).withColumns({"slot": F.col("_start") + F.col("_nth") - 1, "shard": F.col("_shard")})
+    return out.drop("_key", "_doc", "_nth", "_start", *cell)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

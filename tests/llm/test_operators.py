@@ -135,7 +135,13 @@ def test_sharding(spark, awkward, nothing, sf_dir):
     copies = docs.select("doc_id", F.lit("same text").alias("text"))  # one hot group
     sizes = Counter(r["shard"] for r in sharding.shard_documents(copies, 4).collect())
     assert max(sizes.values()) - min(sizes.values()) <= 1
-    assert sharding.shard_documents(awkward).count() == 13
+    small = sharding.shard_documents(docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "copy").otherwise(F.col("text")).alias("text")), 4, cell_bytes=2000).collect()
+    for k in range(4):
+        assert sorted(r["slot"] for r in small if r["shard"] == k) == list(range(sum(r["shard"] == k for r in small)))
+    assert sorted(r["doc_id"] for r in small) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    got = sharding.shard_documents(awkward)
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in got.collect()) == Counter((r["doc_id"], r["text"], r["lang"]) for r in awkward.collect())
+    assert sorted(got.columns) == sorted([*awkward.columns, "slot"])
     assert sharding.shard_documents(nothing).count() == 0
 
 
