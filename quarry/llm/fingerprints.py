@@ -61,27 +61,27 @@ class PrefixHash:
         self.n = len(points)
         self.bases = bases
         self.sums = []
+        self.down = []
         for base in bases:
-            up, _ = powers(base, self.n + 1)
+            up, down = powers(base, self.n + 1)
+            self.down.append(down)
             sums = np.zeros(self.n + 1, np.int64)
             np.cumsum((points + 1) * up[: self.n] % PRIME, out=sums[1:])
             self.sums.append(sums % PRIME)
 
     def spans(self, start: np.ndarray, stop: np.ndarray, k: int = 0) -> np.ndarray:
         """Hashes of the spans [start, stop), each independent of where the span lies."""
-        _, down = powers(self.bases[k], self.n + 1)
-        return (self.sums[k][stop] - self.sums[k][start]) % PRIME * down[start] % PRIME
+        return (self.sums[k][stop] - self.sums[k][start]) % PRIME * self.down[k][start] % PRIME
 
     def span(self, start: int, stop: int) -> tuple[int, ...]:
-        return tuple(int(self.spans(np.array([start]), np.array([stop]), k)[0]) for k in range(len(self.bases)))
+        return tuple((int(s[stop]) - int(s[start])) % PRIME * int(d[start]) % PRIME for s, d in zip(self.sums, self.down, strict=True))
 
     def windows(self, width: int) -> np.ndarray:
         """Hashes of all spans of ``width`` code points; of the whole text if it is shorter."""
         if not self.n:
             return np.empty(0, np.int64)
         width = min(width, self.n)
-        _, down = powers(self.bases[0], self.n + 1)
-        return (self.sums[0][width:] - self.sums[0][:-width]) % PRIME * down[: self.n - width + 1] % PRIME
+        return (self.sums[0][width:] - self.sums[0][:-width]) % PRIME * self.down[0][: self.n - width + 1] % PRIME
 
 
 def same_span(a: PrefixHash, i: int, b: PrefixHash, j: int, length: int) -> bool:
@@ -123,12 +123,16 @@ def sketch(hashes: np.ndarray, keep: int = KEEP) -> np.ndarray:
     return np.unique(x)[:keep]
 
 
-def parts(points: np.ndarray) -> tuple[str, np.ndarray]:
-    held = PrefixHash(points, BASES[:1])
+def parts(points: np.ndarray) -> tuple[str, np.ndarray, PrefixHash]:
+    """Fingerprint, span hashes and prefix arrays of a text."""
+    held = PrefixHash(points)
     low = sketch(held.windows(WINDOW))
-    other, _ = powers(BASES[1], len(points) + 1)
-    whole = int((((points + 1) * other[: len(points)]) % PRIME).sum() % PRIME)
-    return f"{int(held.sums[0][-1]):08x}{whole:08x}{len(points):x}-{low.astype('>u4').tobytes().hex()}", low
+    whole = "".join(f"{int(s[-1]):08x}" for s in held.sums)
+    return f"{whole}{len(points):x}-{low.astype('>u4').tobytes().hex()}", low, held
+
+
+def equal_texts(a: PrefixHash, b: PrefixHash) -> bool:
+    return a.n == b.n and same_span(a, 0, b, 0, a.n)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
@@ -180,7 +184,11 @@ def with_next(docs: DataFrame, cells: int) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame, cells: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited (the edited text), fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited (the edited text), fingerprint, edited_fingerprint, near_edited, near_next, same_edited, same_next.
+
+    near: likeness of the fingerprints, 1 if spans over the whole texts are equal; same: code points that the text shares
+    with the other from the start, by longest common extension.
+    """
     cells = cells or partitions_for(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +198,14 @@ def fingerprint_edits(docs: DataFrame, cells: int | None = None) -> DataFrame:
 
         def close(now: tuple) -> None:
             nonlocal size
-            doc_id, points, own, low = before[1:5]
+            doc_id, points, own, low, held = before[1:]
             half = len(points) // 2
             changed = np.concatenate([points[: len(points) - half], now[2][:half]])
-            edited, edited_low = parts(changed)
+            edited, edited_low, edited_held = parts(changed)
+            near = [1.0 if equal_texts(held, x) else likeness(low, y) for x, y in ((edited_held, edited_low), (now[5], now[4]))]
+            starts = [longest_common_extension(held, 0, x, 0) for x in (edited_held, now[5])]
             text = changed.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            rows.append((doc_id, len(points), text, own, edited, 1.0 if own == edited else likeness(low, edited_low), 1.0 if own == now[3] else likeness(low, now[4])))
+            rows.append((doc_id, len(points), text, own, edited, *near, *starts))
             size += len(text)
 
         for batch in batches:
@@ -213,10 +223,10 @@ def fingerprint_edits(docs: DataFrame, cells: int | None = None) -> DataFrame:
         if rows:  # the last documents of the stream
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     dealt = with_next(docs, cells).repartition(cells, "cell").sortWithinPartitions("cell", "tail", "doc_id", "text")
-    schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
     made = dealt.select("cell", "tail", "doc_id", "text").mapInArrow(run, schema)
     return made.withColumn("doc_id", F.when(F.col("doc_id") > NO_ID, F.col("doc_id")))
 
@@ -224,4 +234,4 @@ def fingerprint_edits(docs: DataFrame, cells: int | None = None) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: fingerprints of every document and of its edited text, with their likeness."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return fingerprint_edits(docs).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return fingerprint_edits(docs).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next")

@@ -193,7 +193,12 @@ def test_fingerprints(spark, awkward, nothing):
         own, following = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 50]
         half = len(own) // 2
         assert r["edited"] == own[: len(own) - half] + following[:half]
+        assert r["n_chars"] == len(own)
         assert r["near_edited"] == fingerprints.fingerprint_likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["edited_fingerprint"] == fingerprints.parts(fingerprints.codes(r["edited"]))[0]
+        assert r["near_next"] == fingerprints.fingerprint_likeness(r["fingerprint"], fingerprints.parts(fingerprints.codes(following))[0])
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert (r["same_edited"], r["same_next"]) == (common(own, r["edited"]), common(own, following))
     got = fingerprints.fingerprint_edits(awkward).collect()
     assert len(got) == 13
     same = {r["fingerprint"] for r in got if r["doc_id"] in (3, 4)}
