@@ -21,7 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,10 @@ class Vocabulary:
     total: int
     distinct: int
 
+    def __post_init__(self):
+        behind = [self.words + zlib.crc32(w[-2:]) % REST for w in islice(self.head, self.words, None)]
+        self.of_head = np.concatenate([np.arange(self.words), np.array(behind, np.int64)])
+
     @property
     def rest(self) -> int:
         """The first class of the rest."""
@@ -93,8 +97,8 @@ class Vocabulary:
 
     def units(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
         """A number for each word's vector: its place, if it has one, or that of its class of the rest behind them."""
-        found = np.where(ids < self.words, ids, -1)
-        for k in np.flatnonzero(found < 0).tolist():
+        found = self.of_head.take(ids)
+        for k in np.flatnonzero(ids < 0).tolist():
             found[k] = self.words + zlib.crc32(words[k][-2:]) % REST
         return found
 
@@ -136,7 +140,10 @@ def vocabulary(words: DataFrame) -> Vocabulary:
 
 
 class LogBilinear:
-    """Vectors Q of what comes before, with a scale for each distance; vectors and biases C, c of classes, W, w of words."""
+    """Vectors Q of what comes before, with a scale for each distance; vectors C of classes and W of words, which end in a bias.
+
+    Predictions end in a one, so that their products with C and W hold the biases.
+    """
 
     def __init__(self, vocab: Vocabulary, seed: int = 5):
         rng, n, m = np.random.default_rng(seed), len(vocab.weight), vocab.words
@@ -146,13 +153,13 @@ class LogBilinear:
         several[: self.single] = 0
         self.word_noise = several / max(several.sum(), 1)
         normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.Q, self.C, self.W = normal(m + REST, WIDTH), normal(n, WIDTH), normal(m, WIDTH)
+        biased = lambda x, share: np.column_stack([x, np.log(np.maximum(share, 1e-12))]).astype(np.float32)
+        self.Q = normal(m + REST, WIDTH)
+        self.C, self.W = biased(normal(n, WIDTH), self.class_noise), biased(normal(m, WIDTH), self.word_noise)
         self.scale = np.ones((CONTEXT, WIDTH), np.float32) / CONTEXT
-        self.c = np.log(self.class_noise).astype(np.float32)
-        self.w = np.log(np.maximum(self.word_noise, 1e-12)).astype(np.float32)
 
     def start_training(self) -> None:
-        self.grown = {k: np.ones_like(getattr(self, k)) for k in ("Q", "C", "W", "c", "w", "scale")}
+        self.grown = {k: np.ones_like(getattr(self, k)) for k in ("Q", "C", "W", "scale")}
         self.met = np.zeros(len(self.Q), np.int64)
 
     def predict(self, before: np.ndarray) -> np.ndarray:
@@ -160,19 +167,20 @@ class LogBilinear:
         out = self.Q[before[0]] * self.scale[0]
         for i in range(1, CONTEXT):
             out += self.Q[before[i]] * self.scale[i]
-        return out
+        return with_one(out)
 
     def window(self, units: np.ndarray, at: int, n: int) -> np.ndarray:
         """Vectors of the units from ``CONTEXT`` before ``at`` on; row CONTEXT + t - 1 - i is the i-th before the t-th."""
         low = max(0, at - CONTEXT)
-        near = self.Q[units[low : at + n]]
+        near = self.Q.take(units[low : at + n], 0)
         return near if low + CONTEXT == at else np.concatenate([np.zeros((CONTEXT - at + low, WIDTH), np.float32), near])
 
     def predictions(self, units: np.ndarray, places: np.ndarray, at: int, n: int, near: np.ndarray) -> np.ndarray:
         """Predictions of the units from ``at`` on in texts laid end to end; places: their places in their texts."""
-        out = near[CONTEXT - 1 : CONTEXT - 1 + n] * self.scale[0]
+        sums = near[CONTEXT - 1 : CONTEXT - 1 + n] * self.scale[0]
         for i in range(1, CONTEXT):
-            out += near[CONTEXT - 1 - i : CONTEXT - 1 - i + n] * self.scale[i]
+            sums += near[CONTEXT - 1 - i : CONTEXT - 1 - i + n] * self.scale[i]
+        out = with_one(sums)
         few = np.flatnonzero(places[at : at + n] < CONTEXT)
         if len(few):
             out[few] = self.predict(contexts(units, places, at + few))
@@ -180,7 +188,7 @@ class LogBilinear:
 
     def text_log10(self, units: np.ndarray, places: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """``log10_probabilities`` of the tokens of texts laid end to end."""
-        guess = np.empty((len(units), WIDTH), np.float32)
+        guess = np.empty((len(units), WIDTH + 1), np.float32)
         for at in range(0, len(units), 4096):
             n = min(4096, len(units) - at)
             guess[at : at + n] = self.predictions(units, places, at, n, self.window(units, at, n))
@@ -189,14 +197,12 @@ class LogBilinear:
     def log10_probabilities(self, guess: np.ndarray, classes: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each class, times that of the word in a class of several words with vectors."""
         out, products = np.empty(len(classes)), np.ascontiguousarray(self.C.T)
-        far = float(np.sqrt((guess**2).sum(1).max(initial=0)))
-        high = lambda vectors, biases: far * float(np.sqrt((vectors**2).sum(1).max())) + float(biases.max())
-        safe = high(self.C, self.c) < 60
-        for at in range(0, len(classes), 1024):
-            part = slice(at, at + 1024)
-            scores = guess[part] @ products
-            scores += self.c
-            out[part] = log_softmax(scores, classes[part], safe)
+        far = float(np.sqrt(np.einsum("nd,nd->n", guess, guess).max(initial=0)))
+        high = lambda vectors: far * float(np.sqrt((vectors[:, :WIDTH] ** 2).sum(1).max())) + float(vectors[:, WIDTH].max())
+        safe = high(self.C) < 60
+        for at in range(0, len(classes), 512):
+            part = slice(at, at + 512)
+            out[part] = log_softmax(guess[part] @ products, classes[part], safe)
         order = np.argsort(classes.astype(np.uint16), kind="stable")
         last = self.single + len(self.edges) - 1
         cuts = np.searchsorted(classes[order], np.arange(self.single, last + 1))
@@ -204,12 +210,10 @@ class LogBilinear:
             a, b = int(self.edges[g]), int(self.edges[g + 1])
             if lo == hi:
                 continue
-            step, safe = max(64, (1 << 18) // (b - a)), high(self.W[a:b], self.w[a:b]) < 60
+            step, safe = max(64, (1 << 17) // (b - a)), high(self.W[a:b]) < 60
             for at in range(lo, hi, step):
                 rows = order[at : min(hi, at + step)]
-                scores = guess[rows] @ self.W[a:b].T
-                scores += self.w[a:b]
-                out[rows] += log_softmax(scores, units[rows] - a, safe)
+                out[rows] += log_softmax(guess.take(rows, 0) @ self.W[a:b].T, units[rows] - a, safe)
         return out / np.log(10)
 
     def push(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
@@ -217,28 +221,30 @@ class LogBilinear:
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix; there are fewer units than that
         rows = rows[order]
         start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g, used, grown = np.add.reduceat(grads[order], start, axis=0), rows[start], self.grown[name]
-        squares = grown[used] + g * g
+        g, used, grown, values = np.add.reduceat(grads.take(order, 0), start, axis=0), rows[start], self.grown[name], getattr(self, name)
+        squares = grown.take(used, 0)
+        squares += g * g
         grown[used] = squares
-        getattr(self, name)[used] -= RATE * g / np.sqrt(squares)
+        g *= RATE
+        g /= np.sqrt(squares, out=squares)
+        values[used] = values.take(used, 0) - g
 
-    def contrast(self, p: np.ndarray, target: np.ndarray, vectors: str, biases: str, noise: np.ndarray, share: np.ndarray) -> np.ndarray:
+    def contrast(self, p: np.ndarray, target: np.ndarray, name: str, noise: np.ndarray, share: np.ndarray) -> np.ndarray:
         """One step of noise-contrastive estimation on the outputs; returns the gradient of the predictions ``p``."""
-        V, v = getattr(self, vectors), getattr(self, biases)
+        V = getattr(self, name)
         lift = np.log(RATIO * share).astype(np.float32)
-        own, other = V[target], V[noise]
-        good = -1 / (1 + np.exp(np.einsum("nd,nd->n", p, own) + v[target] - lift[target]))
-        bad = p @ -other.T
-        bad += lift[noise] - v[noise]
+        own, other = V.take(target, 0), V[noise]
+        good = -1 / (1 + np.exp(np.einsum("nd,nd->n", p, own) - lift.take(target)))
+        away = -other
+        away[:, WIDTH] += lift[noise]
+        bad = p @ away.T
         np.exp(bad, out=bad)
         bad += 1
         np.divide(np.float32(RATIO / NOISE), bad, out=bad)
-        dp = good[:, None] * own
-        dp += bad @ other
-        rows = np.concatenate([target, noise])
-        self.push(vectors, rows, np.concatenate([p * good[:, None], bad.T @ p]))
-        self.push(biases, rows, np.concatenate([good, bad.sum(0)]))
-        return dp
+        own *= good[:, None]
+        own += bad @ other
+        self.push(name, np.concatenate([target, noise]), np.concatenate([p * good[:, None], bad.T @ p]))
+        return own[:, :WIDTH]
 
     def train(self, units: np.ndarray, places: np.ndarray, classes: np.ndarray, rng: np.random.Generator) -> None:
         """One pass over the tokens of texts laid end to end, in batches; the noise of a batch is shared by its tokens."""
@@ -250,10 +256,10 @@ class LogBilinear:
             n = len(t)
             near = self.window(units, at, n)
             p = self.predictions(units, places, at, n, near)
-            dp = self.contrast(p, t, "C", "c", draw(0, len(self.c)), self.class_noise)
+            dp = np.ascontiguousarray(self.contrast(p, t, "C", draw(0, len(self.C)), self.class_noise))
             several = np.flatnonzero((t >= self.single) & (t < self.single + len(self.edges) - 1))
             if len(several):
-                dp[several] += self.contrast(p[several], u[several], "W", "w", draw(1, len(self.w)), np.maximum(self.word_noise, 1e-12))
+                dp[several] += self.contrast(p.take(several, 0), u[several], "W", draw(1, len(self.W)), np.maximum(self.word_noise, 1e-12))
             # What a unit gets from the predictions after it; what lies before a text's start is its end token's.
             gained, scale = np.zeros((n + CONTEXT, WIDTH), np.float32), np.empty((CONTEXT, WIDTH), np.float32)
             ends = np.zeros((1, WIDTH), np.float32)
@@ -274,7 +280,7 @@ class LogBilinear:
 
     def parts(self, seen: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, values, weights) of what training changed: the small parameters, and blocks of words that were met."""
-        small = np.concatenate([x.ravel() for x in (self.C, self.c, self.scale)])
+        small = np.concatenate([self.C.ravel(), self.scale.ravel()])
         yield -1, small.tobytes(), np.full(1, seen, float).tobytes()
         for k in range(0, len(self.Q), BLOCK):
             weight = self.met[k : k + BLOCK].astype(float)
@@ -282,26 +288,32 @@ class LogBilinear:
                 yield k // BLOCK, self.rows(k).tobytes(), weight.tobytes()
 
     def rows(self, k: int) -> np.ndarray:
-        """Q, W and w of a block of words; what lies in the rest has no W."""
+        """Q and W of a block of words; what lies in the rest has no W."""
         q = self.Q[k : k + BLOCK]
         out = np.zeros((len(q), 2 * WIDTH + 1), np.float32)
         out[:, :WIDTH] = q
         w = self.W[k : k + BLOCK]
-        out[: len(w), WIDTH : 2 * WIDTH], out[: len(w), -1] = w, self.w[k : k + BLOCK]
+        out[: len(w), WIDTH:] = w
         return out
 
     def load(self, block: int, values: np.ndarray, weights: np.ndarray) -> None:
         """Take the mean that tasks found."""
         if block < 0:
-            for x, part in zip((self.C, self.c, self.scale), np.split(values, np.cumsum([self.C.size, self.c.size])), strict=True):
+            for x, part in zip((self.C, self.scale), np.split(values, [self.C.size]), strict=True):
                 x[:] = part.reshape(x.shape)
             return
         k, met = block * BLOCK, weights > 0
         rows = values.reshape(-1, 2 * WIDTH + 1)
         self.Q[k : k + BLOCK][met] = rows[met, :WIDTH]
         n = len(self.W[k : k + BLOCK])
-        self.W[k : k + BLOCK][met[:n]] = rows[:n][met[:n], WIDTH : 2 * WIDTH]
-        self.w[k : k + BLOCK][met[:n]] = rows[:n][met[:n], -1]
+        self.W[k : k + BLOCK][met[:n]] = rows[:n][met[:n], WIDTH:]
+
+
+def with_one(vectors: np.ndarray) -> np.ndarray:
+    """The vectors, each with a one at its end."""
+    out = np.empty((len(vectors), WIDTH + 1), np.float32)
+    out[:, :WIDTH], out[:, WIDTH] = vectors, 1
+    return out
 
 
 def log_softmax(scores: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
@@ -326,7 +338,7 @@ def contexts(units: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndar
     return np.where(places[rows] > np.arange(CONTEXT)[:, None], units[np.maximum(back, 0)], 0)
 
 
-def groups(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts) of bounded size from batches of (id, raw)."""
     for batch in batches:
         keys, raws, held = [], [], 0

@@ -411,11 +411,11 @@ def test_language_model_grows(spark):
     before = np.array([[3], [70], [vocab.words + 5], [0]])
     guess = sum(model.Q[before[i, 0]] * model.scale[i] for i in range(lm.CONTEXT))
     exps = lambda x: np.exp(x) / np.exp(x).sum()
-    outer = exps(model.C @ guess + model.c)
+    outer = exps(model.C[:, :-1] @ guess + model.C[:, -1])
     want = np.zeros(vocab.words + lm.REST)
     want[: model.single], want[vocab.words :] = outer[: model.single], outer[vocab.rest :]
     for g, (a, b) in enumerate(zip(model.edges, model.edges[1:], strict=False)):
-        want[a:b] = outer[model.single + g] * exps(model.W[a:b] @ guess + model.w[a:b])
+        want[a:b] = outer[model.single + g] * exps(model.W[a:b, :-1] @ guess + model.W[a:b, -1])
     units = np.arange(len(want))
     found = 10 ** model.log10_probabilities(model.predict(np.repeat(before, len(units), axis=1)), vocab.classes(units), units)
     assert np.allclose(found, want, atol=1e-6)
