@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, languages, lm, merkle, neighbours, packing, quality, sharding, wrappers
+from . import bpe, collocations, credentials, fingerprints, jaccard, languages, lm, merkle, neighbours, packing, quality, sharding, wrappers
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_classifier": quality.query,
     "op9_bpe_codec": bpe.query,
     "op10_nearest_neighbours": neighbours.query,
+    "op11_secret_scans": credentials.query,
+    "op12_collocations": collocations.query,
     "op13_merkle_manifest": merkle.query,
 }
 
@@ -35,5 +37,6 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, m.component_id
 FROM documents d LEFT JOIN sets s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """,
+    "op12_collocations": collocations.ORACLE,
     "op13_merkle_manifest": merkle.oracle(),
 }
