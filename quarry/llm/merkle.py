@@ -87,10 +87,13 @@ def _cascade(arity: int):
                     return
                 level, at, digests, parent = level + 1, [parent % arity], [digest], parent // arity
 
-        def flush(everything: bool) -> pd.DataFrame:
+        def flush(everything: bool, but: tuple | None = None) -> pd.DataFrame:
+            """Nodes made so far and, if asked, partial parents but the one whose pieces may still come."""
             if everything:
+                rest = {but: waiting.pop(but)} if but in waiting else {}
                 out.extend((*key, list(kids), list(kids.values()), None, False) for key, kids in waiting.items())
                 waiting.clear()
+                waiting.update(rest)
             made = pd.DataFrame(out, columns=["tree", "n", "level", "parent", "at", "children", "digest", "is_root"])
             out.clear()
             return made
@@ -98,7 +101,7 @@ def _cascade(arity: int):
         for frame in frames:
             for row in frame[["tree", "n", "level", "parent", "at", "children"]].itertuples(index=False, name=None):
                 merge(*row)
-            yield flush(len(waiting) > MOST_OPEN)
+            yield flush(len(waiting) > MOST_OPEN, row[:4] if len(frame) else None)
         yield flush(True)
 
     return run
@@ -116,7 +119,8 @@ def build(leaves: DataFrame, arity: int) -> tuple[DataFrame, list[DataFrame]]:
             break
         top += LEVELS
         meet = F.expr(f"parent div cast(pow({arity}, greatest({top} - level, 0)) AS long)")
-        events = open_.repartition(partitions_for(leaves), F.col("tree"), F.greatest("level", F.lit(top)), meet)
+        # pieces of a parent lie side by side, so every round completes all parents that it is given
+        events = open_.repartition(partitions_for(leaves), F.col("tree"), F.greatest("level", F.lit(top)), meet).sortWithinPartitions("tree", "level", "parent")
     nodes = tables[0]
     for more in tables[1:]:
         nodes = nodes.union(more)
