@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, history, keyword, personas, relevance, reminders, splitting, vectors
+from ..operators import chunking, history, keyword, personas, questions, relevance, reminders, splitting, vectors
 from ..sources import files
 from . import settings
+from . import turn as turns
 
 QUERY = "What about the then thand of truncated txt src3"
 TERMS = T.terms_of(QUERY)
@@ -490,3 +493,87 @@ def typed_settings(spark, sf_dir):
 def sentinel(spark, sf_dir):
     raw = F.when(F.col("event_id") % 3 == 0, " CLEAR ").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", T.or_clear(raw).alias("reset"))
+
+
+def retrieved_sql(keys: str, asked: str, top_n: int) -> str:
+    """CTEs up to ``best`` (keys, place, doc_id, display_name, content, score) for the questions of ``asked`` (keys, question)."""
+    using = f"USING ({keys}, doc_id)"
+    low = "lower(display_name)"
+    name = f"contains(' ' || {low} || ' ', ' ' || term || ' ') OR starts_with({low}, term || '_') OR ends_with({low}, '_' || term) OR list_contains(string_split(replace({low}, '.', '_'), '_'), term)"
+    return rf"""{NAMED}, {CUT}, asked AS ({asked}),
+ wanted AS (SELECT {keys}, unnest(list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z_]{{3,}}')), lambda x: NOT list_contains({STOPS}, x))) AS term FROM asked),
+ terms AS (SELECT DISTINCT term FROM wanted), l AS (SELECT doc_id, trim(unnest(string_split(content, chr(10)))) AS x FROM cut),
+ low AS (SELECT doc_id, lower(x) AS x, length(x) <= 40 AND regexp_matches(x, '^\p{{Lu}}') AND NOT contains(x, ' ') AS header FROM l WHERE x <> ''),
+ points AS (SELECT doc_id, term, CASE WHEN header THEN 10 ELSE 2 * least((length(x) - length(replace(x, term, ''))) // length(term), 4) END AS p FROM low JOIN terms ON contains(x, term)
+  UNION ALL SELECT doc_id, term, 15 FROM cut JOIN terms ON {name}),
+ summed AS (SELECT {keys}, doc_id, sum(p) AS p FROM wanted JOIN (SELECT doc_id, term, sum(p) AS p FROM points GROUP BY ALL) USING (term) GROUP BY ALL),
+ ranked AS (SELECT {keys}, doc_id, display_name, content, coalesce(p, 0)::BIGINT AS score, row_number() OVER (PARTITION BY {keys} ORDER BY coalesce(p, 0) DESC, display_name, doc_id) AS place
+  FROM asked CROSS JOIN cut LEFT JOIN summed {using}), best AS (SELECT * FROM ranked WHERE place <= {top_n})"""
+
+
+@registered("keyword_topk_many", f"WITH {retrieved_sql('conv_id, turn', "SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'", 5)} SELECT conv_id, turn, place, doc_id, display_name, score FROM best")
+def keyword_topk_many(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    found = questions.top_documents_many(named_documents(spark, sf_dir), asked, ["conv_id", "turn"], 5)
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
+TURN = turns.Turn(rounds=2, most_docs=3, default_persona="0", default_prompt="Be helpful.", default_model="base-model")
+TURNS = rf"""{retrieved_sql('conv_id', "SELECT conv_id, max_by(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id", 3)},
+ context AS (SELECT conv_id, '=== Knowledge Base: kb ===' || chr(10) || chr(10) || string_agg(chr(10) || '--- ' || display_name || ' ---' || chr(10) || content, chr(10) ORDER BY place) AS context FROM best GROUP BY conv_id),
+ who AS (SELECT conv_id, question, n_name AS display, CASE WHEN n_regionkey = 0 THEN 'Be helpful.' ELSE 'Speak as ' || n_name END || chr(10) || chr(10) || 'Relevant knowledge-base context:' || chr(10) || chr(10) || context AS system
+  FROM asked JOIN context USING (conv_id) JOIN nation ON n_nationkey = CASE WHEN conv_id % 3 = 2 THEN 0 ELSE conv_id % 25 END),
+ said AS (SELECT conv_id, display, system, CASE WHEN conv_id % 2 = 0 THEN '**ann:** ' || question ELSE question END AS content FROM who),
+ prompt AS (SELECT conv_id, 0 AS section, 0::BIGINT AS turn, 'system' AS role, system AS content FROM said
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM {LAST} JOIN said USING (conv_id) WHERE k <= 4 UNION ALL SELECT conv_id, 2, 0, 'user', content FROM said),
+ reply AS (SELECT conv_id, display, content, replace(system, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || content AS reply FROM said)"""
+
+
+def echoed(prompt: str) -> str:
+    """A stand-in for a model: the system message in paragraphs, then the last message."""
+    messages = json.loads(prompt)["messages"]
+    return "\n\n".join((messages[0]["content"].replace("\n", "\n\n"), messages[-1]["content"]))
+
+
+def prepared_turns(spark, sf_dir):
+    """Every conversation's last user message as a new turn, to personas made of nations."""
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    last = history.last_user_message(rows, ["conv_id"])
+    nation = table(spark, sf_dir, "nation")
+    prompt = F.when(F.col("n_regionkey") == 0, "").otherwise(F.concat(F.lit("Speak as "), "n_name"))
+    known = nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("display"), F.lit("").alias("model"), prompt.alias("system_prompt"))
+    names = nation.select(F.col("n_nationkey").alias("_n"), F.lower("n_name").alias("_name"))
+    character = F.when(F.col("conv_id") % 3 == 0, F.col("_name")).when(F.col("conv_id") % 3 == 1, F.col("_n").cast("string")).otherwise("nobody")
+    asked = last.join(F.broadcast(names), F.col("_n") == F.col("conv_id") % 25).select("conv_id", F.col("last_user_message").alias("content"), F.when(F.col("conv_id") % 2 == 0, "ann").alias("username"), character.alias("character"))
+    return rows, *turns.prompts(asked, rows, named_documents(spark, sf_dir), known, ["conv_id"], TURN)
+
+
+@registered("turn_prompts", f"WITH {TURNS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY section, turn) AS seq, role, content FROM prompt")
+def turn_prompts(spark, sf_dir):
+    return prepared_turns(spark, sf_dir)[2].withColumn("seq", F.col("seq").cast("long"))
+
+
+@registered("turn_parts", rf"""
+WITH {TURNS}, sized AS (SELECT conv_id, reply AS text, '--- ' || display || ' ---' || chr(10) AS lead FROM reply),
+ pieces AS (SELECT conv_id, text, lead, flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: CASE WHEN length(p) > 1900 - length(lead)
+   THEN list_prepend({{'done': []::VARCHAR[], 'body': '', 'glue': 'flush'}}, list_transform(regexp_extract_all(p, '\S+'), lambda w: {{'done': []::VARCHAR[], 'body': w, 'glue': ' '}}))
+   ELSE [{{'done': []::VARCHAR[], 'body': p, 'glue': chr(10) || chr(10)}}] END)) AS x FROM sized),
+ folded AS (SELECT conv_id, text, lead, list_reduce(x, lambda a, p: CASE WHEN p.glue = 'flush' THEN {{'done': list_append(a.done, a.body), 'body': '', 'glue': ''}}
+   WHEN length(CASE WHEN a.body = '' THEN p.body ELSE a.body || p.glue || p.body END) <= 1900 - length(lead) THEN {{'done': a.done, 'body': CASE WHEN a.body = '' THEN p.body ELSE a.body || p.glue || p.body END, 'glue': ''}}
+   ELSE {{'done': list_append(a.done, a.body), 'body': p.body, 'glue': ''}} END, {{'done': []::VARCHAR[], 'body': '', 'glue': ''}}) AS f FROM pieces),
+ sent AS (SELECT conv_id, CASE WHEN length(text) + length(lead) <= 1900 THEN [text] ELSE list_transform(list_filter(list_append(f.done, f.body), lambda b: regexp_matches(b, '\S')), lambda b: trim(lead || b, ' ' || chr(10) || chr(9) || chr(13))) END AS c FROM folded),
+ every AS (SELECT conv_id, unnest(c) AS t, generate_subscripts(c, 1) AS part, len(c) AS parts FROM sent)
+SELECT conv_id, part, parts, CASE WHEN parts > 1 THEN '[' || part || '/' || parts || '] ' || t ELSE t END AS text FROM every""")
+def turn_parts(spark, sf_dir):
+    _, asked, prompt_rows = prepared_turns(spark, sf_dir)
+    parts = turns.reply_parts(turns.replies(asked, prompt_rows, [echoed], ["conv_id"]), ["conv_id"])
+    return parts.withColumns({c: F.col(c).cast("long") for c in ("part", "parts")})
+
+
+@registered("turn_history", f"""
+WITH {TURNS}, grown AS (SELECT conv_id, turn, role, text AS content FROM conversations UNION ALL SELECT conv_id, t + 1, 'user', content FROM reply JOIN (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY conv_id) USING (conv_id)
+ UNION ALL SELECT conv_id, t + 2, 'assistant', reply FROM reply JOIN (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY conv_id) USING (conv_id))
+SELECT conv_id, turn, role, content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM grown) WHERE k <= 4""")
+def turn_history(spark, sf_dir):
+    rows, asked, prompt_rows = prepared_turns(spark, sf_dir)
+    return turns.kept_history(rows, turns.replies(asked, prompt_rows, [echoed], ["conv_id"]), ["conv_id"], TURN)
