@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,15 +37,41 @@ def base_score(tokens: Column, tfidf: Column, query: list[str]) -> Column:
     return matched + more * OVERLAP
 
 
+def ratio_bound(tokens: Column, query: list[str]) -> Column:
+    """At least the ratio of matching blocks: twice the tokens in common, as a multiset, over all tokens."""
+    words = F.coalesce(tokens, F.array().cast("array<string>"))
+    common = [F.least(F.size(F.filter(words, lambda x, t=t: x == t)), F.lit(n)) for t, n in Counter(query).items()]
+    return 2.0 * sum(common[1:], common[0]) / (F.size(words) + F.lit(len(query)))
+
+
+def contenders(hit: DataFrame, query: list[str], top_n: int) -> DataFrame:
+    """Rows of ``hit`` (base, tokens) that can be among the best ``top_n``: their bound reaches the ``top_n``-th base score."""
+    lowest = hit.select("base").orderBy(F.desc("base")).limit(top_n).agg(F.min("base").alias("least"), F.count("*").alias("n")).first()
+    if lowest["n"] < top_n:
+        return hit
+    near = hit.filter(F.col("base") * (1 + BONUS) >= F.lit(lowest["least"]))  # before the tokens are counted
+    return near.filter(F.col("base") * (1 + ratio_bound(F.col("tokens"), query) * BONUS) >= F.lit(lowest["least"]))
+
+
+def ranked(hit: DataFrame, query: list[str], top_n: int | None) -> DataFrame:
+    """Rows of ``hit`` (base, tokens) with score, best first; ties in the order of doc_id and chunk."""
+    if top_n is not None:
+        if top_n <= 0:
+            return hit.withColumn("score", F.lit(0.0)).drop("base").limit(0)
+        hit = contenders(hit, query, top_n)
+    scored = hit.withColumn("score", F.col("base") * (1 + sequence_ratio(query)(F.col("tokens")) * BONUS)).drop("base")
+    ordered = scored.orderBy(F.desc("score"), "doc_id", "chunk_ix")
+    return ordered if top_n is None else ordered.limit(top_n)
+
+
 def relevant_chunks(index: DataFrame, query: str, top_n: int | None = None) -> DataFrame:
     """Chunks of an index (tokens, tfidf) with a score above 0, best first; ties in the order of doc_id and chunk.
 
-    A query without tokens finds nothing. Only chunks with a base score reach the sequence comparison.
+    A query without tokens finds nothing. Only chunks with a base score reach the sequence comparison, and with ``top_n``
+    only those whose bound is not below the ``top_n``-th base score.
     """
     words = query_tokens(index.sparkSession, query)
     if not words:
         return index.withColumn("score", F.lit(0.0)).limit(0)
     hit = index.withColumn("base", base_score(F.col("tokens"), F.col("tfidf"), words)).filter(F.col("base") > 0)
-    scored = hit.withColumn("score", F.col("base") * (1 + sequence_ratio(words)(F.col("tokens")) * BONUS)).drop("base")
-    ordered = scored.orderBy(F.desc("score"), "doc_id", "chunk_ix")
-    return ordered if top_n is None else ordered.limit(top_n)
+    return ranked(hit, words, top_n)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, history, keyword, personas, questions, relevance, reminders, splitting, vectors
-from ..sources import files
+from ..sources import files, postings, shared
 from . import settings
 from . import turn as turns
 
@@ -577,3 +578,27 @@ SELECT conv_id, turn, role, content FROM (SELECT *, row_number() OVER (PARTITION
 def turn_history(spark, sf_dir):
     rows, asked, prompt_rows = prepared_turns(spark, sf_dir)
     return turns.kept_history(rows, turns.replies(asked, prompt_rows, [echoed], ["conv_id"]), ["conv_id"], TURN)
+
+
+@registered("indexed_relevance", ORACLES["relevance_base"])
+def indexed_relevance(spark, sf_dir):
+    """As relevance_base, from a written inverted index of which only the asked terms' buckets are read."""
+    from pyspark.sql import Window
+
+    path = f"{shared.shared_dir(spark)}/chunk-postings-{uuid.uuid4().hex}"
+    postings.write_index(chunking.indexed(line_chunks(spark, sf_dir)), path, 64)
+    rows = postings.base_scores(spark, path, ASKED).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.round("base", 6).alias("base")).filter("base > 0")
+    return rows.withColumn("place", F.rank().over(Window.orderBy(F.desc("base"))).cast("long"))  # the query's hits
+
+
+@registered("cosine_topk_many", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ pairs AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.e, q.e), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(v.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.e, lambda x: x * x)))) AS sim
+  FROM v q, v WHERE q.vec_id % 5 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place, vec_id, round(sim, 6) AS sim FROM pairs WHERE sim > 0 QUALIFY place <= 10""")
+def cosine_topk_many(spark, sf_dir):
+    """Queries: the vectors whose vec_id is divisible by 5; against all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    found = vectors.top_similar_many(rows, asked, ["query_id"], 10)
+    return found.withColumns({"place": F.col("place").cast("long"), "sim": F.round("sim", 6)})
