@@ -40,7 +40,8 @@ def base_score(tokens: Column, tfidf: Column, query: list[str]) -> Column:
 def ratio_bound(tokens: Column, query: list[str]) -> Column:
     """At least the ratio of matching blocks: twice the tokens in common, as a multiset, over all tokens."""
     words = F.coalesce(tokens, F.array().cast("array<string>"))
-    common = [F.least(F.size(F.filter(words, lambda x, t=t: x == t)), F.lit(n)) for t, n in Counter(query).items()]
+    held = lambda t: F.size(F.filter(words, lambda x: x == F.lit(t)))
+    common = [F.least(held(t), F.lit(n)) for t, n in Counter(query).items()]
     return 2.0 * sum(common[1:], common[0]) / (F.size(words) + F.lit(len(query)))
 
 

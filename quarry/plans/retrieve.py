@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from ..operators import chunking, keyword, relevance, vectors
+from ..sources import kept
 
 log = logging.getLogger(__name__)
 
@@ -30,3 +32,23 @@ def retrieve(docs: DataFrame, query: str, strategy: str = "keyword", top_n: int
     elif strategy != "keyword":
         log.warning("unknown strategy %s; documents are ranked by keywords", strategy)
     return keyword.top_documents(docs, query, top_n)
+
+
+def retrieve_by_index(docs: DataFrame, query: str, root: str, store: str, embed: Callable[[list[str]], list[list[float] | None]], top_n: int = 5, order: str = "similarity", dimension: int | None = None) -> DataFrame:
+    """``retrieve`` by vectors kept for ``root``; by keywords, with a warning, if the index fails or has no vectors.
+
+    A blank query, or one that can't be embedded, finds nothing.
+    """
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    try:
+        held = kept.kept_vectors(docs, store, root, embed, dimension)
+    except Exception as failed:  # noqa: BLE001  whatever the model raises
+        log.warning("no index of %s: %s", root, failed)
+        held = None
+    vector = None
+    if held is not None and query.strip():
+        try:
+            vector = embed([query])[0]
+        except Exception as failed:  # noqa: BLE001
+            log.warning("the query can't be embedded: %s", failed)
+    return retrieve(docs, query, "vector", top_n, held, vector, order=order)

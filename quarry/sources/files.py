@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from . import scan
+from .shared import file_system
 
 MOST_UPLOAD = 20 << 20
 SIDECAR = ".chunks.jsonl"
@@ -34,12 +36,6 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return listed.select("path", "name", "length", F.timestamp_millis("millis").alias("modified"))
 
 
-def file_system(spark: SparkSession, root: str):
-    """Hadoop file system and path of a root."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), top
-
-
 def root_directories(spark: SparkSession, root: str) -> DataFrame:
     """Names of the folders directly below a root, empty ones too, sorted."""
     fs, top = file_system(spark, root)
@@ -64,14 +60,32 @@ def path_order(path: str = "path") -> Column:
     return F.split(path, "/")
 
 
-def catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """name, size, modified (ISO, UTC), sha256 (16 digits) of every file but sidecars, by name."""
-    listed = list_files(spark, root).filter(~F.contains("name", F.lit("?")) & ~F.endswith("name", F.lit(SIDECAR)))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("sha"))
-    empty = F.when(F.col("length") == 0, F.sha2(F.lit(b""), 256))
-    sha = F.coalesce("sha", empty, F.lit("unreadable"))
-    rows = listed.join(raw, "path", "left")
-    return rows.select("name", F.col("length").alias("size"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("modified"), F.substring(sha, 1, 16).alias("sha256")).orderBy("name")
+def catalogue(spark: SparkSession, root: str, subfolder: str | None = None, recursive: bool = True, opener: scan.Opener | None = None) -> DataFrame:
+    """name, filename, size, modified (ISO, UTC), sha256 (16 digits, or ``unreadable``) of every file but sidecars, by name.
+
+    With a subfolder names are relative to it; without ``recursive`` only what lies directly there counts. A missing
+    root or subfolder has no rows, a subfolder that leaves the root is an error. One unreadable file doesn't hide others.
+    """
+    if subfolder and (subfolder.startswith("/") or ".." in subfolder.replace("\\", "/").split("/")):
+        raise ValueError("a subfolder may not leave the root")
+    top = f"{root.rstrip('/')}/{subfolder.strip('/')}" if subfolder else root
+    if scan.readable(top):
+        found = scan.read_each(_counted(scan.listed(spark, top, recursive)).filter("error IS NULL"), top, opener=opener)
+        rows = found.select("name", "length", "modified", F.col("sha256").alias("sha"))
+    else:  # a store that only Spark's readers open
+        listed = _counted(list_files(spark, top))
+        listed = listed if recursive else listed.filter(~F.contains("name", F.lit("/")))
+        some = not listed.isEmpty()
+        raw = spark.read.format("binaryFile").options(recursiveFileLookup=True, ignoreCorruptFiles=True, ignoreMissingFiles=True).load(top) if some else spark.createDataFrame([], "path string, content binary")
+        sha = F.coalesce("sha", F.when(F.col("length") == 0, F.sha2(F.lit(b""), 256)))
+        rows = listed.join(raw.select("path", F.sha2("content", 256).alias("sha")), "path", "left").select("name", "length", "modified", sha.alias("sha"))
+    modified = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("modified")
+    return rows.select("name", F.element_at(F.split("name", "/"), -1).alias("filename"), F.col("length").alias("size"), modified, F.substring(F.coalesce("sha", F.lit("unreadable")), 1, 16).alias("sha256")).orderBy("name")
+
+
+def _counted(files: DataFrame) -> DataFrame:
+    """Files of a listing (name) that count: no sidecars, no names with a question mark."""
+    return files.filter(~F.contains(F.element_at(F.split("name", "/"), -1), F.lit("?")) & ~F.endswith("name", F.lit(SIDECAR)))
 
 
 def largest(files: DataFrame, top_n: int = 5) -> DataFrame:
