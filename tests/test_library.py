@@ -1,7 +1,6 @@
 """Hand-computed cases of the retrieval and conversation operators."""
 
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,22 +169,6 @@ def test_one_exchange_of_tfidf(spark):
     assert plan.count("Exchange") == 1
 
 
-def test_due_reminders_stream(spark, tmp_path):
-    from quarry.streaming.conversation import due_reminders
-
-    (tmp_path / "in").mkdir()
-    schema = "id long, message string, delay long"
-    spark.createDataFrame([(1, "soon", 1), (2, "late", 3600)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = due_reminders(rows).writeStream.outputMode("append").format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
-    for _ in range(60):
-        time.sleep(0.5)
-        if spark.table("due").count():
-            break
-    query.stop()
-    assert [(r.id, r.message) for r in spark.table("due").collect()] == [(1, "soon")]
-
-
 def test_numbers_and_sentinels(spark):
     for raw, found in (("10", 10), (" +1_0 ", 10), ("1__0", 3), ("", 3), (None, 3), ("x", 3), ("-4", -4)):
         assert value(spark, T.safe_int(F.lit(raw).cast("string"), 3)) == found
@@ -199,16 +182,3 @@ def test_model_fallback(spark):
 
     rows = spark.createDataFrame([(1, "x")], "id long, prompt string")
     assert apply_model(rows, [fails, lambda p: p.upper()]).first()["reply"] == "X"
-
-
-def test_stream(spark, tmp_path):
-    from quarry.streaming.conversation import bounded_history
-
-    schema = "guild_id long, channel_id long, turn long, role string, content string"
-    rows = [(1, 1, 0, "user", "a"), (1, 1, 1, "assistant", "b"), (1, 1, 2, "user", "c"), (1, 2, 0, "user", "d"), (1, 2, 1, "clear", "")]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = bounded_history(events, 1).writeStream.outputMode("update").format("memory").queryName("histories").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert {(r.channel_id, r.kept) for r in spark.table("histories").collect()} == {(1, 2), (2, 0)}
