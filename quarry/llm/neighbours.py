@@ -45,9 +45,12 @@ def matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1) if n else np.empty((0, 0), kind)
 
 
-def leaf_edges(nodes: DataFrame, width: int, near: int) -> DataFrame:
-    """block, u, v, sim: the nearest nodes of each node in its leaf of each of some random-hyperplane trees."""
-    bits = max(0, int(np.ceil(np.log2(BLOCK_ROWS / LEAF))))
+def leaf_edges(nodes: DataFrame, width: int, near: int, rows: float) -> DataFrame:
+    """block, u, v, sim: the nearest nodes of each node in its leaf of each of some random-hyperplane trees.
+
+    ``rows``: nodes of a block on average, of which leaves hold about ``LEAF``.
+    """
+    bits = int(np.ceil(np.log2(max(1.0, rows / LEAF))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(3).normal(size=(width, TREES * bits)).astype(np.float32)
@@ -240,7 +243,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     nodes = shared_table(nodes, "nodes")
     width = len((nodes.select("vector").first() or [[]])[0])
     small = nodes.select("block", "node", F.col("vector").cast("array<float>").alias("vector"))
-    edges = shared_table(best_edges(leaf_edges(small, width, NEAR), NEAR), "edges")
+    edges = shared_table(best_edges(leaf_edges(small, width, NEAR, counted / blocks), NEAR), "edges")
     while True:
         before, edges = edges, shared_table(descend(edges, small, NEAR, JOINED), "edges")
         forget(before)
