@@ -1,8 +1,9 @@
 """Sharding by histogram sort: exact byte counts below candidate boundaries, refined until splitters fit, then one exchange.
 
-Rows are ordered by the hash of their text, so that equal texts lie together, then by doc_id. Splitters fall between
-texts where that stays within the tolerance, and inside a group of equal texts otherwise. Null texts count as empty
-with one byte. Repeated rows stay together at a boundary. Empty input gives no rows.
+Rows are ordered by the hash of their text, so that equal texts lie together, then by doc_id, then by their place in a
+table. Splitters fall between texts where that stays within the tolerance, inside a group of equal texts otherwise, and
+inside a group of repeated rows (or of null ids) if need be. Null texts count as empty with one byte. Empty input gives
+no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import shared_table, utf8
 
 KEY_MIN, KEY_MAX = -(1 << 63), (1 << 63) - 1
+#: Rows of a table of hot texts that may be broadcast.
+MOST_HOT = 100_000
 
 
 def size_of(column: str = "text") -> Column:
@@ -65,25 +68,28 @@ def refine(rows: DataFrame, column: str, targets: list[int], low: int, high: int
     return done
 
 
-def splitters(rows: DataFrame, cells: int, tolerance: float, width: int = 48) -> list[tuple[int, int]]:
-    """(key, doc_id) below which each cell but the last ends. ``rows``: key, doc, size."""
-    found = rows.agg(F.sum("size").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).first()
+def splitters(rows: DataFrame, cells: int, tolerance: float, width: int = 48) -> list[tuple[int, int, int]]:
+    """(key, doc_id, place) below which each cell but the last ends. ``rows``: key, doc, place, size."""
+    found = rows.agg(F.sum("size").alias("n"), *(f(c).alias(f"{c}{k}") for c in ("doc", "place") for k, f in enumerate((F.min, F.max)))).first()
     total = found["n"] or 0
     if not total or cells < 2:
         return []
-    targets = [total * (k + 1) // cells for k in range(cells - 1)]
+    out = [(KEY_MIN, KEY_MIN, KEY_MIN)] * (cells - 1)
+
     slack = int(total / cells * tolerance)
-    out: list[tuple[int, int]] = []
-    inside: dict[int, list[tuple[int, int]]] = {}
-    got = refine(rows, "key", targets, KEY_MIN, KEY_MAX, slack, width)
-    for i, (key, below, above) in enumerate(got):
-        out.append((key, KEY_MIN))
-        if above:  # a group of equal texts spans the target: split it by doc_id
-            inside.setdefault(key, []).append((i, targets[i] - below))
-    for key, wanted in inside.items():
-        group = rows.filter(F.col("key") == key)
-        for (i, _), (doc, _, _) in zip(wanted, refine(group, "doc", [w for _, w in wanted], found["a"], found["b"] + 1, 0, width), strict=True):
-            out[i] = (key, doc)
+
+    def split(group: DataFrame, columns: list[str], before: tuple[int, ...], wanted: list[tuple[int, int]]) -> None:
+        """Boundaries of (cell, bytes below it in the group) by the first column, inside its groups by the next."""
+        column, inside = columns[0], {}
+        low, high = (KEY_MIN, KEY_MAX) if column == "key" else (found[f"{column}0"], found[f"{column}1"] + 1)
+        for (i, target), (value, below, above) in zip(wanted, refine(group, column, [w for _, w in wanted], low, high, slack, width), strict=True):
+            out[i] = (*before, value, KEY_MIN, KEY_MIN)[:3]
+            if above and len(columns) > 1:  # rows equal in this column span the target
+                inside.setdefault(value, []).append((i, target - below))
+        for value, more in inside.items():
+            split(group.filter(F.col(column) == value), columns[1:], (*before, value), more)
+
+    split(rows, ["key", "doc", "place"], (), [(k, total * (k + 1) // cells) for k in range(cells - 1)])
     return sorted(out)
 
 
@@ -97,37 +103,42 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
     """
     docs = docs.drop("shard", "slot")
     key, doc = F.xxhash64(utf8()), F.coalesce(F.col("doc_id").cast("long"), F.lit(KEY_MIN + 1))
-    narrow = shared_table(docs.select(key.alias("_key"), doc.alias("_doc"), size_of().alias("_size")), "shard-keys")
-    total = narrow.agg(F.sum("_size")).first()[0] or 0
-    ends = splitters(narrow.toDF("key", "doc", "size"), shards, tolerance)
-    keys, ids = (np.array([e[k] for e in ends], np.int64) for k in (0, 1))
+    # Places are those of the rows in this table's files, whatever order the input would come in if read again.
+    held = shared_table(docs.withColumns({"_key": key, "_doc": doc, "_size": size_of()}), "shard-rows")
+    held = held.withColumn("_place", F.monotonically_increasing_id())
+    total = held.agg(F.sum("_size")).first()[0] or 0
+    ends = splitters(held.select("_key", "_doc", "_place", "_size").toDF("key", "doc", "place", "size"), shards, tolerance)
+    edges = np.array(ends, np.int64).reshape(-1, 3)
 
     @F.pandas_udf("int")
-    def shard_of(key: pd.Series, doc: pd.Series) -> pd.Series:
-        k, d = key.to_numpy(np.int64), doc.to_numpy(np.int64)
-        at = np.searchsorted(keys, k, "left").astype(np.int32)
-        for j in np.unique(keys):  # shards - 1 at most
-            here = np.flatnonzero(k == j)
-            at[here] += np.searchsorted(ids[keys == j], d[here], "right").astype(np.int32)
+    def shard_of(key: pd.Series, doc: pd.Series, place: pd.Series) -> pd.Series:
+        row = [c.to_numpy(np.int64) for c in (key, doc, place)]
+        at = np.searchsorted(edges[:, 0], row[0], "left").astype(np.int32)
+        for j in np.unique(edges[:, 0]):  # shards - 1 at most
+            here = np.flatnonzero(row[0] == j)
+            if len(here):
+                for _, d, p in edges[edges[:, 0] == j]:
+                    at[here] += (row[1][here] > d) | ((row[1][here] == d) & (row[2][here] >= p))
         return pd.Series(at)
 
     ranges = max(1, -(-total // cell_bytes))
-    hot = narrow.groupBy("_key").agg(F.sum("_size").alias("n")).filter(F.col("n") > cell_bytes)
-    hot = F.broadcast(shared_table(hot.select("_key", F.ceil(F.col("n") / cell_bytes).cast("int").alias("_parts")), "hot"))  # fewer rows than ranges
+    hot = held.groupBy("_key").agg(F.sum("_size").alias("n")).filter(F.col("n") > cell_bytes)
+    hot = shared_table(hot.select("_key", F.ceil(F.col("n") / cell_bytes).cast("int").alias("_parts")), "hot")
+    hot = F.broadcast(hot) if ranges <= MOST_HOT else hot  # fewer rows than ranges
 
     def placed(rows: DataFrame) -> DataFrame:
         at = F.least(F.floor((F.col("_key") / F.lit(float(1 << 64)) + 0.5) * ranges), F.lit(ranges - 1)).cast("int")
-        part = F.pmod(F.xxhash64("_doc"), F.coalesce("_parts", F.lit(1))).cast("int")
-        return rows.withColumns({"_shard": shard_of("_key", "_doc"), "_range": at}).join(hot, "_key", "left").withColumn("_part", part).drop("_parts")
+        part = F.pmod(F.xxhash64("_doc", "_place"), F.coalesce("_parts", F.lit(1))).cast("int")
+        return rows.withColumns({"_shard": shard_of("_key", "_doc", "_place"), "_range": at}).join(hot, "_key", "left").withColumn("_part", part).drop("_parts")
 
     cell = ["_shard", "_range", "_part"]
     before = Window.partitionBy("_shard").orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed(narrow).groupBy(*cell).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    starts = placed(held.select("_key", "_doc", "_place")).groupBy(*cell).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     starts = shared_table(starts, "cells")
-    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "_doc"))
-    keyed = placed(docs.withColumns({"_key": key, "_doc": doc})).withColumn("_nth", nth)
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "_doc", "_place"))
+    keyed = placed(held).withColumn("_nth", nth)
     out = keyed.join(starts, cell).withColumns({"slot": F.col("_start") + F.col("_nth") - 1, "shard": F.col("_shard")})
-    return out.drop("_key", "_doc", "_nth", "_start", *cell)
+    return out.drop("_key", "_doc", "_place", "_size", "_nth", "_start", *cell)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

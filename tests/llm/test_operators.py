@@ -139,6 +139,11 @@ def test_sharding(spark, awkward, nothing, sf_dir):
     for k in range(4):
         assert sorted(r["slot"] for r in small if r["shard"] == k) == list(range(sum(r["shard"] == k for r in small)))
     assert sorted(r["doc_id"] for r in small) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    repeated = spark.createDataFrame([(None, None)] * 4000 + [(k, "x" * 100) for k in range(50)], "doc_id long, text string").repartition(3)
+    spread = sharding.shard_documents(repeated).withColumn("size", sharding.size_of()).groupBy("shard").agg(F.sum("size").alias("n"), F.max("slot").alias("last"), F.count("*").alias("rows")).collect()
+    assert len(spread) == 16
+    assert all(abs(r["n"] - 9050 / 16) <= 101 for r in spread)
+    assert all(r["last"] == r["rows"] - 1 for r in spread)
     got = sharding.shard_documents(awkward)
     assert Counter((r["doc_id"], r["text"], r["lang"]) for r in got.collect()) == Counter((r["doc_id"], r["text"], r["lang"]) for r in awkward.collect())
     assert sorted(got.columns) == sorted([*awkward.columns, "slot"])
@@ -470,6 +475,23 @@ def test_neighbours(spark, nothing):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 12, 30, 45, 60, 100, 1000])
+def test_neighbours_of_few(spark, n):
+    """Small tables, by the same path as large ones."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    every = neighbours.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    got, hits, wanted = {}, 0, 0
+    for r in every.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(np.argsort(-s, kind="stable")[: min(20, n - 1)].tolist())
+        assert len(got[q]) == len(want)
+        hits, wanted = hits + len(want & got[q]), wanted + len(want)
+    assert hits >= 0.95 * wanted
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     """Several blocks and parts of queries find what brute force finds; repeated ids and many copies do no harm."""
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
