@@ -10,6 +10,7 @@ Null and empty texts become one piece with the end token. Equal rows are packed
 from __future__ import annotations
 
 import base64
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -147,10 +148,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
+#: Lengths that are looked at in the time of one step of an enumeration, about.
+COST = 64
+#: Parts into which the shares of the bin that a bound counts are divided, at most.
+PARTS = 12
+
+
 def waste_bound(counts: dict[int, int], limit: int) -> int:
-    """Least number of bins by the L2 bound: large items need bins of their own, and some of their waste is certain."""
+    """Least number of bins: the best of bounds by certain waste.
+
+    Room that no multiple of the lengths' common divisor reaches is wasted in every bin. Large items need bins of their
+    own (L2), and if n + 1 items of a length don't fit, each takes an n-th of a bin (dual feasible functions).
+    """
     k = np.array(sorted(counts), np.int64)
     v = np.array([counts[x] for x in k.tolist()], np.int64)
+    if not len(k):
+        return 0
+    limit -= limit % math.gcd(*k.tolist())
     items, sums = (np.concatenate([[0], np.cumsum(x)]) for x in (v, k * v))
     half = int(np.searchsorted(k, limit // 2, "right"))
     floors = np.concatenate([[0], k[:half]])
@@ -160,7 +174,21 @@ def waste_bound(counts: dict[int, int], limit: int) -> int:
     room = large * limit - (sums[top] - sums[half])
     small = sums[half] - sums[np.searchsorted(k, floors)]
     more = np.maximum(0, -(-(small - room) // limit))
-    return int(max(-(-sums[-1] // limit), (huge + large + more).max()))
+    n = np.arange(1, PARTS)[:, None]
+    parts, exact = (n + 1) * k // limit, (n + 1) * k % limit == 0
+    shares = ((np.where(exact, 0, parts) * v).sum(1) * limit + (np.where(exact, k, 0) * v).sum(1) * n[:, 0], limit * n[:, 0])
+    return int(max((huge + large + more).max(), (-(-shares[0] // shares[1])).max()))
+
+
+class Steps:
+    """What a search may still do."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def spend(self, n: int = 1) -> bool:
+        self.left -= n
+        return self.left >= 0
 
 
 def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, list[int]]]:
@@ -186,14 +214,18 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, list[int]]]:
     return plan
 
 
-def fillings(left: dict[int, int], keys: list[int], room: int) -> Iterator[tuple[int, list[int]]]:
+def fillings(left: dict[int, int], keys: list[int], room: int, steps: Steps | None = None) -> Iterator[tuple[int, list[int]]]:
     """All undominated fillings of ``room`` with the remaining lengths, as (waste, lengths), least waste first.
 
     A filling is dominated if some of its lengths, none perhaps, can give way to one length left out that is at least their
     sum and still fits: whatever a plan does with the one, it can do with the others. Fillings of one sum are enumerated
-    along the sums that can be reached, so no step is lost.
+    along the sums that can be reached, large lengths first, and given up as soon as the lengths decided on are dominated.
+    The enumeration ends where ``steps`` do.
     """
+    steps = steps or Steps(1 << 60)
     keys = [k for k in keys if k <= room]
+    if not steps.spend(len(keys) // COST):
+        return
     full = (1 << (room + 1)) - 1
     reach = [1]  # sums of the first k lengths, as bits
     for k in keys:
@@ -204,26 +236,47 @@ def fillings(left: dict[int, int], keys: list[int], room: int) -> Iterator[tuple
             times, step = times - n, 2 * step
         reach.append(sums)
 
-    def exact(total: int, at: int) -> Iterator[list[int]]:
-        """Fillings of a sum with the first ``at`` lengths, large lengths first."""
+    def within(sums: int, waste: int) -> int:
+        """Bits from each sum to ``waste`` above it."""
+        done = 0
+        while done < waste:
+            step = min(done + 1, waste - done)
+            sums |= sums << step
+            done += step
+        return sums
+
+    def exact(total: int, at: int, waste: int, sums: int, skipped: int) -> Iterator[list[int]]:
+        """Fillings of a sum with the first ``at`` lengths; sums: of the lengths taken; skipped: lengths left out."""
         if total == 0:
-            yield []
+            low = keys[:at]
+            if not any(k <= waste for k in low[:1]):  # one that fits beside
+                yield []
             return
         while at and not keys[at - 1] <= total:
             at -= 1
-        if not at or not reach[at] >> total & 1:
+            skipped |= 1 << keys[at]
+        if not at or not reach[at] >> total & 1 or within(sums, waste) & skipped:
             return
         k = keys[at - 1]
         for n in range(min(left[k], total // k), -1, -1):
             if reach[at - 1] >> (total - n * k) & 1:
-                for rest in exact(total - n * k, at - 1):
+                if not steps.spend():
+                    return
+                more, out = sums, skipped if n else skipped | 1 << k
+                for _ in range(n):
+                    more |= more << k
+                if within(more, waste) & out:
+                    continue
+                for rest in exact(total - n * k, at - 1, waste, more, out):
                     yield [k] * n + rest
 
     for total in range(room, -1, -1):
         if reach[-1] >> total & 1:
-            for filling in exact(total, len(keys)):
+            for filling in exact(total, len(keys), room - total, 1, 0):
                 if not dominated(filling, left, keys, room - total):
                     yield room - total, filling
+        if steps.left < 0:
+            return
 
 
 def dominated(filling: list[int], left: dict[int, int], keys: list[int], waste: int) -> bool:
@@ -251,13 +304,13 @@ def dominated(filling: list[int], left: dict[int, int], keys: list[int], waste:
 KEPT_STATE = 64
 
 
-def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000) -> list[tuple[int, list[int]]]:
+def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000, work: int = 200_000) -> list[tuple[int, list[int]]]:
     """Bin completion: fill the bin of the largest remaining item in each undominated way, least waste first, and back up.
 
     A branch ends when its waste, or its bins and the bound of what remains, pass what a plan better than the incumbent
     could have, or when the same lengths were left before after as few bins. One decision covers as many bins as it can;
     on backing up half as many are tried, and so on to one, so every plan is in the search. ``nodes`` bounds the
-    decisions; at their end the incumbent stands.
+    decisions and ``work`` the steps between them; at the end of either the incumbent stands.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
@@ -268,7 +321,7 @@ def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000) -> li
     size = sum(t for t, _ in incumbent)
     if size == least:
         return incumbent
-    left, plan = dict(counts), []
+    left, plan, steps = dict(counts), [], Steps(work)
     waste = used = seen = 0
     before: dict[tuple, int] = {}
 
@@ -279,7 +332,7 @@ def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000) -> li
         left[top] -= 1
         usable = {k: v for k, v in left.items() if v}
         left[top] += 1
-        for w, rest in fillings(usable, sorted(usable), limit - top):
+        for w, rest in fillings(usable, sorted(usable), limit - top, steps):
             filling = [top, *rest]
             times = min(left[k] // filling.count(k) for k in set(filling))
             while times:
@@ -294,7 +347,7 @@ def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000) -> li
         used += sign * times
 
     trail = [ways()]
-    while trail and seen < nodes and size > least:
+    while trail and seen < nodes and size > least and steps.left >= 0:
         allowed = (size - 1) * limit - total
         step = next(trail[-1], None)
         if step is None or waste + step[0] > allowed:  # wastes only grow
@@ -307,6 +360,7 @@ def complete_bins(counts: dict[int, int], limit: int, nodes: int = 20_000) -> li
         if waste + w * times > allowed:
             continue
         seen += 1
+        steps.spend(len(left) // COST)
         apply(w, times, filling, 1)
         state = tuple(sorted((k, v) for k, v in left.items() if v))
         hopeless = state and (before.get(state, used + 1) <= used or used + waste_bound(dict(state), limit) >= size)

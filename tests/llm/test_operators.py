@@ -557,3 +557,23 @@ def test_markup_without_ends(spark):
     deep = "<div>" * 300
     found = [(b[2], b[3], b[4]) for b in wrappers.blocks(f"<nav>{deep}menu{'</div>' * 300}</nav><article>{deep}<p>in</p>{'</div>' * 300}<p>after</p></article><p>end</p>") if b[0] == "text"]
     assert found == [("menu", True, False), ("in", False, True), ("after", False, True), ("end", False, False)]
+
+
+def test_bin_completion_ends():
+    """Hard tables end in seconds, and bounds see a common divisor and lengths that share a bin with few others."""
+    import time
+
+    rng = random.Random(0)
+    tables = {
+        "half": ([rng.randint(340, 520) for _ in range(1000)], 1024), "even": ([2 * rng.randint(1, 150) for _ in range(2000)], 1023),
+        "threes": ([3 * rng.randint(10, 200) for _ in range(2000)], 1024), "large threes": ([3 * rng.randint(100, 341) for _ in range(2000)], 1024),
+    }
+    for name, (lengths, limit) in tables.items():
+        counts = Counter(lengths)
+        began = time.thread_time()
+        plan = packing.complete_bins(dict(counts), limit)
+        assert time.thread_time() - began < 12, name
+        assert sum((Counter({k: times * filling.count(k) for k in set(filling)}) for times, filling in plan), Counter()) == counts
+        assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(dict(counts), limit))
+    assert packing.waste_bound({4: 7}, 11) == 4  # two to a bin
+    assert packing.waste_bound({340: 9, 341: 1}, 1022) == 4
