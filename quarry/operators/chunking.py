@@ -50,8 +50,12 @@ def approx_chunk_count(content: Column, size: int = 2000) -> Column:
 
 
 def token_counts(chunked: DataFrame) -> DataFrame:
-    """doc_id, chunk_ix, term, n, size (tokens of the chunk)."""
-    return counted(chunked.select("doc_id", "chunk_ix", "text"), [])
+    """doc_id, chunk_ix, term, n, size (tokens of the chunk).
+
+    Chunks are dealt out before they are cut into tokens, so texts are exchanged instead of a row a token, and counting
+    needs no exchange of its own.
+    """
+    return counted(chunked.select("doc_id", "chunk_ix", "text").repartition("doc_id", "chunk_ix"), [])
 
 
 def counted(chunked: DataFrame, also: list[str]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, history, keyword, personas, questions, relevance, reminders, splitting, vectors
-from ..sources import files, postings, shared
-from . import settings
+from ..sources import files, kept, postings, shared
+from . import commands, settings
 from . import turn as turns
 
 QUERY = "What about the then thand of truncated txt src3"
@@ -483,7 +483,7 @@ def path_order(spark, sf_dir):
     return keyword.top_documents(docs, "", 7).select("display_name", "score")
 
 
-@registered("typed_settings", "SELECT 10 AS context_window, max(CASE WHEN event_id = 77 THEN event_id END)::INTEGER AS ai_request_timeout, 2000 AS max_tokens, 1250 AS chunk_size, 10 AS rag_max_docs, '!ai' AS bot_prefix, 'vector' AS rag_retrieval_method, 'clear' AS chat_history_reset FROM events")
+@registered("typed_settings", "SELECT 10 AS context_window, max(CASE WHEN event_id = 77 THEN event_id END)::INTEGER AS ai_request_timeout, 2000 AS max_tokens, 1250 AS chunk_size, 10 AS rag_max_docs, '!ai' AS bot_prefix, 'vector' AS rag_retrieval_method, 'data/knowledge' AS kb_path, 'kb' AS kb_default_kb, NULL::VARCHAR AS model_name, 'clear' AS chat_history_reset FROM events")
 def typed_settings(spark, sf_dir):
     given = {"CONTEXT_WINDOW": "ten", "CHUNK_SIZE": " 1_250 ", "RAG_MAX_DOCS": "", "RAG_RETRIEVAL_METHOD": "Vector", "CHAT_HISTORY_RESET": " Clear"}
     rows = table(spark, sf_dir, "events").filter("event_id = 77").select(F.lit("AI_REQUEST_TIMEOUT").alias("name"), F.col("event_id").cast("string").alias("value"))
@@ -602,3 +602,111 @@ def cosine_topk_many(spark, sf_dir):
     asked = rows.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
     found = vectors.top_similar_many(rows, asked, ["query_id"], 10)
     return found.withColumns({"place": F.col("place").cast("long"), "sim": F.round("sim", 6)})
+
+
+@registered("settings_by_user", """
+WITH given AS (SELECT user_id, ['CONTEXT_WINDOW', 'AI_REQUEST_TIMEOUT', 'CHUNK_SIZE', 'RAG_RETRIEVAL_METHOD', 'CHAT_HISTORY_RESET', 'MODEL_NAME', 'KB_DEFAULT_KB'][event_id % 7 + 1] AS name,
+ CASE event_id % 3 WHEN 0 THEN (event_id % 97)::VARCHAR WHEN 1 THEN ' Clear ' ELSE upper(event_type) END AS value FROM events),
+ wide AS (SELECT user_id, max(CASE WHEN name = 'CONTEXT_WINDOW' THEN value END) AS a, max(CASE WHEN name = 'AI_REQUEST_TIMEOUT' THEN value END) AS b, max(CASE WHEN name = 'CHUNK_SIZE' THEN value END) AS c,
+  max(CASE WHEN name = 'RAG_RETRIEVAL_METHOD' THEN value END) AS d, max(CASE WHEN name = 'CHAT_HISTORY_RESET' THEN value END) AS e, max(CASE WHEN name = 'MODEL_NAME' THEN value END) AS f, max(CASE WHEN name = 'KB_DEFAULT_KB' THEN value END) AS g FROM given GROUP BY user_id)
+SELECT user_id, coalesce(try_cast(a AS INTEGER), 10) AS context_window, coalesce(try_cast(b AS INTEGER), 120) AS ai_request_timeout, 2000 AS max_tokens, coalesce(try_cast(c AS INTEGER), 2000) AS chunk_size, 10 AS rag_max_docs, '!ai' AS bot_prefix,
+ lower(coalesce(d, 'keyword')) AS rag_retrieval_method, 'data/knowledge' AS kb_path, lower(coalesce(g, 'kb')) AS kb_default_kb, f AS model_name, CASE WHEN lower(trim(e)) = 'clear' THEN 'clear' END AS chat_history_reset FROM wide""")
+def settings_by_user(spark, sf_dir):
+    names = ["CONTEXT_WINDOW", "AI_REQUEST_TIMEOUT", "CHUNK_SIZE", "RAG_RETRIEVAL_METHOD", "CHAT_HISTORY_RESET", "MODEL_NAME", "KB_DEFAULT_KB"]
+    value = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 97).cast("string")).when(F.col("event_id") % 3 == 1, " Clear ").otherwise(F.upper("event_type"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 7 + 1).cast("int")).alias("name"), value.alias("value"))
+    return settings.typed_settings(rows, ["user_id"])
+
+
+def last_content(prompt: str) -> str:
+    """A stand-in for a model: the last message's content."""
+    content = json.loads(prompt)["messages"][-1]["content"]
+    return content if isinstance(content, str) else content[-1]["image_url"]["url"]
+
+
+def sliced_sql(rows: str, whole: str, part: str) -> str:
+    """conv_id, part, parts, text of rows (conv_id, reply and what the titles need)."""
+    return rf"""SELECT conv_id, i + 1 AS part, parts, CASE WHEN parts = 1 THEN {whole} ELSE {part} END || substr(reply, i * 1900 + 1, 1900) AS text
+ FROM (SELECT *, (length(reply) - 1) // 1900 + 1 AS parts, unnest(range(0, (length(reply) - 1) // 1900 + 1)) AS i FROM ({rows}))"""
+
+
+@registered("summarize_parts", sliced_sql(
+    f"SELECT conv_id, 'recent conversation' AS source, string_agg('[' || {LABEL} || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS reply FROM {LAST} WHERE k <= 30 GROUP BY conv_id "
+    "UNION ALL SELECT -page_id - 1, 'file from `' || substr(url, 1, 80) || '...`', substr(html, 1, 32000) FROM pages",
+    "'\U0001f4dd **Summary** (' || source || '):' || chr(10) || chr(10)", "'\U0001f4dd **Summary** (' || source || ') (part ' || i + 1 || '):' || chr(10) || chr(10)"))
+def summarize_parts(spark, sf_dir):
+    """Conversations, and fetched pages under negative numbers."""
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    talks = rows.select("conv_id").distinct().select("conv_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"))
+    pages = table(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("conv_id"), "url", F.col("html").alias("body"))
+    prompts = commands.summary_prompts(talks.union(pages), rows, ["conv_id"], "base-model")
+    return commands.summary_parts(commands.answered(prompts, [last_content], "summary", commands.NO_SUMMARY), ["conv_id"])
+
+
+@registered("translate_parts", sliced_sql(
+    "SELECT conv_id, 'Spanish' AS target, CASE WHEN conv_id % 2 = 0 THEN 'to say: ' || conv_id ELSE max_by(text, turn) FILTER (role = 'user') END AS reply FROM conversations GROUP BY conv_id HAVING conv_id % 2 = 0 OR count(*) FILTER (role = 'user') > 0",
+    "'\U0001f310 Translated to **' || target || '**:' || chr(10) || chr(10)", "'\U0001f310 Translated to **' || target || '** (part ' || i + 1 || ')' || chr(10) || chr(10)")
+    + f" UNION ALL SELECT conv_id, 1, 1, '{commands.NO_TEXT}' FROM conversations GROUP BY conv_id HAVING conv_id % 2 = 1 AND count(*) FILTER (role = 'user') = 0")
+def translate_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    wanted = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" Spanish : to say: "), F.col("conv_id").cast("string"))).otherwise("Spanish")
+    asked = rows.select("conv_id").distinct().select("conv_id", wanted.alias("target_language"), F.lit("English").alias("source_language"))
+    prompts = commands.translation_prompts(asked, rows, ["conv_id"], "base-model")
+    return commands.translation_parts(commands.answered(prompts, [last_content], "translation"), ["conv_id"])
+
+
+@registered("ocr_parts", sliced_sql(
+    "SELECT conv_id, 'data:image/' || CASE WHEN conv_id % 2 = 0 THEN 'jpeg' ELSE 'png' END || ';base64,' || to_base64(encode(max_by(text, turn))) AS reply FROM conversations GROUP BY conv_id",
+    "'\U0001f50d Extracted text:' || chr(10) || chr(10)", "'\U0001f50d OCR (part ' || i + 1 || ')' || chr(10) || chr(10)"))
+def ocr_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").cast("binary").alias("content"))
+    images = rows.withColumn("filename", F.when(F.col("conv_id") % 2 == 0, "A.JPEG").otherwise("b"))
+    return commands.ocr_parts(commands.answered(commands.ocr_prompts(images, "vision"), [last_content], "ocr"), ["conv_id"])
+
+
+@registered("persona_commands", """
+WITH asked AS (SELECT user_id, event_id, ['list', 'set', 'show', 'reset', 'drop'][event_id % 5 + 1] AS action, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 THEN 'nobody' WHEN event_id % 4 = 1 THEN lower((SELECT n_name FROM nation WHERE n_nationkey = event_id % 25)) ELSE (event_id % 25)::VARCHAR END AS name FROM events),
+ named AS (SELECT a.*, coalesce(k.n_nationkey, d.n_nationkey) AS persona FROM asked a LEFT JOIN nation k ON k.n_nationkey::VARCHAR = a.name LEFT JOIN nation d ON lower(d.n_name) = lower(a.name)),
+ chosen AS (SELECT *, CASE WHEN action = 'set' THEN persona WHEN action = 'reset' THEN 0 END AS c FROM named),
+ active AS (SELECT *, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS now FROM chosen),
+ every AS (SELECT string_agg('`' || n_nationkey || '`', ', ' ORDER BY n_nationkey) AS names FROM nation)
+SELECT user_id, event_id, CASE action
+ WHEN 'list' THEN '**Available characters:**' || chr(10) || chr(10) || (SELECT string_agg('  • `' || n_nationkey || '` — display: `' || n_name || '`' || CASE WHEN n_nationkey = now THEN ' ← current' ELSE '' END, chr(10) ORDER BY n_nationkey) FROM nation)
+ WHEN 'set' THEN CASE WHEN name IS NULL THEN 'Please provide a character key: `/character set <name>`' WHEN persona IS NULL THEN 'Unknown character ``' || name || '``. Available: ' || names ELSE 'Switched to **' || (SELECT n_name FROM nation WHERE n_nationkey = persona) || '** (model: ``(none set)``)' END
+ WHEN 'show' THEN '**Current character:** `' || (SELECT n_name FROM nation WHERE n_nationkey = now) || '`' || chr(10) || '**Model:** ````'
+ WHEN 'reset' THEN 'Reverted to default character: **' || (SELECT n_name FROM nation WHERE n_nationkey = 0) || '**' ELSE 'Unknown action ``' || action || '``. Use: list, set, show, reset.' END AS text
+FROM active, every""".replace(r"•", "•").replace(r"—", "—").replace(r"←", "←"))
+def persona_commands(spark, sf_dir):
+    """Every event as a persona command of its user, to personas made of nations."""
+    nation = table(spark, sf_dir, "nation")
+    known = nation.select(F.col("n_nationkey").alias("at"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("display"), F.lit("").alias("model"), (F.col("n_nationkey") == 0).alias("is_default"))
+    names = nation.select(F.col("n_nationkey").alias("_n"), F.lower("n_name").alias("_name"))
+    which = F.col("event_id") % 4
+    name = F.when(which == 3, F.lit(None)).when(which == 2, "nobody").when(which == 1, F.col("_name")).otherwise((F.col("event_id") % 25).cast("string"))
+    action = F.element_at(F.array(*map(F.lit, ("list", "set", "show", "reset", "drop"))), (F.col("event_id") % 5 + 1).cast("int"))
+    asked = table(spark, sf_dir, "events").join(F.broadcast(names), F.col("_n") == F.col("event_id") % 25).select("user_id", F.col("event_id").alias("seq"), action.alias("action"), name.alias("name"))
+    none = asked.select("user_id", "seq", F.lit("").alias("key")).limit(0)
+    return commands.persona_commands(asked, none, known, ["user_id"])[0].withColumnRenamed("seq", "event_id")
+
+
+def stored_pages(spark, sf_dir) -> str:
+    """Pages uploaded as files below a fresh folder, four subfolders."""
+    root = f"{shared.shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(".html"))
+    uploads = table(spark, sf_dir, "pages").select(name.alias("filename"), F.col("html").cast("binary").alias("content"), F.concat(F.lit("site"), (F.col("page_id") % 4).cast("string")).alias("subfolder"))
+    files.store_uploads(files.validated_uploads(uploads), root).count()
+    return root
+
+
+@registered("stored_catalogue", "SELECT 'site' || page_id % 4 || '/Page ' || page_id || '.html' AS name, 'Page ' || page_id || '.html' AS filename, strlen(html) AS size, substr(sha256(html), 1, 16) AS sha256 FROM pages")
+def stored_catalogue(spark, sf_dir):
+    """Uploads of all pages, listed and read back by tasks."""
+    return files.catalogue(spark, stored_pages(spark, sf_dir)).drop("modified")
+
+
+@registered("reindex_twice", "SELECT count(*) AS files, count(*) AS read, 0::BIGINT AS read_again FROM pages")
+def reindex_twice(spark, sf_dir):
+    """The chunk index of all stored pages, brought up to date twice: the second time reads none."""
+    root, store = stored_pages(spark, sf_dir), f"{shared.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    first, again = kept.refresh_chunks(spark, root, store), kept.refresh_chunks(spark, root, store)
+    return spark.createDataFrame([(again.files, first.read, again.read)], "files long, read long, read_again long")
