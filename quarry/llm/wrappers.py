@@ -3,8 +3,8 @@
 Pages become streams of tags and text slots. Tandem repeats in a page turn into repeated groups; then the streams of a
 host are aligned, and where two differ the differing parts become optional or repeated groups. What results is a
 union-free regular expression that all pages of the host match, the host's wrapper. Every page is matched against it, so
-each of its texts fills one slot. A slot that the same text fills on pages that otherwise differ is template; the rest
-of a page's layout, inside its article or main element if it has one, is the main text.
+each of its texts fills one slot. A slot whose texts are on all pages that fill it, though these differ otherwise, is
+template, but for headings of an article; the rest of a page's layout, inside its article or main element if it has one, is the main text.
 
 Only different streams meet in alignment, in rounds of small merges, so a host with a large share of the pages is no
 burden. Null html counts as empty and gives an empty text; a null url is a host of its own. Pages of any length and depth
@@ -41,6 +41,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+ROOTS = frozenset(("article", "main"))
 NOT_TEXT = frozenset("nav aside footer form menu dialog".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 NOT_TEXT_WORDS = frozenset(
@@ -51,8 +52,7 @@ SPACE = re.compile(r"\s+")
 MAX_UNIT = 12
 #: Labels of a path; elements deeper than that share the path of the last.
 MAX_PATH = 200
-#: Pages with the same text in a slot that make it template.
-LEAST_PAGES = 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Wrappers of more bytes in all aren't broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -148,8 +148,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             stack.append(Element(name, above.path, True, above.root, True, lone))
             continue
         path = above.path if len(stack) > MAX_PATH else f"{above.path}/{name}{label}" if above.path else name + label
-        out = above.out or out or name in NOT_TEXT or name == "header" and not above.root
-        stack.append(Element(name, path, out, above.root or name in ("article", "main")))
+        out = above.out or out and name not in ROOTS or name in NOT_TEXT or name == "header" and not above.root
+        stack.append(Element(name, path, out, above.root or name in ROOTS))
         yield "tag", name + label, "", out, stack[-1].root
     if at < len(page):
         text(page[at:])
@@ -335,7 +335,7 @@ def host_of() -> Column:
 
 
 def fill_slots(pages: DataFrame, wrappers: DataFrame, broadcast_hosts: int, salts: int) -> DataFrame:
-    """page_id, url, host, rooted (a usable article or main element is there), blocks (slot, first of its slot, out, root, text) of every page."""
+    """page_id, url, host, rooted (a usable article or main element is there), blocks (slot, or -1 for an article's heading, out, root, text) of every page."""
     known = shared_table(wrappers.select("host", "wrapper"), "wrappers")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0)).alias("size")).first()
@@ -362,18 +362,17 @@ def fill_slots(pages: DataFrame, wrappers: DataFrame, broadcast_hosts: int, salt
                     if host not in matchers:
                         matchers[host] = Matcher(json.loads(wrapper.as_py() or "[]"))
                     matched[key] = matchers[host].match(nodes)
-                leaves, seen, own = matched[key], set(), []
-                for k, (_, _, text, out, root) in zip(of, (b for b in found if b[0] == "text"), strict=True):
-                    slot = -1 if leaves is None else leaves[k]
-                    own.append({"slot": slot, "first": slot not in seen, "out": out, "root": root, "text": text})
-                    seen.add(slot)
+                leaves, own = matched[key], []
+                for k, (_, path, text, out, root) in zip(of, (b for b in found if b[0] == "text"), strict=True):
+                    heading = root and re.split(r"[.@]", path.rpartition("/")[2])[0] in HEADINGS
+                    own.append({"slot": -1 if leaves is None or heading else leaves[k], "out": out, "root": root, "text": text})
                 filled.append(own)
                 rooted.append(any(root and not out for kind, _, _, out, root in found if kind == "tag"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(rooted, pa.bool_()), pa.array(filled, pa.list_(kind))], names)
 
-    kind = pa.struct([("slot", pa.int32()), ("first", pa.bool_()), ("out", pa.bool_()), ("root", pa.bool_()), ("text", pa.string())])
+    kind = pa.struct([("slot", pa.int32()), ("out", pa.bool_()), ("root", pa.bool_()), ("text", pa.string())])
     names = ["page_id", "url", "host", "rooted", "blocks"]
-    schema = "page_id long, url string, host string, rooted boolean, blocks array<struct<slot: int, first: boolean, out: boolean, root: boolean, text: string>>"
+    schema = "page_id long, url string, host string, rooted boolean, blocks array<struct<slot: int, out: boolean, root: boolean, text: string>>"
     return rows.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, schema)
 
 
@@ -387,12 +386,17 @@ def extract_text(pages: DataFrame, wrappers: DataFrame, broadcast_hosts: int = 5
     filled = shared_table(fill_slots(pages, wrappers, broadcast_hosts, salts), "filled")
     usable = F.filter("blocks", lambda b: ~b["out"] & (~F.col("rooted") | b["root"]))
     filled = filled.select("page_id", "url", "host", usable.alias("blocks"))
-    whole = F.xxhash64(F.transform("blocks", lambda b: b["text"]))
-    texts = filled.select("host", whole.alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.slot", "b.first", F.xxhash64("b.text").alias("h"))
-    slots = texts.filter("slot >= 0").groupBy("host", "slot").agg(
-        F.sum(F.col("first").cast("int")).alias("pages"), (F.min("h") == F.max("h")).alias("same"), (F.min("page") != F.max("page")).alias("differ"))
-    fixed = shared_table(slots.filter(F.col("same") & F.col("differ") & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("slot").alias("fixed")), "fixed")
-    if fixed.count() <= broadcast_hosts:
+    page = F.xxhash64(F.transform("blocks", lambda b: b["text"]))
+    texts = filled.select("host", page.alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.slot", F.xxhash64("b.text").alias("h"))
+    # How many different pages each text of a slot is on, against the pages that fill the slot: all of them for a menu of
+    # several entries as for a notice, few for some paragraph of a body, even if pages copy others from each other.
+    held = texts.filter("slot >= 0").distinct()
+    on = held.groupBy("host", "slot", "h").agg(F.count("*").alias("on")).groupBy("host", "slot").agg(F.min("on").alias("on"))
+    filling = held.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("pages"))
+    fixed = on.join(filling, ["host", "slot"]).filter((F.col("pages") >= 2) & (F.col("on") == F.col("pages"))).groupBy("host").agg(F.collect_set("slot").alias("fixed"))
+    fixed = shared_table(fixed, "fixed")
+    size = fixed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("fixed") * 4), F.lit(0)).alias("size")).first()
+    if size["n"] <= broadcast_hosts and size["size"] <= BROADCAST_BYTES:
         rows = filled.join(F.broadcast(fixed), "host", "left")
     else:
         spread = fixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

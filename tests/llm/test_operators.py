@@ -577,3 +577,15 @@ def test_bin_completion_ends():
         assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(dict(counts), limit))
     assert packing.waste_bound({4: 7}, 11) == 4  # two to a bin
     assert packing.waste_bound({340: 9, 341: 1}, 1022) == 4
+
+
+def test_wrapper_decisions(spark):
+    """Roots stay whatever their class; headings stay; templates show on two pages; copies of a page don't make one."""
+    share = [f"<article class='post share'><h1>Same head</h1><p>Text {k} of its own</p><p>More {k} words here</p><p>The end</p></article>" for k in range(3)]
+    assert extracted(spark, share) == [f"Same head\nText {k} of its own\nMore {k} words here\nThe end" for k in range(3)]
+    plain = [f"<body><div class=a><div>Home</div><div>About us</div><div>Contact</div></div><div class=b><div>Story {k} is told here at some length</div><div>It ends {k}</div></div><div class=c>All rights reserved</div></body>" for k in range(2)]
+    assert extracted(spark, plain) == [f"Story {k} is told here at some length\nIt ends {k}" for k in range(2)]
+    copies = [f"<div><p>A long paragraph that all copies of this page share word by word</p><p>Short too</p><p>Edited {k}</p></div>" for k in range(4)]
+    assert extracted(spark, copies) == [f"A long paragraph that all copies of this page share word by word\nShort too\nEdited {k}" for k in range(4)]
+    long = ["<article>" + "".join(f"<p>Paragraph {i} of page {k}</p>" for i in range(3000)) + "</article>" for k in range(2)]
+    assert extracted(spark, [*long, long[0]]) == ["\n".join(f"Paragraph {i} of page {k}" for i in range(3000)) for k in (0, 1, 0)]
