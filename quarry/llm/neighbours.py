@@ -25,7 +25,7 @@ from .common import forget, hot_join, shared_table
 BLOCK_ROWS, QUERY_ROWS = 16_384, 8_192
 NEAR, JOINED, TREES, LEAF = 28, 14, 3, 160
 #: The graph is settled when a round finds new edges for less than this share of all.
-SETTLED = 0.05
+SETTLED = 0.02
 POOL, STEP, ENTRIES = 200, 8, 48
 
 
