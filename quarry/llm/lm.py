@@ -7,7 +7,8 @@ ones (their number grows with the vocabulary) share classes of about equal cost,
 rare rest is in classes by endings, in which a word has its add-one relative frequency. All factors are normalised, and
 so is their product over known words and one unknown word a rest class.
 
-Word counts, class sizes and training cover all training rows; each task trains on its rows from common parameters and
+Texts are cut into words once to count them and once to write them as numbers, which training and scoring read. Word
+counts, class sizes and training cover all training rows; each task trains on its rows from common parameters and
 Spark averages what the tasks found, a word's vectors over the tasks that saw it. The most frequent words (``HEAD``, of at
 most ``HEAD_BYTES`` bytes) are broadcast; all others meet their counts in a join.
 
@@ -338,35 +339,52 @@ def contexts(units: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndar
     return np.where(places[rows] > np.arange(CONTEXT)[:, None], units[np.maximum(back, 0)], 0)
 
 
-def groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts) of bounded size from batches of (id, raw)."""
+def groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[list, list, list[bytes]]]:
+    """(ids, flags, texts) of bounded size from batches of (id, flag, raw)."""
     for batch in batches:
-        keys, raws, held = [], [], 0
-        for key, raw in zip(batch.column(0), batch.column(1), strict=True):
+        keys, flags, raws, held = [], [], [], 0
+        for key, flag, raw in zip(*batch.columns, strict=True):
             keys.append(key.as_py())
+            flags.append(flag.as_py())
             raws.append(raw.as_py())
             held += len(raws[-1])
             if held > limit:
-                yield keys, raws
-                keys, raws, held = [], [], 0
+                yield keys, flags, raws
+                keys, flags, raws, held = [], [], [], 0
         if keys:
-            yield keys, raws
+            yield keys, flags, raws
 
 
-def average_pass(texts: DataFrame, words, model: LogBilinear) -> LogBilinear:
-    """Every task trains on its texts from ``model``; the result is the mean, weighted by tokens, or by a word's tokens."""
+#: Tokens that are trained on, or scored, together.
+TOGETHER = 1 << 17
+
+
+def unit_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, sizes, units) of about ``TOGETHER`` tokens from batches whose last column has the units of each text."""
+    for batch in batches:
+        sizes = np.array([len(x.as_buffer()) // 2 for x in batch.column(batch.num_columns - 1)], np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):
+            before = ends[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            part = batch.slice(at, to - at)
+            units = np.frombuffer(b"".join(x.as_buffer() for x in part.column(batch.num_columns - 1)), "<u2").astype(np.int64)
+            yield part, sizes[at:to], units
+            at = to
+
+
+def average_pass(encoded: DataFrame, words, model: LogBilinear) -> LogBilinear:
+    """Every task trains on its texts (units) from ``model``; the result is the mean, weighted by tokens, or by a word's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fewer_collections()
         vocab, own, seen = words.value, model, 0
         own.start_training()
         rng = np.random.default_rng(TaskContext.get().partitionId())
-        for _, raws in groups(batches):
-            split = [tokens(r) for r in raws]
-            flat = [w for ws in split for w in ws]
-            units = vocab.units(flat, vocab.ids(flat))
-            own.train(units, places_of(np.fromiter(map(len, split), np.int64, len(split))), vocab.classes(units), rng)
-            seen += len(flat)
+        for _, sizes, units in unit_groups(batches):
+            own.train(units, places_of(sizes), vocab.classes(units), rng)
+            seen += len(units)
         if seen:
             for row in own.parts(seen):
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
@@ -384,7 +402,7 @@ def average_pass(texts: DataFrame, words, model: LogBilinear) -> LogBilinear:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
 
     names, schema = ["block", "v", "w"], "block int, v binary, w binary"
-    got = texts.mapInArrow(run, schema).repartition("block").mapInArrow(mean, schema).collect()  # the parameters once
+    got = encoded.select("units").mapInArrow(run, schema).repartition("block").mapInArrow(mean, schema).collect()  # the parameters once
     for r in got:
         model.load(r["block"], np.frombuffer(r["v"], np.float32), np.frombuffer(r["w"]))
     return model
@@ -397,48 +415,59 @@ def score_texts(docs: DataFrame, training: Column, passes: tuple[Column, ...] |
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), utf8().alias("raw"))
-    known = rows.filter(training)
-    counts = shared_table(count_words(known), "words")
+    counts = shared_table(count_words(rows.filter(training)), "words")
     vocab = vocabulary(counts)
     words = spark.sparkContext.broadcast(vocab)
-    model = LogBilinear(vocab)
-    for chosen in passes or (F.lit(True),):
-        model = average_pass(known.filter(chosen), words, model)
     total, whole = vocab.total, float(np.log10(vocab.total + vocab.distinct + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text, with all that needs no model, and a row for each of its words outside the head."""
         fewer_collections()
         vocab, at = words.value, TaskContext.get().partitionId() << 40
-        for keys, raws in groups(batches):
+        for keys, learn, raws in groups(batches):
             split = [tokens(r) for r in raws]
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             flat = [w for ws in split for w in ws]
             ids = vocab.ids(flat)
             units = vocab.units(flat, ids)
-            logs = model.text_log10(units, places_of(sizes), vocab.classes(units))
             counts = np.where(ids < 0, 0, vocab.counts[ids])
             one = np.log10(counts + 1)
             outer = units >= vocab.words  # of the rest: the relative frequency in the class
-            logs += np.where(outer, one - vocab.inner[np.where(outer, units - vocab.words, 0)], 0)
+            inner = np.where(outer, one - vocab.inner[np.where(outer, units - vocab.words, 0)], 0)
             start = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, start) for x in (one, logs, (counts > 0).astype(np.int64))]
+            sums = [np.add.reduceat(x, start) for x in (one, inner, (counts > 0).astype(np.int64))]
             row = at + np.arange(len(keys))
             at += len(keys)
             tail = np.flatnonzero(ids < 0)
             often = Counter(zip(np.repeat(row, sizes)[tail].tolist(), map(flat.__getitem__, tail.tolist()), strict=True))
             where, word = zip(*often, strict=True) if often else ((), ())
             none, n = [None] * len(keys), len(often)
+            packed, ends = units.astype("<u2").tobytes(), (np.cumsum(sizes) * 2).tolist()
+            texts = [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             columns = [
-                pa.array([*row.tolist(), *where], pa.int64()), pa.array([*keys, *[None] * n], pa.int64()), pa.array([*none, *word], pa.binary()), pa.array([*none, *often.values()], pa.int64()),
-                *(pa.concat_arrays([pa.array(x, t), pa.nulls(n, t)]) for x, t in ((sizes, pa.int64()), (sums[0], pa.float64()), (sums[1], pa.float64()), (sums[2], pa.int64()))),
+                pa.array([*row.tolist(), *where], pa.int64()), pa.array([*none, *word], pa.binary()), pa.array([*none, *often.values()], pa.int64()),
+                *(pa.concat_arrays([pa.array(x, t), pa.nulls(n, t)]) for x, t in (
+                    (keys, pa.int64()), (learn, pa.bool_()), (sizes, pa.int64()), (sums[0], pa.float64()), (sums[1], pa.float64()), (sums[2], pa.int64()), (texts, pa.binary()))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "word", "k", "n_tokens", "log_counts", "log_rest", "known"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "word", "k", "doc_id", "learn", "n_tokens", "log_counts", "log_inner", "known", "units"])
+
+    schema = "row long, word binary, k long, doc_id long, learn boolean, n_tokens long, log_counts double, log_inner double, known long, units binary"
+    made = shared_table(rows.withColumn("learn", F.coalesce(training, F.lit(False))).select("doc_id", "learn", "raw").mapInArrow(encode, schema), "units")
+    encoded = made.filter(F.col("n_tokens").isNotNull()).drop("word", "k")
+    model = LogBilinear(vocab)
+    for chosen in passes or (F.lit(True),):
+        model = average_pass(encoded.filter("learn").filter(chosen), words, model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = words.value
+        for part, sizes, units in unit_groups(batches):
+            logs = np.add.reduceat(model.text_log10(units, places_of(sizes), vocab.classes(units)), np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(logs + part.column(part.num_columns - 2).to_numpy())], ["row", "doc_id", "n_tokens", "log_counts", "known", "log_rest"])
 
-    schema = "row long, doc_id long, word binary, k long, n_tokens long, log_counts double, log_rest double, known long"
-    made = shared_table(rows.mapInArrow(run, schema), "scores")
     rare = hot_join(made.filter(F.col("word").isNotNull()).select("row", "word", "k"), counts, "word", "row")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("k")).alias("more_logs"), F.sum("k").alias("more_known"))
-    out = made.filter(F.col("n_tokens").isNotNull()).drop("word", "k").join(rare, "row", "left")
+    scored = encoded.select("row", "doc_id", "n_tokens", "log_counts", "known", "log_inner", "units").mapInArrow(score, "row long, doc_id long, n_tokens long, log_counts double, known long, log_rest double")
+    out = scored.join(rare, "row", "left")
     logs = F.col("log_counts") + F.coalesce("more_logs", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
