@@ -9,8 +9,8 @@ so is their product over known words and one unknown word a rest class.
 
 Texts are cut into words once to count them and once to write them as numbers, which training and scoring read. Word
 counts, class sizes and training cover all training rows; each task trains on its rows from common parameters and
-Spark averages what the tasks found, a word's vectors over the tasks that saw it. The most frequent words (``HEAD``, of at
-most ``HEAD_BYTES`` bytes) are broadcast; all others meet their counts in a join.
+Spark averages what the tasks found, a word's vectors over the tasks that saw it. The most frequent words (``HEAD`` of
+them, of ``HEAD_BYTES`` bytes in all, at most) are broadcast; all others meet their counts in a join.
 
 Null texts count as empty: one end token. Repeated rows count and are scored as often as they come. Without training
 rows all counts are zero and classes are equally likely. Extra columns are ignored.
@@ -30,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer_collections, hot_join, remainder, shared_table, utf8
+from .common import fewer_collections, remainder, shared_table, utf8
 
 END = b"\n"  # no word holds it
-HEAD, HEAD_BYTES = 200_000, 48
+HEAD, HEAD_BYTES = 400_000, 12 << 20
 #: Words that are classes, and classes of the rare rest; words with vectors: at least and at most.
 SINGLE, REST, LEAST_WORDS, MOST_WORDS = 64, 64, 1024, 65_000
 WIDTH, CONTEXT = 24, 4
@@ -111,15 +111,15 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     """The vocabulary of a table of counts (word, n)."""
     ending = (F.crc32(F.expr("substring(word, -2, 2)")) % F.lit(REST)).cast("int")
     grouped = words.groupBy(ending.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a class
-    short = words.filter(F.length("word") <= HEAD_BYTES)
-    size = {r["k"]: r["v"] for r in short.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("v")).collect()}  # eight rows a power of two
-    least, held = max(size, default=0) + 1, 0
+    step = F.floor(F.log2("n") * 8)
+    size = {r["k"]: r for r in words.groupBy(step.alias("k")).agg(F.count("*").alias("v"), F.sum(F.length("word")).alias("bytes")).collect()}  # eight rows a power of two
+    least, held, used = max(size, default=0) + 1, 0, 0
     for k in sorted(size, reverse=True):
-        held += size[k]
-        if held > HEAD:
+        held, used = held + size[k]["v"], used + size[k]["bytes"]
+        if held > HEAD or used > HEAD_BYTES:
             break
         least = k
-    top = sorted(short.filter(F.floor(F.log2("n") * 8) >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # HEAD rows at most
+    top = sorted(words.filter(step >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # HEAD rows at most
     own = [(END, next((r["n"] for r in top if bytes(r["word"]) == END), 0)), *((bytes(r["word"]), r["n"]) for r in top if bytes(r["word"]) != END)]
     counts = np.array([c for _, c in own], np.int64)
     n, v = np.zeros(REST), np.zeros(REST)
@@ -464,7 +464,8 @@ def score_texts(docs: DataFrame, training: Column, passes: tuple[Column, ...] |
             logs = np.add.reduceat(model.text_log10(units, places_of(sizes), vocab.classes(units)), np.cumsum(sizes) - sizes)
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(logs + part.column(part.num_columns - 2).to_numpy())], ["row", "doc_id", "n_tokens", "log_counts", "known", "log_rest"])
 
-    rare = hot_join(made.filter(F.col("word").isNotNull()).select("row", "word", "k"), counts, "word", "row")
+    # A word outside the head occurs less often than those in it, so no key is hot unless few very long words fill the head.
+    rare = made.filter(F.col("word").isNotNull()).select("row", "word", "k").join(counts, "word")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("k")).alias("more_logs"), F.sum("k").alias("more_known"))
     scored = encoded.select("row", "doc_id", "n_tokens", "log_counts", "known", "log_inner", "units").mapInArrow(score, "row long, doc_id long, n_tokens long, log_counts double, known long, log_rest double")
     out = scored.join(rare, "row", "left")
