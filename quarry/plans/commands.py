@@ -31,7 +31,7 @@ def prompt_json(model: str, *messages: Column) -> Column:
 
 
 def summary_prompts(asked: DataFrame, messages: DataFrame, keys: list[str], model: str, most: int = 30) -> DataFrame:
-    """asked (keys, url, body) with source, prompt, error: a fetched body's first characters, or the channel's last messages.
+    """asked (keys, url, body) with source, prompt, error, without the body: its first characters, or the channel's last messages.
 
     A null url asks for the conversation. messages: keys, turn, role, content.
     """
@@ -44,7 +44,7 @@ def summary_prompts(asked: DataFrame, messages: DataFrame, keys: list[str], mode
     rows = rows.withColumns({"source": source, "_text": F.coalesce(text, F.lit(""))}).withColumn("error", F.when(T.is_blank(F.col("_text")), NOTHING_TO_SUMMARIZE))
     task = F.concat(F.lit("Summarize the following text from "), "source", F.lit(". Be concise but complete."))
     prompt = F.when(F.col("error").isNull(), prompt_json(model, message("system", task), message("user", F.col("_text"))))
-    return rows.withColumn("prompt", prompt).drop("_lines", "_text")
+    return rows.withColumn("prompt", prompt).drop("_lines", "_text", "body")
 
 
 def translation_prompts(asked: DataFrame, messages: DataFrame, keys: list[str], model: str) -> DataFrame:

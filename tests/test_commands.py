@@ -101,3 +101,12 @@ def test_tokens_are_counted_after_one_exchange(spark):
     assert {(r.chunk_ix, r.term, r.n, r["size"]) for r in counts.collect()} == {(0, "dragon", 2, 3), (0, "fire", 1, 3)}
     assert counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") <= 2
     assert counts.groupBy(F.lit(1)).count().first()["count"] == 2
+
+
+def test_fetched_bodies_stay_out_of_the_calls(spark):
+    """A body goes to the model's tasks in its prompt only, not once more beside it."""
+    asked = spark.createDataFrame([(1, "u", "text")], "channel long, url string, body string")
+    none = spark.createDataFrame([], "channel long, turn long, role string, content string")
+    rows = commands.summary_prompts(asked, none, ["channel"], "m")
+    assert "body" not in rows.columns
+    assert "text" in rows.first()["prompt"]
