@@ -182,3 +182,10 @@ def test_model_fallback(spark):
 
     rows = spark.createDataFrame([(1, "x")], "id long, prompt string")
     assert apply_model(rows, [fails, lambda p: p.upper()]).first()["reply"] == "X"
+
+
+def test_parts_leave_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "SLICE", 3)
+    rows = spark.range(10).select("id", F.repeat(F.lit("word "), (F.col("id") * 100).cast("int")).alias("text")).coalesce(1)
+    got = splitting.message_parts(rows, ["id"]).groupBy("id").agg(F.max("part").alias("n")).collect()
+    assert {r.id: r.n for r in got} == {k: len(splitting.split_message("word " * 100 * k)) for k in range(10)}
