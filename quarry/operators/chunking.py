@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MARK = "\u0001"
+#: Characters of text whose tokens a task holds as rows at once, about.
+TASK_CHARS = 4_000_000
 HEADING = "(?md)^(#{1,6}\\s+.+|={3,}|-{3,})$"
 
 
@@ -49,13 +51,20 @@ def approx_chunk_count(content: Column, size: int = 2000) -> Column:
     return F.floor(F.length(content) / size)
 
 
-def token_counts(chunked: DataFrame) -> DataFrame:
+def tasks_of(rows: DataFrame, text: str = "text") -> int:
+    """How many tasks to deal texts to, so that what one of them holds as tokens doesn't grow with the table. Reads the texts once."""
+    chars = rows.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+
+
+def token_counts(chunked: DataFrame, tasks: int | None = None, whole_docs: bool = False) -> DataFrame:
     """doc_id, chunk_ix, term, n, size (tokens of the chunk).
 
     Chunks are dealt out before they are cut into tokens, so texts are exchanged instead of a row a token, and counting
-    needs no exchange of its own.
+    needs no exchange of its own. With ``whole_docs``, what is then counted by document doesn't need one either.
     """
-    return counted(chunked.select("doc_id", "chunk_ix", "text").repartition("doc_id", "chunk_ix"), [])
+    by = ["doc_id"] if whole_docs else ["doc_id", "chunk_ix"]
+    return counted(chunked.select("doc_id", "chunk_ix", "text").repartition(tasks or tasks_of(chunked), *by), [])
 
 
 def counted(chunked: DataFrame, also: list[str]) -> DataFrame:
@@ -64,9 +73,9 @@ def counted(chunked: DataFrame, also: list[str]) -> DataFrame:
     return each.groupBy("doc_id", "chunk_ix", "term", "size", *also).agg(F.count("*").alias("n"))
 
 
-def tfidf(chunked: DataFrame) -> DataFrame:
+def tfidf(chunked: DataFrame, tasks: int | None = None) -> DataFrame:
     """doc_id, chunk_ix, term, tf, df, idf, weight; a document's chunks are the corpus, so one exchange by document serves all."""
-    dealt = chunked.select("doc_id", "chunk_ix", "text").repartition("doc_id")
+    dealt = chunked.select("doc_id", "chunk_ix", "text").repartition(tasks or tasks_of(chunked), "doc_id")
     total = dealt.withColumn("chunks", F.count("*").over(Window.partitionBy("doc_id")))
     rows = counted(total, ["chunks"]).withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
     rows = rows.withColumns({"tf": F.col("n") / F.col("size"), "idf": F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1})
@@ -75,10 +84,11 @@ def tfidf(chunked: DataFrame) -> DataFrame:
 
 def chunk_index(docs: DataFrame, size: int = 2000) -> DataFrame:
     """doc_id, chunk_ix, approx_offset, text, tokens, tfidf (map of term to weight)."""
-    return indexed(chunks(docs, size))
+    return indexed(chunks(docs, size), tasks_of(docs, "content"))
 
 
-def indexed(made: DataFrame) -> DataFrame:
+def indexed(made: DataFrame, tasks: int | None = None) -> DataFrame:
     """Chunks (doc_id, chunk_ix, text) with tokens and tfidf."""
-    maps = tfidf(made).groupBy("doc_id", "chunk_ix").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("tfidf"))
-    return made.withColumn("tokens", T.tokens(F.col("text"))).join(maps, ["doc_id", "chunk_ix"], "left")
+    tasks, keys = tasks or tasks_of(made), ["doc_id", "chunk_ix"]
+    maps = tfidf(made, tasks).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("tfidf"))
+    return made.repartition(tasks, *keys).withColumn("tokens", T.tokens(F.col("text"))).join(maps.repartition(tasks, *keys), keys, "left")

@@ -189,3 +189,13 @@ def test_parts_leave_in_slices(spark, monkeypatch):
     rows = spark.range(10).select("id", F.repeat(F.lit("word "), (F.col("id") * 100).cast("int")).alias("text")).coalesce(1)
     got = splitting.message_parts(rows, ["id"]).groupBy("id").agg(F.max("part").alias("n")).collect()
     assert {r.id: r.n for r in got} == {k: len(splitting.split_message("word " * 100 * k)) for k in range(10)}
+
+
+def test_tasks_follow_the_text(spark, monkeypatch):
+    """What a task counts is bounded: twice the text goes to twice the tasks, which adaptive execution doesn't join again."""
+    monkeypatch.setattr(chunking, "TASK_CHARS", 50)
+    for n in (20, 40):
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("chunk_ix"), F.lit("dragon fire ice kings and").alias("text"))
+        assert chunking.tasks_of(rows) == n // 2
+        assert chunking.tfidf(rows).rdd.getNumPartitions() == chunking.token_counts(rows).rdd.getNumPartitions() == n // 2
+        assert chunking.indexed(rows).filter(F.size("tfidf") == 4).count() == n
