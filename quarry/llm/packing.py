@@ -14,31 +14,38 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, fewer_collections, shared_table, worker_cache
+from .common import fewer_collections, shared_table, worker_cache
 
 #: Where this finds nothing, spaces and line breaks stand alone between other characters, and each ends a pre-token.
 RUNS = re.compile(r"\s\s|\A\s|\s\Z")
-#: Parts made of these only are read alike by the tokenizer's and the rank file's patterns.
-PLAIN = re.compile(r"\n?[!-~\u00a1-\u024f]*\Z")
+#: Found in parts (for Arrow) with other characters than these, which the tokenizer's and the rank file's patterns read alike.
+NOT_PLAIN = r"[^\n -~\x{a1}-\x{24f}]"
+#: Found in all texts in which ``RUNS`` is, and in some others.
+PERHAPS_RUNS = NOT_PLAIN + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
 class Encoder:
-    """Ids of whole texts as bytes (little-endian unsigned 32-bit), with a bounded cache of encoded parts.
+    """Ids of whole texts as bytes (little-endian unsigned 32-bit).
 
-    Parts that aren't cached are encoded together in one run of the rank file, which holds the same vocabulary; parts
-    outside ``PLAIN`` and texts with runs of white space go through the tokenizer itself.
+    Texts are joined by line breaks and cut into parts before each space and line break. New parts of a batch are encoded
+    together in one run of the rank file, which holds the same vocabulary; parts that aren't plain and texts with runs of
+    white space go through the tokenizer itself. Parts are kept for the next batches up to ``budget`` bytes, and beyond it
+    those of the last batch only.
     """
 
-    def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, path: str, ranks_path: str | None, pattern: str | None, budget: int = 16 << 20):
         self.tokenizer = load_tokenizer(path)
         self.specials = special_strings(self.tokenizer)
-        self.cache = Cache()
+        self.budget = budget
+        self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.ranks = None
         if ranks_path:
             import tiktoken
@@ -52,40 +59,53 @@ class Encoder:
     def slow(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Encodings of parts, each as it is read after a space (or from its own line break on)."""
-        found = {}
-        plain = [x for x in parts if PLAIN.match(x)] if self.ranks else []
-        for x in set(parts).difference(plain):
-            found[x] = self.slow(x if x[:1] == "\n" else " " + x)
-        if plain:
-            spaced = [x if x[:1] == "\n" else " " + x for x in plain]
-            ids = self.ranks.encode_to_numpy("".join(spaced)).astype("<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in spaced])) + 1
-            raw, at = ids.tobytes(), 0
-            for x, cut in zip(plain, cuts.tolist(), strict=True):
-                found[x] = raw[4 * at : 4 * cut]
-                at = cut
+    def fast(self, parts: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Encodings of plain parts."""
+        if not len(parts):
+            return pa.array([], pa.large_binary())
+        ends = offsets(parts)
+        ids = self.ranks.encode_to_numpy(parts.buffers()[2][ends[0] : ends[-1]].to_pybytes().decode()).astype("<u4")
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[1:] - ends[0]) + 1
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(4 * np.append(0, cuts)), pa.py_buffer(ids.tobytes())])
+
+    def learn(self, parts: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Encodings of different parts, each from its space or line break on."""
+        known = pc.index_in(parts, self.parts)
+        new = parts.filter(known.is_null())
+        plain = pc.invert(pc.match_substring_regex(new, NOT_PLAIN)) if self.ranks else pa.array(np.zeros(len(new), bool))
+        quick, other = new.filter(plain), new.filter(pc.invert(plain))
+        slow = pa.array([self.slow(x) for x in other.to_pylist()], pa.large_binary())
+        at, first = np.asarray(known.fill_null(-1)).astype(np.int64), np.asarray(plain)
+        at[at < 0] = len(self.parts) - 1 + np.where(first, np.cumsum(first), len(quick) + np.cumsum(~first))
+        held = pa.concat_arrays([self.parts, quick, other])
+        ids = pa.concat_arrays([self.ids, self.fast(quick), slow])
+        found = ids.take(pa.array(at))
+        small = held.nbytes + ids.nbytes <= self.budget
+        self.parts, self.ids = (held, ids) if small else (parts, found)
         return found
 
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without runs of white space, by their different parts."""
+        raw = ("\n" + "\n".join(texts)).encode()
+        data = np.frombuffer(raw, np.uint8)
+        starts = np.flatnonzero((data == ord(" ")) | (data == ord("\n")))
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        ids = self.learn(parts.dictionary).take(parts.indices)
+        sizes = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+        at = offsets(ids)[np.searchsorted(starts, np.append(0, np.cumsum(sizes)))].tolist()
+        before = len(self.slow("\n"))  # of the line break that joins
+        return [ids.buffers()[2][a + before : b].to_pybytes() for a, b in pairwise(at)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            odd = RUNS.search(text) or any(s in text for s in self.specials)
-            split.append(None if odd else text.replace("\n", " \n").split(" "))
-        new = set()
-        for parts in split:
-            if parts:
-                new.update(parts[1:])
-        held = self.cache.held
-        every, new = new, new.difference(held)
-        if new and self.cache.make_room(len(new), 12 * sum(map(len, new)) // 3):
-            new = every
-        if new:
-            held.update(self.learn(list(new)))
-        get = held.__getitem__
-        return [self.slow(text) if parts is None else self.slow(parts[0]) + b"".join(map(get, parts[1:])) if text else b"" for text, parts in zip(texts, split, strict=True)]
+        perhaps = pc.match_substring_regex(pa.array(texts, pa.large_string()), PERHAPS_RUNS).to_pylist()
+        odd = [look and RUNS.search(text) or any(s in text for s in self.specials) for look, text in zip(perhaps, texts, strict=True)]
+        rest = iter(self.together([text for text, o in zip(texts, odd, strict=True) if text and not o]))
+        return [(self.slow(text) if o else next(rest)) if text else b"" for text, o in zip(texts, odd, strict=True)]
+
+
+def offsets(values: pa.Array) -> np.ndarray:
+    """Where each value of a large string or binary array begins in the buffer, and where the last one ends."""
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
 
 
 def encoder(path: str, ranks_path: str | None, pattern: str | None) -> Encoder:

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, round trips or held-out accuracy, and over awkward tables."""
 
 import random
+import sys
 import zlib
 from collections import Counter
 from itertools import pairwise
@@ -59,6 +60,42 @@ def test_packing(spark, awkward, nothing):
     assert packing.pack_pieces(packing.token_pieces(nothing, path)).count() == 0
 
 
+def packing_encoder(**more):
+    return packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **more)
+
+
+def test_packing_has_no_work_for_each_word():
+    """Calls that Python makes while it encodes texts of many different words, which no cache holds, are few."""
+    own = packing_encoder()
+    texts = [" ".join(f"w{k * 7919 % 100_003:x}" for k in range(a, a + 10_000)) for a in (0, 10_000)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = own.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert got == [own.slow(t) for t in texts]
+    assert calls < 2_000
+
+
+@pytest.mark.parametrize("budget", [16 << 20, 5_000])
+def test_packing_parts(budget):
+    """Ids as the tokenizer's for parts that are known, new, forgotten or not plain, and for texts with runs of white space."""
+    rng = random.Random(4)
+    letters = "aabceinrst'0.,<|>\u00e9\u024f\u0250\u0436\u4e2d\U0001f642\t\x1c\x85\u00a0\u2003\u0301"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(600)] + ["'s", "don't", "<|endoftext|>"]
+    own = packing_encoder(budget=budget)
+    for size in (0, 1, 40, 300):
+        texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", seldom]) for _ in range(rng.randint(0, 8)))[: rng.choice([-1, 90])] for seldom in rng.choices([" ", "\n", "  ", " \n"], k=size)]
+        assert own.encode(texts) == [own.slow(t) for t in texts]
+        assert own.parts.nbytes + own.ids.nbytes <= max(budget, 100 * sum(map(len, texts)))
+
+
 def test_bin_completion():
     rng = random.Random(3)
 
