@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 MARK = "\u0001"
-#: Characters of text whose tokens a task holds as rows at once, about.
-TASK_CHARS = 4_000_000
+#: Characters of text whose tokens a task holds as rows at once, about; documents that a task weighs at once.
+TASK_CHARS, SLICE = 4_000_000, 256
 HEADING = "(?md)^(#{1,6}\\s+.+|={3,}|-{3,})$"
 
 
@@ -92,3 +96,36 @@ def indexed(made: DataFrame, tasks: int | None = None) -> DataFrame:
     tasks, keys = tasks or tasks_of(made), ["doc_id", "chunk_ix"]
     maps = tfidf(made, tasks).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("tfidf"))
     return made.repartition(tasks, *keys).withColumn("tokens", T.tokens(F.col("text"))).join(maps.repartition(tasks, *keys), keys, "left")
+
+
+def weights(tokens: pa.ListArray) -> pa.MapArray:
+    """The TF-IDF of each chunk, null without tokens; tokens: a list of chunks' tokens for each document."""
+    chunks = tokens.flatten()
+    coded, sizes = chunks.flatten().dictionary_encode(), chunks.value_lengths().to_numpy(zero_copy_only=False)
+    doc_sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    terms, docs = max(1, len(coded.dictionary)), np.repeat(np.arange(len(doc_sizes)), doc_sizes)
+    each, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * terms + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    chunk, term = np.divmod(each, terms)
+    _, at, df = np.unique(docs[chunk] * terms + term, return_inverse=True, return_counts=True)
+    weight = n / sizes[chunk] * (np.log((doc_sizes[docs[chunk]] + 1) / (df[at] + 1)) + 1)
+    ends = np.searchsorted(chunk, np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(ends, mask=np.append(sizes == 0, False)), coded.dictionary.take(pa.array(term)), pa.array(weight))
+
+
+def indexed_whole(docs: DataFrame, chunks: Column) -> DataFrame:
+    """doc_id, chunk_ix, tokens, tfidf of docs as ``indexed`` has them, where each doc_id has one row with its list of chunk texts.
+
+    A document is weighed in the task that reads it, so nothing is exchanged.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    listed = docs.select("doc_id", F.transform(chunks, lambda x: F.coalesce(T.tokens(x), F.array().cast("array<string>"))).alias("tokens"))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                ids, tokens = batch.slice(at, SLICE).columns
+                sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ix = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(ix.astype(np.int32)), tokens.flatten(), weights(tokens)], ["doc_id", "chunk_ix", "tokens", "tfidf"])
+
+    return listed.mapInArrow(weighed, f"doc_id {kind}, chunk_ix int, tokens array<string>, tfidf map<string,double>")

@@ -16,19 +16,24 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 256) -> None:
+def write_index(index: DataFrame, path: str, buckets: int = 256, dealt: bool = True) -> None:
     """Write a chunk index (doc_id, chunk_ix, tokens, tfidf) as postings (term, doc_id, chunk_ix, weight) and chunks (tokens).
 
     A posting's weight is null for a token without TF-IDF. Rows are dealt by ranges of bucket, term and chunk, so a term
-    that is in most chunks spans several tasks and files, and a file's terms lie together for its statistics.
+    that is in most chunks spans several tasks and files, and a file's terms lie together for its statistics. With
+    ``dealt`` false each task writes its own rows, a file a bucket in the same order, and nothing is exchanged: for an
+    index in few partitions.
     """
     each = F.explode(F.array_distinct(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.coalesce(F.map_keys("tfidf"), F.array().cast("array<string>")))))
     rows = index.select("doc_id", "chunk_ix", "tfidf", each.alias("term")).select(
         "term", "doc_id", "chunk_ix", F.try_element_at("tfidf", F.col("term")).alias("weight"), bucket_of(F.col("term"), buckets).alias("bucket"))
     order = ["bucket", "term", "doc_id", "chunk_ix"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{POSTINGS}")
     chunks = index.select("doc_id", "chunk_ix", "tokens", bucket_of(F.col("doc_id"), buckets).alias("bucket"))
-    chunks.repartitionByRange("bucket", "doc_id", "chunk_ix").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{CHUNKS}")
+    if dealt:
+        rows, chunks = rows.repartitionByRange(*order), chunks.repartitionByRange("bucket", "doc_id", "chunk_ix")
+    rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{POSTINGS}")
+    write = chunks.write.mode("overwrite").partitionBy("bucket") if dealt else chunks.drop("bucket").write.mode("overwrite")
+    write.parquet(f"{path}/{CHUNKS}")
     index.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{path}/{META}")
 
 

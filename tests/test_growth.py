@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import questions
+from quarry.operators import chunking, questions
+from quarry.plans import queries as library
+from quarry.sources import postings
 
 DOCS = "doc_id long, display_name string, content string"
 
@@ -93,3 +95,41 @@ def test_lines_are_cut_alike(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "content string")
     for r in rows.select("content", T.truncate_lines(F.col("content"), 4).alias("cut"), F.substring_index("content", "\n", 6).alias("part")).collect():
         assert questions.truncated(r.part, 4) == r.cut, r
+
+
+def test_index_of_whole_documents(spark, tmp_path):
+    """As the index that exchanges texts and tokens, but nothing is exchanged; the written postings are the same."""
+    rng = random.Random(12)
+    words = ["fire", "ice", "the", "x-ray", "of", "dragon", "Fire", "é", "1a"]
+    texts = [None, "", "\n\n", "the of"] + ["\n".join(" ".join(rng.choices(words, k=rng.randrange(7))) for _ in range(rng.randrange(1, 9))) for _ in range(700)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    whole = chunking.indexed_whole(docs, F.split("text", "\n"))
+    plain = chunking.indexed(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_ix", "text")))
+    shown = lambda df: {(r.doc_id, r.chunk_ix): (r.tokens, r.tfidf and {t: round(w, 12) for t, w in r.tfidf.items()}) for r in df.collect()}
+    assert shown(whole) == shown(plain)
+    assert whole.count() == plain.count()
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    read = {}
+    for name, index, dealt in (("plain", plain, True), ("whole", whole, False)):
+        path = str(tmp_path / name)
+        postings.write_index(index, path, 8, dealt)
+        scores = postings.base_scores(spark, path, ["fire", "x-ray", "fire"]).collect()
+        hits = postings.relevant_chunks(spark, path, "fire x-ray dragon", 20).collect()
+        read[name] = {(r.doc_id, r.chunk_ix): round(r.base, 9) for r in scores}, [(r.doc_id, r.chunk_ix, r.tokens, round(r.score, 9)) for r in hits]
+    assert read["plain"] == read["whole"]
+    assert len(read["plain"][0]) > 500
+
+
+def test_indexed_relevance_exchanges_no_text(spark, tmp_path, monkeypatch):
+    """Documents of one row each are weighed where they are read; rows that share a doc_id are brought together first."""
+    rows = [(1, "reation a\nerthine"), (1, "reation\neaha b"), (2, "ndonle"), (4, "eaha eaha"), (5, "eaha c"), (3, None)]
+    used, whole = [], chunking.indexed_whole
+    monkeypatch.setattr(chunking, "indexed_whole", lambda *a: (used.append(1), whole(*a))[1])
+    for name, some in (("once", rows[:1] + rows[2:]), ("repeated", rows)):
+        spark.createDataFrame(some, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        used.clear()
+        got = library.QUERIES["indexed_relevance"](spark, str(tmp_path / name)).collect()
+        assert len(used) == (name == "once")
+        if name == "once":
+            assert sorted(map(repr, got)) == sorted(map(repr, library.QUERIES["relevance_base"](spark, str(tmp_path / name)).collect()))
+        assert {r.doc_id for r in got} == {1, 2, 4, 5}
