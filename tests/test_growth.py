@@ -93,8 +93,13 @@ def test_lines_are_cut_alike(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choices(["a", "\n", "\r\n", "\r", "\x0b", "\x1c", "\x85", " ", "b\n", "\n\n"], k=rng.randrange(1, 14))) for _ in range(800)]
     rows = spark.createDataFrame([(t,) for t in texts], "content string")
-    for r in rows.select("content", T.truncate_lines(F.col("content"), 4).alias("cut"), F.substring_index("content", "\n", 6).alias("part")).collect():
-        assert questions.truncated(r.part, 4) == r.cut, r
+    texts += ["", "\n", "a\nb\nc\nd", "a\nb\nc\nd\n", "a\nb\nc\nd\n\n", "a\u2028b\u2029\x1d\x1e\x0cc"] + ["".join(rng.choices(["a", "\n", " "], k=rng.randrange(1, 14))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string")
+    all_lines = T.lines(F.col("content"))
+    plain = F.when(F.size(all_lines) > 4, F.concat(F.array_join(F.slice(all_lines, 1, 4), "\n"), F.lit("\n" + T.TRUNCATED))).otherwise(F.array_join(all_lines, "\n"))
+    for r in rows.select("content", plain.alias("plain"), T.truncate_lines(F.col("content"), 4).alias("cut"), F.substring_index("content", "\n", 6).alias("part")).collect():
+        assert questions.truncated(r.part, 4) == r.cut == r.plain, r
+    assert rows.select(T.truncate_lines(F.lit(None).cast("string"))).first()[0] is None
 
 
 def test_index_of_whole_documents(spark, tmp_path):
